@@ -110,18 +110,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     table = scratch.keep(windows(benchmark, span, gram), "windows")
     sizes = [r.n for r in table.select("n").distinct().collect()]  # at most `span` numbers
     rows = _candidates(docs, sizes, span, gram)
+    # explode_outer throughout: for explode the optimiser infers a filter on the array and copies its whole expression.
     marker = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("fp"))
     key = ["doc_id", "text_hash", "n_words"]
     if table.count() <= broadcast_windows:
-        exploded = rows.select(*key, "words", F.explode(F.concat("found", F.array(marker))).alias("at"))
+        exploded = rows.select(*key, "words", F.explode_outer(F.concat("found", F.array(marker))).alias("at"))
         met = _verified(exploded, F.broadcast(table), "left").filter("hit or at.pos = -1")
     else:
-        flat = rows.select(*key, F.explode("found").alias("at"))
+        flat = rows.select(*key, F.explode_outer("found").alias("at"))
         touched = flat.join(table.select("fp").distinct(), F.col("at.fp") == F.col("fp"), "left_semi").select("doc_id", "text_hash").distinct()
         touched = scratch.keep(touched, "touched").withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
         hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
         some = hashed.join(touched, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").select("doc_id", "text")
-        exploded = _candidates(some, sizes, span, gram).select(*key, "words", F.explode("found").alias("at"))
+        exploded = _candidates(some, sizes, span, gram).select(*key, "words", F.explode_outer("found").alias("at"))
         names = [*key, "at", "start", "n", "items", "hit"]
         met = _verified(exploded, table, "inner").filter("hit").select(*names)
         plainly = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).alias("n_words"))

@@ -9,13 +9,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contamination
 from tessera.llm.quality import quality_scores
+from tessera.llm.secrets import secret_findings
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.unigram import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_findings(table(spark, sf_dir, "documents"))
+    spans = F.concat_ws(",", F.transform("secrets", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))))
+    return found.select(
+        "doc_id", F.size("candidates").cast("long").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"),
+        spans.alias("spans"), F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,8 +71,12 @@ def op7_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_winnowing, op7_discriminant)}
+    return {f.__name__: f for f in (op2_secrets, op3_simhash, op5_winnowing, op7_discriminant, op9_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

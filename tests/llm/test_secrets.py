@@ -1,0 +1,47 @@
+import random
+
+import numpy as np
+
+from tessera.llm.forest import train
+from tessera.llm.secrets import MASK, candidates, features, fit, generated_findings, mask_secrets, secret_findings
+
+
+def test_forest_learns_and_is_repeatable():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    a, b = train(x[:400], y[:400]), train(x[:400], y[:400])
+    assert np.array_equal(a.score(x), b.score(x))
+    assert ((a.score(x[400:]) >= 0.5) == y[400:]).mean() > 0.85
+    assert train(np.zeros((0, 5)), np.zeros(0)).score(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_held_out_accuracy():
+    forest, held = fit(), generated_findings(1500, seed=99)
+    scores = forest.score(np.array([features(*f[:4]) for f in held]))
+    truth = np.array([f[4] for f in held])
+    assert ((scores >= 0.5) == truth).mean() > 0.97
+
+
+def test_candidates_cover_planted_secrets_anywhere():
+    rng = random.Random(3)
+    for path, before, value, after, label in generated_findings(400, seed=5):
+        if label and value.isalnum():
+            text = "é " * rng.randrange(50) + before + value + after
+            at = text.index(value, len(text) - len(value) - len(after))
+            assert any(a <= at and b >= at + len(value) for a, b in candidates(text)), text
+
+
+def test_tables(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'Été token = "{key}" and commit {key[::-1]} here', "src1"), (2, None, None), (None, "", "src0"), (1, "plain words", "src1"), (4, "z" * 200_000 + f' password: "{key}"', None)]
+    docs = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, text string, source string, secrets string, n_chars long")
+    out = secret_findings(docs).collect()
+    assert [len(r.secrets) for r in out] == [1, 0, 0, 0, 1]
+    s = out[0].secrets[0]
+    assert rows[0][1][s.start : s.end] == key and out[0].redacted.startswith(f'Été token = "{MASK}"') and key[::-1] in out[0].redacted
+    masked = mask_secrets(docs).collect()
+    assert masked[0].n_chars == len(masked[0].text) and masked[1].text is None and masked[3].n_chars == 9
+    assert mask_secrets(docs).columns == docs.columns and secret_findings(docs.limit(0)).count() == 0
+    labelled = spark.createDataFrame(generated_findings(300, 8), "path string, before string, value string, after string, label int")
+    assert len(secret_findings(docs.drop("source"), labelled).collect()) == 5

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contamination
+from tessera.llm.pii import BASE, personal_data
 from tessera.llm.quality import quality_scores
 from tessera.llm.secrets import secret_findings
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.token_store import token_store
 from tessera.llm.unigram import round_trip
+from tessera.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, gram=5)
     listed = F.concat_ws(",", F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))))
@@ -67,16 +74,33 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _of_kind(kind: str):
+    return lambda s: s.kind == kind
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_simhash, op5_winnowing, op7_discriminant, op9_unigram)}
+    return {f.__name__: f for f in (op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram)}
 
 
 def oracle_sql() -> dict[str, str]:

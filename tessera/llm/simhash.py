@@ -113,7 +113,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
     groups = simhash_groups(docs.filter("doc_id is not null"), shingle, max_bits)
     scratch = Scratch(docs.sparkSession, "simhash")
     kept = scratch.keep(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # The ids grow with the corpus: always by a shuffle, never by a broadcast that only small inputs allow.
+    out = docs.join(kept.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id is null"))

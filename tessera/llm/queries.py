@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import format_conversations, read_back
 from tessera.llm.common import Scratch
 from tessera.llm.decontaminate import contamination
+from tessera.llm.nn_descent import nearest
 from tessera.llm.pii import BASE, personal_data
 from tessera.llm.quality import quality_scores
 from tessera.llm.secrets import secret_findings
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_findings(table(spark, sf_dir, "documents"))
     spans = F.concat_ws(",", F.transform("secrets", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))))
@@ -139,7 +144,7 @@ FROM p JOIN m USING (h)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts)}
 
 
 def oracle_sql() -> dict[str, str]:

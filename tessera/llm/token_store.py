@@ -30,10 +30,8 @@ from tessera.llm.files import make_dirs, open_read, open_write
 
 MAGIC = b"TESSEF01"
 SAMPLE = 256
-#: Pieces of text that a worker remembers at most; then it forgets all and starts anew.
-REMEMBER = 200_000
-#: White space other than a plain space: where it meets a space, a text is not cut.
-_OTHER_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Pieces of text in each half of a worker's memory (about 90 MB a half).
+REMEMBER = 500_000
 
 
 class EliasFano:
@@ -148,7 +146,12 @@ class TextEncoder:
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         )
         self.kind = f"<u{id_bytes}"
+        vocabulary = self.tokenizer.get_vocab()
+        self.added = [t["content"] for t in added]
+        self.with_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.with_space[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remember = remember
 
     def _whole(self, text: str) -> bytes:
@@ -157,20 +160,47 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or "  " in text or any(c + " " in text for c in _OTHER_SPACE):
+        if not self.by_piece:
             return self._whole(text)
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
         first, *rest = text.split(" ")
-        head = self._whole(first) if first else b""
-        try:
-            return head + b"".join([known[c] for c in rest])
-        except KeyError:
-            new = list({c for c in rest if c not in known})
-            for c, found in zip(new, self.tokenizer.encode_batch([" " + c for c in new], add_special_tokens=False)):
-                known[c] = np.array(found.ids, dtype=np.uint32).astype(self.kind).tobytes()
-            return head + b"".join([known[c] for c in rest])
+        if not rest or not first or first[-1].isspace():
+            return self._whole(text)
+        last = rest.pop() if not rest[-1] or rest[-1][-1].isspace() else None
+        found = list(map(self.known.get, rest))
+        if None in found:
+            lacking = [i for i, x in enumerate(found) if x is None]
+            known = self._learn([rest[i] for i in lacking])
+            if known is None:
+                return self._whole(text)
+            for i in lacking:
+                found[i] = known[rest[i]]
+        return self._whole(first) + b"".join(found) + (b"" if last is None else self._whole(" " + last))
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes] | None:
+        """Put pieces into the memory, which is returned; None if one is empty or ends in white space, so that a space
+        follows white space. The memory has two halves: when the new one is full, it becomes the old one."""
+        if len(self.known) > self.remember:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        pieces = list(dict.fromkeys(pieces))
+        ids = list(map(old.get, pieces))
+        new = [c for c, x in zip(pieces, ids) if x is None]
+        if any(not c or c[-1].isspace() for c in new):
+            return None
+        known.update((c, x) for c, x in zip(pieces, ids) if x is not None)
+        # As one text, in which only the first ids of pieces start with a space, unless it holds an added token.
+        text = " " + " ".join(new)
+        if new and not any(t in text for t in self.added):
+            raw = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            starts = np.flatnonzero(self.with_space[raw])
+            if len(starts) == len(new):
+                size, packed = raw.itemsize, raw.tobytes()
+                cuts = (starts * size).tolist()
+                known.update(zip(new, map(packed.__getitem__, map(slice, cuts, [*cuts[1:], len(packed)]))))
+                return known
+        for c in new:
+            known[c] = self._whole(" " + c)
+        return known
 
 
 @lru_cache(maxsize=2)

@@ -41,25 +41,35 @@ def spread(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def whole_groups(batches, least: int = 4096):
-    """Tables of ``least`` rows or more from batches sorted by their first column; a key is never cut."""
+    """Tables of about ``least`` rows from batches sorted by their first column; a key is never cut."""
     held, rows = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held)
-        keys = table.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    for whole in batches:
+        for at in range(0, whole.num_rows, least):
+            batch = whole.slice(at, least)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < least:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1], side="left"))
+            if cut:
+                yield table.slice(0, cut).combine_chunks()
+                held, rows = table.slice(cut).to_batches(), table.num_rows - cut
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def by_items(column: pa.Array, most: int):
+    """Ranges of rows of a packed column (64-bit items) with about ``most`` items each, one row at least."""
+    _, starts = unpack(column, "<i8")
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + most, side="right")) - 1)
+        yield at, upto - at
+        at = upto
+
+
 def top_k(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best different ids of each key, best first, ties to the smaller id; of one id the best score counts."""
     order = np.lexsort((-scores, ids, keys))

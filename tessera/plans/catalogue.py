@@ -171,9 +171,9 @@ def graph_shortest_path(spark, d):
 
 
 def graph_closure_impact(spark, d):
-    """Impact of the ten smallest parts in the slice of edges whose source and target agree modulo 7."""
-    edges = _edges(spark, d).filter("src % 7 = dst % 7")
-    starts = edges.select(F.col("dst").alias("node")).distinct().orderBy("node").limit(10)
+    """Impact of the ten most imported parts over the whole graph."""
+    edges = _edges(spark, d)
+    starts = graph.imported_by(edges).orderBy(F.desc("importers"), "node").limit(10).select("node")
     return graph.change_impact(edges, starts)
 
 
@@ -261,9 +261,15 @@ def html_extract(spark, d):
 
 
 def _snapshots(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"))
-    stored = docs.filter("path % 7 <> 0").withColumn("mtime", F.when(F.col("path") % 5 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")))
-    return docs.filter("path % 11 <> 0"), stored
+    """The highest value of each user as a stamp: as of the last seven days, and as stored before them."""
+    log = _t(spark, d, "events").select(F.col("user_id").alias("path"), F.col("value").alias("mtime"), "ts")
+    cut = history.days_before(_now(log.withColumnRenamed("ts", "date")), 7)
+    highest = lambda df: df.groupBy("path").agg(F.max("mtime").alias("mtime"))
+    return highest(log.filter(F.col("ts") >= cut)), highest(log.filter(F.col("ts") < cut))
+
+
+_SNAPSHOT_SQL = """m AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM events),
+cur AS (SELECT user_id AS path, max(value) AS mtime FROM events, m WHERE ts >= cut GROUP BY 1), old AS (SELECT user_id AS path, max(value) AS mtime FROM events, m WHERE ts < cut GROUP BY 1)"""
 
 
 def changed_rows(spark, d):
@@ -275,11 +281,11 @@ def deleted_rows(spark, d):
 
 
 def incremental_equals_full(spark, d):
-    """Replacing the changed keys of an old table gives the full one: the number of differing rows."""
-    full = _t(spark, d, "documents").select(F.col("doc_id").alias("source"), F.xxhash64("text").alias("h"))
-    old = full.filter("source % 7 <> 0").withColumn("h", F.when(F.col("source") % 5 == 0, F.lit(0)).otherwise(F.col("h")))
-    fresh = full.filter("source % 7 = 0 or source % 5 = 0")
-    built = incremental.replaced(old, fresh, full.limit(0))
+    """Replacing the users that were active in the last day in the log of before gives the full log: differing rows."""
+    full = _t(spark, d, "events").select(F.col("user_id").alias("source"), "event_id", "ts", "value")
+    cut = history.days_before(_now(full.withColumnRenamed("ts", "date")), 1)
+    active = full.filter(F.col("ts") >= cut).select("source").distinct()
+    built = incremental.replaced(full.filter(F.col("ts") < cut), full.join(active, "source", "left_semi"), full.limit(0))
     return built.exceptAll(full).unionAll(full.exceptAll(built)).agg(F.count("*").alias("differences"))
 
 
@@ -333,9 +339,9 @@ SELECT node FROM n WHERE node NOT IN (SELECT id FROM hits) ORDER BY node LIMIT 2
 r AS (SELECT node, 0 AS depth, [node] AS path FROM s UNION ALL SELECT e.dst, r.depth + 1, list_append(r.path, e.dst) FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 4 AND NOT list_contains(r.path, e.dst)),
 m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node), t AS (SELECT min(node) AS node FROM m WHERE depth = 4)
 SELECT (SELECT node FROM s) AS from_node, t.node AS to_node, 4::BIGINT AS length, (SELECT array_to_string(list_transform(min(path), lambda x: x::VARCHAR), ',') FROM r WHERE r.node = t.node AND r.depth = 4) AS path FROM t"""),
-    (graph_closure_impact, f"""WITH RECURSIVE {_EDGES_SQL}, e7 AS (SELECT * FROM edges WHERE src % 7 = dst % 7), s AS (SELECT DISTINCT dst AS node FROM e7 ORDER BY 1 LIMIT 10),
-r AS (SELECT node AS origin, node FROM s UNION SELECT r.origin, e.src FROM r JOIN e7 e ON e.dst = r.node),
-c AS (SELECT origin, count(*) AS total FROM r WHERE node <> origin GROUP BY origin), d AS (SELECT dst, count(*) AS direct FROM e7 GROUP BY dst)
+    (graph_closure_impact, f"""WITH RECURSIVE {_EDGES_SQL}, d AS (SELECT dst, count(DISTINCT src) AS direct FROM edges GROUP BY dst), s AS (SELECT dst AS node FROM d ORDER BY direct DESC, dst LIMIT 10),
+r AS (SELECT node AS origin, node FROM s UNION SELECT r.origin, e.src FROM r JOIN edges e ON e.dst = r.node),
+c AS (SELECT origin, count(*) AS total FROM r WHERE node <> origin GROUP BY origin)
 SELECT s.node, coalesce(direct, 0) AS direct, coalesce(total, 0) AS total, CASE WHEN coalesce(total, 0) >= 10 THEN 'CRITICAL' WHEN total >= 5 THEN 'HIGH' WHEN total >= 2 THEN 'MEDIUM' WHEN total >= 1 THEN 'LOW' ELSE 'MINIMAL' END AS level
 FROM s LEFT JOIN c ON origin = s.node LEFT JOIN d ON d.dst = s.node"""),
     (graph_cluster_jaccard, f"""WITH {_EDGES_SQL}, b AS (SELECT src AS node, dst AS via FROM edges UNION SELECT dst, src FROM edges), z AS (SELECT node, count(*) AS n FROM b GROUP BY node),
@@ -360,9 +366,8 @@ SELECT 'user' || user_id AS path, event_id, event_type AS message FROM r WHERE k
     (json_map_stats, """WITH p AS (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events)
 SELECT event_type, key, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || key)) AS n_values FROM p GROUP BY 1, 2"""),
     (html_extract, """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS links FROM pages"""),
-    (changed_rows, """WITH s AS (SELECT doc_id AS path, n_chars - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS old FROM documents WHERE doc_id % 7 <> 0)
-SELECT doc_id AS path, n_chars AS mtime FROM documents LEFT JOIN s ON doc_id = path WHERE doc_id % 11 <> 0 AND (old IS NULL OR n_chars > old)"""),
-    (deleted_rows, "SELECT doc_id AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 = 0"),
+    (changed_rows, f"WITH {_SNAPSHOT_SQL} SELECT cur.path, cur.mtime FROM cur LEFT JOIN old USING (path) WHERE old.mtime IS NULL OR cur.mtime > old.mtime"),
+    (deleted_rows, f"WITH {_SNAPSHOT_SQL} SELECT path FROM old WHERE path NOT IN (SELECT path FROM cur)"),
     (incremental_equals_full, "SELECT 0::BIGINT AS differences"),
     (note_dedupe, """WITH c AS (SELECT role AS section, trim(text, ' ') AS content, turn FROM conversations WHERE trim(text, ' ') <> '')
 SELECT section, count(*) AS n FROM (SELECT DISTINCT section, content FROM c WHERE turn >= 2 AND (section, content) NOT IN (SELECT section, content FROM c WHERE turn < 2)) GROUP BY section"""),

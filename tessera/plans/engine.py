@@ -62,7 +62,7 @@ class Engine:
         return Engine(self.spark, path, self.state, self.commits, self.commit_files, self.encoder, self.ignore_patterns, self.now)
 
     def _all(self) -> DataFrame:
-        return fs.tree(self.spark, self.root).filter(fs.kept_dirs())
+        return fs.tree(self.spark, self.root)
 
     def _files(self) -> DataFrame:
         return fs.texts(fs.scan_indexable(self.spark, self.root, self.ignore_patterns, max_files=None))
@@ -387,7 +387,7 @@ class Engine:
         return stats.counts(code.orderBy("path").limit(max_files).mapInArrow(run, "category string"), "category")
 
     def get_test_coverage_info(self) -> DataFrame:
-        pages = fs.texts(fs.tree(self.spark, self.root).filter(F.col("path").rlike(r"(^|/)htmlcov/index\.html$")))
+        pages = fs.texts(fs.tree(self.spark, self.root, frozenset()).filter(F.col("path").rlike(r"(^|/)htmlcov/index\.html$")))
         return fs.coverage_percent(pages)
 
     # -- log and notes -------------------------------------------------------------------------------------------

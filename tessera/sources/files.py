@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import base_name, extension, js_imports, python_imports
+from tessera.functions.text import base_name, extension, js_imports, python_imports, strip
 
 # Directories left out, and extensions by kind.
 IGNORED_DIRS = frozenset(".git node_modules .ai venv .venv __pycache__ .idea .vscode dist build target vendor bin obj out logs tmp temp .cache .gradle .pytest_cache .mypy_cache .ruff_cache htmlcov .coverage .tox".split())
@@ -58,23 +59,63 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, ext, size, mtime, content`` of all files below ``root``; paths relative. Bytes are read only if used."""
-    at = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
-    bare = at[len("file://") :] if at.startswith("file://") else at
-    relative = F.regexp_replace("path", "^(?:[a-z0-9]+:/*)?/?" + _quoted(bare.lstrip("/")) + "/", "")
-    return raw.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").withColumn("ext", extension(F.col("path")))
+def _walk_local(root: str, ignored: frozenset[str]):
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if not is_dir_ignored(d, ignored))
+        for name in sorted(names):
+            full = os.path.join(folder, name)
+            if os.path.isfile(full):
+                yield os.path.relpath(full, root).replace(os.sep, "/"), full, os.path.getsize(full), os.path.getmtime(full)
 
 
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
+def _walk_store(spark: SparkSession, root: str, ignored: frozenset[str]):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [("", path(root))]
+    while todo:
+        base, folder = todo.pop()
+        for s in system.listStatus(folder):
+            name = s.getPath().getName()
+            if not s.isDirectory():
+                yield base + name, s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000
+            elif not is_dir_ignored(name, ignored):
+                todo.append((f"{base}{name}/", s.getPath()))
 
 
-def kept_dirs(ignored: frozenset[str] = IGNORED_DIRS) -> Column:
-    """No directory of ``path`` is ignored."""
-    dirs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    return ~F.exists(dirs, lambda x: x.isin(*sorted(ignored)) | x.endswith(IGNORED_DIR_SUFFIX))
+def tree(spark: SparkSession, root: str, ignored: frozenset[str] = IGNORED_DIRS) -> DataFrame:
+    """``path, ext, size, mtime, uri`` of all files below ``root`` outside ignored directories; paths are relative.
+
+    Spark's own file source passes over names that start with an underscore, so the tree is listed here, ignored
+    directories are never entered, and no file is opened.
+    """
+    local = root.removeprefix("file://")
+    rows = list(_walk_local(local, ignored) if "://" not in local else _walk_store(spark, root, ignored))
+    found = spark.createDataFrame(rows, "path string, uri string, size long, seconds double")
+    return found.select("path", extension(F.col("path")).alias("ext"), "size", F.timestamp_micros((F.col("seconds") * 1_000_000).cast("long")).alias("mtime"), "uri")
+
+
+def _read_bytes(uri: str) -> bytes:
+    if "://" not in uri or uri.startswith("file:"):
+        with open(uri.removeprefix("file://").removeprefix("file:"), "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_file(path) as f:
+        return f.read()
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """``files`` (from ``tree``, after filters) with their bytes as ``content``; tasks open the files."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                content = pa.array([_read_bytes(u) for u in part.column("uri").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, content], names=[*part.schema.names, "content"])
+
+    return files.select("path", "ext", "size", "mtime", "uri").mapInArrow(run, "path string, ext string, size long, mtime timestamp, uri string, content binary")
 
 
 def indexable(patterns: list[str] = (), max_bytes: int | None = None) -> Column:
@@ -88,20 +129,20 @@ def indexable(patterns: list[str] = (), max_bytes: int | None = None) -> Column:
 
 def scan_indexable(spark: SparkSession, root: str, patterns: list[str] = (), ignored: frozenset[str] = IGNORED_DIRS, max_files: int | None = 20_000) -> DataFrame:
     """Files to index, in order of path, the first ``max_files``."""
-    found = tree(spark, root).filter(kept_dirs(ignored) & indexable(patterns))
+    found = tree(spark, root, ignored).filter(indexable(patterns))
     return found if max_files is None else found.orderBy("path").limit(max_files)
 
 
 def scan_code(spark: SparkSession, root: str, ignored: frozenset[str] = IGNORED_DIRS, max_files: int | None = 5000) -> DataFrame:
     """Code files outside ignored and dotted directories."""
     dotted = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda x: x.startswith("."))
-    found = tree(spark, root).filter(kept_dirs(ignored) & ~dotted & F.col("ext").isin(*sorted(CODE)))
+    found = tree(spark, root, ignored).filter(~dotted & F.col("ext").isin(*sorted(CODE)))
     return found if max_files is None else found.orderBy("path").limit(max_files)
 
 
 def texts(files: DataFrame) -> DataFrame:
     """``path, ext, size, mtime, text``."""
-    return files.select("path", "ext", "size", "mtime", decode(F.col("content")).alias("text"))
+    return with_content(files).select("path", "ext", "size", "mtime", decode(F.col("content")).alias("text"))
 
 
 def import_graph(files: DataFrame) -> DataFrame:
@@ -166,7 +207,7 @@ def coverage_percent(files: DataFrame) -> DataFrame:
 def read_git_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``commits`` and ``commit_files`` from a text export of a log: for each commit a line
     ``commit<TAB>hash<TAB>short<TAB>author<TAB>epoch seconds<TAB>subject``, then its paths, one to a line."""
-    rows = spark.read.text(path, lineSep="\n\n", wholetext=False).filter("trim(value) <> ''").select(F.split(F.trim("value"), "\n").alias("l"))
+    rows = spark.read.text(path, lineSep="\n\n", wholetext=False).filter("trim(value) <> ''").select(F.split(strip(F.col("value")), "\n").alias("l"))
     head = F.split(F.element_at("l", 1), "\t", 6)
     rows = rows.filter(F.element_at("l", 1).startswith("commit\t")).select(head.alias("h"), F.slice("l", 2, 1 << 20).alias("paths"))
     field = lambda k: F.get("h", F.lit(k))

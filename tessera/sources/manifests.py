@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
+
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), F.trim)
+    return F.transform(F.split(text, "\n"), strip)
 
 
 def _between(rows: Column, starts, ends) -> Column:
@@ -26,8 +28,8 @@ def _named(files: DataFrame, name: str) -> DataFrame:
 def _rows(files: DataFrame, entries: Column, scope: str, pattern: str) -> DataFrame:
     """Entries split into the name (up to the first character of ``pattern``) and what follows."""
     out = files.select(F.col("path").alias("manifest"), F.explode(entries).alias("e")).filter("e <> ''")
-    name = F.trim(F.regexp_extract("e", f"^([^{pattern}]*)", 1))
-    return out.select("manifest", F.lit(scope).alias("scope"), name.alias("name"), F.trim(F.substr("e", F.length(name) + 1)).alias("version"))
+    name = strip(F.regexp_extract("e", f"^([^{pattern}]*)", 1))
+    return out.select("manifest", F.lit(scope).alias("scope"), name.alias("name"), strip(F.substr("e", F.length(name) + 1)).alias("version"))
 
 
 def pyproject(files: DataFrame) -> DataFrame:
@@ -66,8 +68,8 @@ def go_mod(files: DataFrame) -> DataFrame:
 def cargo(files: DataFrame) -> DataFrame:
     found = F.filter(_between(_lines(F.col("text")), lambda x: x == "[dependencies]", lambda x: x.startswith("[")), lambda x: x.contains("="))
     out = _named(files, "Cargo.toml").select(F.col("path").alias("manifest"), F.explode(found).alias("e"))
-    strip = F.regexp_replace(F.trim(F.regexp_extract("e", r"^[^=]*=(.*)$", 1)), "^[\"']+|[\"']+$", "")
-    return out.select("manifest", F.lit("prod").alias("scope"), F.trim(F.regexp_extract("e", r"^([^=]*)=", 1)).alias("name"), strip.alias("version"))
+    bare = F.regexp_replace(strip(F.regexp_extract("e", r"^[^=]*=(.*)$", 1)), "^[\"']+|[\"']+$", "")
+    return out.select("manifest", F.lit("prod").alias("scope"), strip(F.regexp_extract("e", r"^([^=]*)=", 1)).alias("name"), bare.alias("version"))
 
 
 def all_dependencies(files: DataFrame) -> DataFrame:

@@ -115,12 +115,12 @@ def test_index_and_search(engine, project):
         engine.search_codebase("cart")
     first = engine.index_codebase().first()
     assert first.status == "ready" and first.chunks > 5
-    assert engine.search_codebase("checkout").first().source == "src/app.py"
-    assert engine.search_summary("checkout").first().n_results == 1
+    assert engine.search_codebase("checkout(cart):").first().source == "src/app.py"
+    assert engine.search_summary("checkout(cart):").first().n_results == 1
     assert engine.search_codebase_advanced("def", 5, [".py"], ["tests"]).count() >= 1
-    assert {r.path for r in engine.search_with_dependencies("checkout").collect()} >= {"src/app.py", "src/util.py"}
+    assert {r.path for r in engine.search_with_dependencies("checkout(cart):").collect()} >= {"src/app.py", "src/util.py"}
     assert engine.search_for_errors("stock").filter("category = 'commit'").count() == 1
-    assert engine.search_for_feature("stock").count() >= 1 and engine.search_architecture("stock").count() >= 1
+    assert engine.search_for_feature("stock(item):").count() >= 1 and engine.search_architecture("stock(item):").count() >= 1
     for bad in (("", 5), ("  ", 5), ("x", -1), ("x", 100)):
         with pytest.raises(ValueError):
             engine.search_codebase(*bad)

@@ -68,7 +68,9 @@ def is_config_path(path: Column) -> Column:
 
 
 def readable_size(size: Column) -> Column:
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit("B"))).when(size < 1024 * 1024, F.concat(F.format_number(size / 1024, "0.0"), F.lit("KB"))).otherwise(F.concat(F.format_number(size / (1024 * 1024), "0.0"), F.lit("MB")))
+    """Bytes as B, KB or MB, the last two with one decimal."""
+    scaled = lambda unit, name: F.format_string(f"%.1f{name}", F.round(size / unit, 1))
+    return F.when(size < 1024, F.format_string("%dB", size)).when(size < 1 << 20, scaled(1024, "KB")).otherwise(scaled(1 << 20, "MB"))
 
 
 def extension(path: Column) -> Column:

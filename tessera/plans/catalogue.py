@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import advanced_relevance, simple_relevance, tokens
+from tessera.functions.text import advanced_relevance, js_imports, python_imports, readable_size, simple_relevance, tokens
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import chunk_texts
 from tessera.operators.complexity import function_complexity
+from tessera.sources import files as files_source
+from tessera.sources import manifests
 
 QUERY = "the and of"
 QUERIES = [(1, "the and of"), (2, "exception error handling that"), (3, "test with das der")]
@@ -261,14 +263,14 @@ def html_extract(spark, d):
 
 
 def _snapshots(spark, d):
-    """The highest value of each user as a stamp: as of the last seven days, and as stored before them."""
+    """The highest value of each user as a stamp: as of the last day, and as stored before it."""
     log = _t(spark, d, "events").select(F.col("user_id").alias("path"), F.col("value").alias("mtime"), "ts")
-    cut = history.days_before(_now(log.withColumnRenamed("ts", "date")), 7)
+    cut = history.days_before(_now(log.withColumnRenamed("ts", "date")), 1)
     highest = lambda df: df.groupBy("path").agg(F.max("mtime").alias("mtime"))
     return highest(log.filter(F.col("ts") >= cut)), highest(log.filter(F.col("ts") < cut))
 
 
-_SNAPSHOT_SQL = """m AS (SELECT max(ts) - INTERVAL 7 DAY AS cut FROM events),
+_SNAPSHOT_SQL = """m AS (SELECT max(ts) - INTERVAL 1 DAY AS cut FROM events),
 cur AS (SELECT user_id AS path, max(value) AS mtime FROM events, m WHERE ts >= cut GROUP BY 1), old AS (SELECT user_id AS path, max(value) AS mtime FROM events, m WHERE ts < cut GROUP BY 1)"""
 
 
@@ -318,6 +320,94 @@ def complexity_python(spark, d):
     return function_complexity(spark.createDataFrame([("a.py", code), ("b.py", "x = (")], "path string, content string"))
 
 
+def naming_styles(spark, d):
+    """Style of part names with blanks as underscores: one row of counts."""
+    return stats.naming_style(_t(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("path")))
+
+
+def memory_batches(spark, d):
+    """Batches of 20,000 characters of the documents of each source, in order of doc_id."""
+    docs = _t(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("size"))
+    return incremental.batch_numbers(docs, "size", 20_000).select("part", "seq", F.col("batch_no").cast("long").alias("batch_no"))
+
+
+def log_take_while(spark, d):
+    """The log by event_id up to the first event of the last two days."""
+    log = _t(spark, d, "events")
+    cut = _now(log.withColumnRenamed("ts", "date"))
+    late = log.withColumn("back", -F.unix_micros(F.col("ts").cast("timestamp")))
+    return history.take_while(late, "event_id", "back", -F.unix_micros(history.days_before(cut, 2))).select("event_id")
+
+
+def directory_tree(spark, d):
+    """Documents as files source/lang/id.txt: the first 100 entries two levels deep."""
+    files = _t(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("n_chars").alias("size"), F.lit(0).alias("mtime"))
+    return files_source.directory_listing(files, "", 2, 100).select("parent", "name", "is_dir", "size")
+
+
+def keyword_lines(spark, d):
+    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return notes.keyword_lines(texts, "apache").select("doc", "seq", "line")
+
+
+def note_sections(spark, d):
+    """Conversations as notes: each turn's role as a header over its text; characters of each section."""
+    turns = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    docs = turns.select(F.col("conv_id").alias("doc"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), F.replace(x["text"], F.lit("\n"), F.lit(" ")))), "\n").alias("text"))
+    return notes.sections(docs).select(F.col("doc").alias("conv_id"), "section", F.length("content").cast("long").alias("n"))
+
+
+def id_set_operations(spark, d):
+    """Documents with a label or a vector, with both, and with neither."""
+    docs, labels, vectors = (_t(spark, d, t).select(F.col(c).alias("id")).distinct() for t, c in (("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id")))
+    parts = {"union": labels.union(vectors).distinct(), "both": labels.intersect(vectors), "neither": docs.subtract(labels.union(vectors)), "bag": labels.unionAll(vectors)}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def readable_sizes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", readable_size(F.col("n_chars")).alias("size"))
+
+
+def hit_rates(spark, d):
+    """Clicks as hits against all other events of a user, in percent."""
+    e = _t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("h"), F.count_if(F.col("event_type") != "click").alias("m"))
+    return e.select("user_id", F.round(stats.hit_rate(F.col("h"), F.col("m")), 6).alias("rate"))
+
+
+def commit_messages(spark, d):
+    log = _log(spark, d).drop("hash").withColumn("hash", F.col("event_id"))
+    return history.mentioning(log, "PURCHASE", 50, history.days_before(_now(log), 30)).select("event_id", "message")
+
+
+def grouped_messages(spark, d):
+    log = _log(spark, d).drop("hash").withColumn("hash", F.col("event_id"))
+    return history.by_author(log, 5).select("author", "n", F.array_join("messages", ",").alias("messages"), F.col("more").cast("long").alias("more"))
+
+
+def version_classes(spark, d):
+    """Dependency entries read from texts of all five manifest kinds."""
+    rows = [
+        ("pyproject.toml", '[project]\ndependencies = [\n  "a>=1",\n  "b==2",\n  "c",\n]\n'), ("requirements.txt", "# x\n-r y\nD<3\nb==2\n"),
+        ("package.json", '{"dependencies": {"r": "^1"}, "devDependencies": {"r": "~2", "s": "3"}, "peerDependencies": {"t": "*"}}'),
+        ("go.mod", "module m\nrequire (\n\tu v1\n)\n"), ("Cargo.toml", '[dependencies]\nw = "1.0"\n[x]\ny = "2"\n'),
+    ]
+    deps = manifests.all_dependencies(spark.createDataFrame(rows, "path string, text string"))
+    return deps.groupBy("manifest", "scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "version"))), ",").alias("entries"))
+
+
+def imports_and_tags(spark, d):
+    """Imports of two languages and marked lines, from inline texts."""
+    rows = [("a.py", "import x.y\nfrom z import w\n# TODO: one\n"), ("b.ts", "import {q} from './c';\nrequire('r')\n// fixme two\n")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    found = files.select("path", F.when(F.col("path").endswith(".py"), python_imports(F.col("text"))).otherwise(js_imports(F.col("text"))).alias("i"))
+    tagged = stats.tagged_lines(files).select("path", F.lit("tag").alias("kind"), F.concat_ws(":", "tag", "text").alias("value"))
+    return found.select("path", F.lit("import").alias("kind"), F.explode("i").alias("value")).unionByName(tagged)
+
+
 _Q: list[tuple[Callable, str | None]] = [
     (bm25_topk, f"WITH {_ONE}, {_BM25_SQL} SELECT query_id, rank, id AS doc_id, score FROM kranked WHERE rank <= {TOP} AND score > 0"),
     (bm25_term_stats, f"WITH {_ONE}, {_BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
@@ -376,6 +466,35 @@ m AS (SELECT DISTINCT event_id FROM events JOIN w ON contains(w, event_id::VARCH
     (top_terms_by_language, r"""WITH t AS (SELECT lang, unnest(string_split_regex(lower(text), '\s+')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM t WHERE term <> '' GROUP BY 1, 2)
 SELECT * FROM (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 5"""),
     (relevance_columns, f"WITH {_VECTOR_SQL} SELECT id AS vec_id, greatest(0, trunc((1 - distance) * 100)::BIGINT) AS relevance, round(greatest(0, 1 - distance / 2), 6) AS advanced FROM vranked WHERE rank <= 30"),
+    (naming_styles, """WITH n AS (SELECT regexp_replace(regexp_extract(replace(p_name, ' ', '_'), '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS s FROM part),
+k AS (SELECT CASE WHEN contains(s, '_') AND regexp_matches(s, '^[\\p{Ll}]') THEN 'snake' WHEN regexp_matches(s, '^[\\p{Ll}].*[\\p{Lu}]') THEN 'camel' WHEN contains(s, '-') THEN 'kebab' END AS k FROM n),
+c AS (SELECT count(*) FILTER (k = 'snake') AS snake, count(*) FILTER (k = 'camel') AS camel, count(*) FILTER (k = 'kebab') AS kebab FROM k)
+SELECT *, CASE WHEN snake + camel + kebab = 0 THEN 'unknown' WHEN snake > camel AND snake > kebab THEN 'snake_case' WHEN camel > snake AND camel > kebab THEN 'camelCase' WHEN kebab > 0 THEN 'kebab-case' ELSE 'mixed' END AS style FROM c""".replace("\\\\", "\\")),
+    (memory_batches, """WITH RECURSIVE o AS (SELECT source AS part, doc_id AS seq, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT part, seq, k, size AS used, 0::BIGINT AS batch_no FROM o WHERE k = 1
+UNION ALL SELECT o.part, o.seq, o.k, CASE WHEN r.used > 0 AND r.used + o.size > 20000 THEN o.size ELSE r.used + o.size END, r.batch_no + CASE WHEN r.used > 0 AND r.used + o.size > 20000 THEN 1 ELSE 0 END FROM r JOIN o ON o.part = r.part AND o.k = r.k + 1)
+SELECT part, seq, batch_no FROM r"""),
+    (log_take_while, """WITH c AS (SELECT max(ts) - INTERVAL 2 DAY AS cut FROM events), s AS (SELECT min(event_id) AS stop FROM events, c WHERE ts > cut)
+SELECT event_id FROM events, s WHERE stop IS NULL OR event_id < stop"""),
+    (directory_tree, """WITH f AS (SELECT source, lang, n_chars FROM documents), e AS (
+SELECT '' AS parent, source AS name, true AS is_dir, n_chars FROM f UNION ALL SELECT source, lang, true, n_chars FROM f)
+SELECT parent, name, is_dir, CAST(sum(n_chars) AS BIGINT) AS size FROM e GROUP BY 1, 2, 3 ORDER BY parent, is_dir DESC, lower(name) LIMIT 100"""),
+    (keyword_lines, """WITH l AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS x FROM documents), u AS (SELECT doc, unnest(range(len(x))) AS seq, unnest(x) AS line FROM l)
+SELECT doc, seq, line FROM u WHERE trim(line, ' ') <> '' AND contains(lower(line), 'apache')"""),
+    (note_sections, """WITH t AS (SELECT conv_id, role AS section, turn, replace(text, chr(10), ' ') AS text FROM conversations)
+SELECT conv_id, section, CAST(length(trim(string_agg(text, chr(10) ORDER BY turn), ' ')) AS BIGINT) AS n FROM t GROUP BY conv_id, section"""),
+    (id_set_operations, """WITH l AS (SELECT DISTINCT doc_id AS id FROM labels), v AS (SELECT DISTINCT vec_id AS id FROM embeddings), d AS (SELECT DISTINCT doc_id AS id FROM documents)
+SELECT 'union' AS op, count(*) AS n FROM (SELECT id FROM l UNION SELECT id FROM v) UNION ALL SELECT 'both', count(*) FROM (SELECT id FROM l INTERSECT SELECT id FROM v)
+UNION ALL SELECT 'neither', count(*) FROM (SELECT id FROM d EXCEPT (SELECT id FROM l UNION SELECT id FROM v)) UNION ALL SELECT 'bag', count(*) FROM (SELECT id FROM l UNION ALL SELECT id FROM v)"""),
+    (readable_sizes, """SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || 'B' WHEN n_chars < 1048576 THEN printf('%.1fKB', round(n_chars / 1024, 1)) ELSE printf('%.1fMB', round(n_chars / 1048576, 1)) END AS size FROM documents"""),
+    (hit_rates, "SELECT user_id, round(100.0 * count(*) FILTER (event_type = 'click') / count(*), 6)::DOUBLE AS rate FROM events GROUP BY user_id"),
+    (commit_messages, """SELECT event_id, event_type AS message FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY AND contains(lower(event_type), 'purchase')
+ORDER BY ts DESC, event_id LIMIT 5"""),
+    (grouped_messages, """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id AS author, any_value(n) AS n, string_agg(event_type, ',' ORDER BY k) FILTER (k <= 5) AS messages, greatest(0, any_value(n) - 5)::BIGINT AS more FROM r GROUP BY user_id"""),
+    (version_classes, """SELECT * FROM (VALUES ('pyproject.toml', 'prod', 3::BIGINT, 'a:>=1,b:==2,c:'), ('requirements.txt', 'prod', 2, 'D:<3,b:==2'), ('package.json', 'prod', 1, 'r:^1'), ('package.json', 'dev', 2, 'r:~2,s:3'),
+('package.json', 'peer', 1, 't:*'), ('go.mod', 'prod', 1, 'u:v1'), ('Cargo.toml', 'prod', 1, 'w:1.0')) v(manifest, scope, n, entries)"""),
+    (imports_and_tags, """SELECT * FROM (VALUES ('a.py', 'import', 'x'), ('a.py', 'import', 'z'), ('a.py', 'tag', 'TODO:one'), ('b.ts', 'import', './c'), ('b.ts', 'import', 'r'), ('b.ts', 'tag', 'FIXME:two')) v(path, kind, value)"""),
     (chunk_fixed, None),
     (complexity_python, None),
 ]

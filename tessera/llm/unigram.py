@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers at most; then it forgets all and starts anew.
-REMEMBER = 200_000
+#: Words in each half of a worker's memory (about 70 MB a half).
+REMEMBER = 400_000
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -128,6 +129,7 @@ class Encoder:
         self.base, self.check, self.piece = pieces.base.tolist(), pieces.check.tolist(), pieces.piece.tolist()
         self.scores = pieces.scores.tolist()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.remember = remember
 
     def segment(self, text: str) -> list[int]:
@@ -171,22 +173,28 @@ class Encoder:
         """Ids as little-endian 32-bit integers; none for an empty text."""
         if not text:
             return b""
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
         if not self.p.by_word:
             return np.array(self.segment(MARK + text.replace(" ", MARK)), dtype="<i4").tobytes()
         if "  " in text or text[0] == " " or MARK in text:
             chunks = _CHUNKS.findall(MARK + text.replace(" ", MARK))
         else:
             chunks = text.split(" ")
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            for c in chunks:
-                if c not in known:
-                    known[c] = np.array(self.segment(c if c[:1] == MARK else MARK + c), dtype="<i4").tobytes()
-            return b"".join([known[c] for c in chunks])
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = self._learn(chunks[i])
+        return b"".join(found)
+
+    def _learn(self, chunk: str) -> bytes:
+        """A word's ids, remembered. The memory has two halves: when the new one is full, it becomes the old one."""
+        ids = self.known.get(chunk) or self.old.get(chunk)
+        if ids is None:
+            ids = array("i", self.segment(chunk if chunk[:1] == MARK else MARK + chunk)).tobytes()
+        if len(self.known) >= self.remember:
+            self.old, self.known = self.known, {}
+        self.known[chunk] = ids
+        return ids
 
     def decode(self, ids: bytes) -> str:
         shown = self.p.shown

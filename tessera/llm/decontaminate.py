@@ -153,4 +153,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -
     scratch = Scratch(docs.sparkSession, "decontaminate")
     bad = contamination(docs, benchmark, span).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
     bad = scratch.keep(bad, "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -64,7 +64,7 @@ def test_every_shared_span_is_found(spark):
 
 
 def test_empty_tables_and_dropping(spark):
-    docs = spark.createDataFrame([(1, "a b c", "k"), (2, None, "k"), (None, "a b c d", "k")], "doc_id long, text string, window string")
+    docs = spark.createDataFrame([(1, "a b c", "k"), (2, None, "k"), (None, "a b c d", "k")], "doc_id long, text string, bad_id string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(docs.limit(0), none).count() == 0
     assert [r.contaminated for r in contamination(docs, none).collect()] == [False] * 3

@@ -53,7 +53,7 @@ class Bm25Index:
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus")))
 
-    def search(self, queries: DataFrame, n: int = 5, offset_ties_by: str = "id") -> DataFrame:
+    def search(self, queries: DataFrame, n: int = 5) -> DataFrame:
         """``query_id, rank, id, score`` of the n best of each query (``query_id, query``); scores of 0 or less are dropped after ranking."""
         wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         terms = wanted.select("term").distinct()
@@ -62,7 +62,7 @@ class Bm25Index:
         part = met.join(wanted, "term").join(stats, "term").join(self.doc_stats, "id").crossJoin(F.broadcast(self.corpus))
         tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         scored = part.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)), 6).alias("score"))
-        return top(scored, n, F.desc("score"), F.col(offset_ties_by)).filter("score > 0")
+        return top(scored, n, F.desc("score"), F.col("id")).filter("score > 0")
 
 
 def top(scored: DataFrame, n: int, *order: Column, by: str = "query_id") -> DataFrame:

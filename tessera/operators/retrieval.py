@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import advanced_relevance, simple_relevance, tokens
+from tessera.sources.shared import stored
 
 # Fixed values of the ranking formulas.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,7 +25,7 @@ def idf(df: Column, n: Column) -> Column:
 
 @dataclass
 class Bm25Index:
-    """Tables of an inverted index: ``postings(term, id, tf)``, ``doc_stats(id, dl)``, ``term_stats(term, df, idf)``, ``corpus(n, avgdl, mean_idf)``."""
+    """Tables of an inverted index: ``postings(term, id, dl, tf)``, ``doc_stats(id, dl)``, ``term_stats(term, df, idf)``, ``corpus(n, avgdl, mean_idf)``."""
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -33,17 +34,19 @@ class Bm25Index:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Bm25Index:
-        words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-        doc_stats = words.select("id", F.size("words").cast("long").alias("dl"))
-        postings = words.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-        totals = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        # Distinct words of a row count once, so document frequencies need no shuffle of all postings.
-        df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.crossJoin(F.broadcast(totals)).select("term", "df", idf(F.col("df"), F.col("n")).alias("raw"))  # one row of totals
+        words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("dl", F.size("words").cast("long"))
+        postings = words.select("id", "dl", F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        # Distinct words of a row count once, so document frequencies need no shuffle of all postings; one more entry of
+        # each row, the null, brings the totals in the same pass. The counts are used four times,
+        # so they are written once.
+        entries = words.select("dl", F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"))
+        counted = stored(entries.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")), "terms")
+        totals = counted.filter("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), (F.max("length") / F.max("df")).alias("avgdl"))
+        raw = counted.filter("term is not null").crossJoin(F.broadcast(totals)).select("term", "df", idf(F.col("df"), F.col("n")).alias("raw"))  # one row of totals
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
         corpus = totals.crossJoin(mean)
         term_stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-        return cls(postings, doc_stats, term_stats, corpus)
+        return cls(postings, words.select("id", "dl"), term_stats, corpus)
 
     def save(self, path: str) -> None:
         for name in ("postings", "doc_stats", "term_stats", "corpus"):
@@ -59,7 +62,7 @@ class Bm25Index:
         terms = wanted.select("term").distinct()
         met = self.postings.join(F.broadcast(terms), "term", "left_semi")  # pushed below the count of postings
         stats = self.term_stats.join(F.broadcast(terms), "term", "left_semi")
-        part = met.join(wanted, "term").join(stats, "term").join(self.doc_stats, "id").crossJoin(F.broadcast(self.corpus))
+        part = met.join(F.broadcast(wanted), "term").join(stats, "term").crossJoin(F.broadcast(self.corpus))
         tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         scored = part.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)), 6).alias("score"))
         return top(scored, n, F.desc("score"), F.col("id")).filter("score > 0")

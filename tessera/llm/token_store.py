@@ -30,8 +30,8 @@ from tessera.llm.files import make_dirs, open_read, open_write
 
 MAGIC = b"TESSEF01"
 SAMPLE = 256
-#: Pieces of text in each half of a worker's memory (about 90 MB a half).
-REMEMBER = 500_000
+#: Pieces of text in each half of a worker's memory (about 130 MB a half).
+REMEMBER = 700_000
 
 
 class EliasFano:
@@ -152,6 +152,7 @@ class TextEncoder:
         self.with_space[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.remember = remember
 
     def _whole(self, text: str) -> bytes:
@@ -174,7 +175,12 @@ class TextEncoder:
                 return self._whole(text)
             for i in lacking:
                 found[i] = known[rest[i]]
-        return self._whole(first) + b"".join(found) + (b"" if last is None else self._whole(" " + last))
+        head = self.heads.get(first)
+        if head is None:
+            if len(self.heads) > self.remember:
+                self.heads.clear()
+            head = self.heads[first] = self._whole(first)
+        return head + b"".join(found) + (b"" if last is None else self._whole(" " + last))
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes] | None:
         """Put pieces into the memory, which is returned; None if one is empty or ends in white space, so that a space

@@ -40,6 +40,11 @@ class Scratch:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def forget(self, kept: DataFrame) -> None:
+        """Delete a table that ``keep`` returned and that nothing will read again."""
+        for at in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+            self.drop(at)
+
     def drop(self, at: str | None = None) -> None:
         """Delete one path, or everything this run wrote."""
         jvm = self.spark._jvm

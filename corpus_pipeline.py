@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import Scratch
 from tessera.llm.decontaminate import drop_contaminated
+from tessera.llm.minhash import drop_near_copies
 from tessera.llm.quality import keep_good
 from tessera.llm.secrets import mask_secrets
-from tessera.llm.simhash import drop_near_duplicates
 from tessera.llm.unigram import encode
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays."""
-    return drop_near_duplicates(docs, shingle=3, max_bits=3)
+    """Of documents linked by a Jaccard index of 0.8 or more on five-word shingles the one with the smallest doc_id stays."""
+    return drop_near_copies(docs, size=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

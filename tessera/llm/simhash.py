@@ -110,7 +110,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -
 
     Rows without a doc_id can't be told apart and stay. Of repeated rows with one doc_id one stays.
     """
-    groups = simhash_groups(docs.filter("doc_id is not null"), shingle, max_bits)
+    return first_of_groups(docs, simhash_groups(docs.filter("doc_id is not null"), shingle, max_bits))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their group (``doc_id, component_id``), and those without a doc_id."""
     scratch = Scratch(docs.sparkSession, "simhash")
     kept = scratch.keep(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # The ids grow with the corpus: always by a shuffle, never by a broadcast that only small inputs allow.

@@ -41,9 +41,9 @@ def unmentioned(entries: DataFrame, texts: DataFrame, token: str, text: str = "t
     """Rows of ``entries`` whose token (as a string) is in none of the texts.
 
     A containment anti join has no key. The tokens are met with the distinct words of the texts instead: tokens of
-    word characters are looked for inside words that are at least as long, keyed by every slice of the tokens' sizes.
+    word characters are looked for inside words that are at least as long, keyed by every slice of the tokens' sizes, however many sizes there are.
     """
-    sizes = [r.n for r in entries.select(F.length(F.col(token).cast("string")).alias("n")).distinct().limit(64).collect()]
+    sizes = [r.n for r in entries.select(F.length(F.col(token).cast("string")).alias("n")).distinct().filter("n is not null").collect()]
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1)))).alias("w")).distinct()
     slices = None
     for n in sorted(sizes):

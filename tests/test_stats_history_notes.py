@@ -108,3 +108,11 @@ def test_metadata(spark):
     assert tuple(incremental.metadata_stats(empty).first()) == (0, None)
     two = spark.createDataFrame([("a", 1.0, datetime(2024, 1, 1, 10)), ("b", 1.0, datetime(2024, 1, 1, 11))], "path string, mtime double, indexed_at timestamp")
     assert tuple(incremental.metadata_stats(two).first()) == (2, datetime(2024, 1, 1, 11))
+
+
+def test_unmentioned_looks_for_tokens_of_every_length(spark):
+    from tessera.operators.notes import unmentioned
+
+    texts = spark.createDataFrame([("a" * 80,)], "text string")
+    entries = spark.createDataFrame([("a" * n,) for n in range(1, 73)] + [("zz",)], "token string")
+    assert [r.token for r in unmentioned(entries, texts, "token").collect()] == ["zz"]

@@ -34,7 +34,8 @@ _AT = re.compile(r"(?i)[A-Za-z0-9._%+-]{1,64}\s?[\[({]at[\])}]\s?[A-Za-z0-9-]{1,
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]{2,15} [A-Z][a-z]{2,20}(?![A-Za-z])")
+_NAME = re.compile(r"(?<![A-Za-z])(?=([A-Z][a-z]{2,15} [A-Z][a-z]{2,20})(?![A-Za-z]))")
+_BRACKET_AT = re.compile(r"(?i)[\[({]at[\])}]")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 # Fixed values of the gazetteers and of the context labeler.
@@ -85,17 +86,32 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     return kept, failed
 
 
+def _listed(name: str) -> bool:
+    return name.partition(" ")[0] in GIVEN
+
+
+def _names(text: str) -> list[tuple[int, int]]:
+    """Spans of the shape of a name that don't overlap: those with a listed given name first, then the leftmost."""
+    every = [m.span(1) for m in _NAME.finditer(text)]
+    out, upto = [], 0
+    for k, (a, b) in enumerate(every):
+        rival = k + 1 < len(every) and every[k + 1][0] < b and _listed(text[slice(*every[k + 1])]) and not _listed(text[a:b])
+        if a >= upto and not rival:
+            out.append((a, b))
+            upto = b
+    return out
+
+
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and other candidates that don't overlap them or each other."""
     base, loose = base_spans(text)
-    low = "at]" in text or "at)" in text or "at}" in text or "AT" in text
-    if low:
+    if _BRACKET_AT.search(text):
         loose += [("email", *m.span()) for m in _AT.finditer(text)]
-    if "-" in text or "." in text:
-        loose += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
+    loose += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text)]
+    if "-" in text:
         loose += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     loose += [("iban", *m.span()) for m in _IBAN.finditer(text)]
-    loose += [("name", *m.span()) for m in _NAME.finditer(text) if text[m.start() : text.index(" ", m.start())] in GIVEN]
+    loose += [("name", a, b) for a, b in _names(text) if _listed(text[a:b])]
     taken = sorted((a, b) for _, a, b in base)
     out, k, upto = [], 0, 0
     for kind, a, b in sorted(loose, key=lambda s: (s[1], -s[2], s[0])):

@@ -54,3 +54,10 @@ def test_table(spark):
         assert [KINDS.index(s.kind) for s in r.spans] == sorted(KINDS.index(s.kind) for s in r.spans)
     assert any(len(r.spans) > len(r.base) for r in out)
     assert personal_data(docs.limit(0)).count() == 0
+
+
+def test_candidates_are_not_gated_by_the_whole_text():
+    found = lambda text: [(k, text[a:b]) for k, a, b in candidates(text)[1]]
+    assert found("call (212) 555 1234 now") == [("phone", "(212) 555 1234")]
+    assert found("to joe [At] mail (dOT) com") == [("email", "joe [At] mail (dOT) com")] and found("to joe(aT)mail.com") == [("email", "joe(aT)mail.com")]
+    assert found("said Zelda Smith and then Contact James Brown") == [("name", "James Brown")]

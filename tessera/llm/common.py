@@ -6,6 +6,7 @@ Nothing here keeps data on one machine: intermediate results are Parquet tables
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,9 +43,18 @@ class Scratch:
         """Write ``df`` and return it as read back: its lineage ends there."""
         self._next += 1
         at = self.path(f"{self._next:03d}-{name}")
-        df.write.parquet(at)
+        self.write(df.write, at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def write(self, writer, at: str) -> None:
+        """Write a table; the shuffle files of the job go when it ends, since nothing but the table is read later."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(at)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+
     def forget(self, kept: DataFrame) -> None:
         """Delete a table that ``keep`` returned and that nothing will read again."""
         for at in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:

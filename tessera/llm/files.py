@@ -48,6 +48,26 @@ def open_read(uri: str):
         yield source
 
 
+def read_parquet_folder(uri: str, columns: list[str]):
+    """The Parquet files right below a folder as one Arrow table; None if there is no such folder or no file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    system, path = _place(uri)
+    if system is None:
+        names = [f"{path}/{n}" for n in sorted(os.listdir(path))] if os.path.isdir(path) else []
+    else:
+        from pyarrow import fs
+
+        names = sorted(x.path for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)))
+    parts = []
+    for name in names:
+        if name.endswith(".parquet"):
+            with open(name, "rb") if system is None else system.open_input_file(name) as source:
+                parts.append(pq.ParquetFile(source).read(columns=columns))
+    return pa.concat_tables(parts) if parts else None
+
+
 def size_of(uri: str) -> int:
     system, path = _place(uri)
     return os.path.getsize(path) if system is None else system.get_file_info(path).size

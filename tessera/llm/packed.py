@@ -60,6 +60,21 @@ def whole_groups(batches, least: int = 4096):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def each_group(batches):
+    """A table for each value of the first column, from batches in which equal values follow each other."""
+    key, held = None, []
+    for batch in batches:
+        values, cuts = starts_of(batch.column(0).to_numpy())
+        for value, a, b in zip(values, cuts[:-1], cuts[1:]):
+            if held and value != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = value
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def by_items(column: pa.Array, most: int):
     """Ranges of rows of a packed column (64-bit items) with about ``most`` items each, one row at least."""
     _, starts = unpack(column, "<i8")

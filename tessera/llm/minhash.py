@@ -1,9 +1,12 @@
-"""Near copies by the Jaccard index of word shingles: MinHash bands propose pairs, the shingles themselves decide.
-
-A text is the set of its ``shingle``-word hashes; equal sets are one node. A node has BANDS keys of ROWS minima each;
-two texts with an index of 0.8 share a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Every pair that shares
-a key is either verified on the whole sets, or already in one component by other verified pairs: all members of a key
-are first held against its smallest and its largest node, and what these leave apart is held against each other.
+"""Near copies by the Jaccard index of word shingles: fingerprints and MinHash bands propose pairs, the shingles decide.
+
+A text is the set of its ``shingle``-word hashes; equal sets are one node. SimHash fingerprints within two bits
+(``simhash.close_pairs``) find the copies with the smallest edits, but an index of 0.8 means ten differing bits on
+average, which no segments of 64 bits can index. So a node also has BANDS keys of ROWS minima each; two texts with an
+index of 0.8 share a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Every pair that shares a key is either
+verified on the whole sets, or already in one component by other verified pairs: all members of a key are first held
+against its smallest and its largest node; while many pairs are left, members outside the commonest component of
+their key are held against a few members of that; what still is apart is held against each other.
 """
 
 from __future__ import annotations
@@ -18,26 +21,35 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, utf8_rows
 from tessera.llm.components import connected_components
 from tessera.llm.packed import pack, unpack
-from tessera.llm.simhash import SEED, first_of_groups
+from tessera.llm.simhash import SEED, close_pairs, first_of_groups, majority
 
 BANDS, ROWS = 20, 5
 BLOCK = 1 << 12
+#: Members of the commonest component that a key's other members are held against in a round.
+PIVOTS = 4
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: bytes, size: int = 5) -> np.ndarray:
-    """Sorted different hashes of the runs of ``size`` words (of all words where there are fewer), A-Z in lower case."""
+def hashes(text: bytes, size: int = 5) -> np.ndarray:
+    """Hashes of the runs of ``size`` words (of all words where there are fewer), A-Z in lower case; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     span = min(size, len(words))
-    if not span:
-        return np.zeros(1, "<u8")
-    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[span:])], dtype="<u8"))
+    return np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[span:])] if span else [], dtype="<u8")
+
+
+def as_set(found: np.ndarray) -> np.ndarray:
+    """Sorted different hashes; the set of a text without words holds a zero."""
+    return np.unique(found) if len(found) else np.zeros(1, "<u8")
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    return as_set(hashes(text, size))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -62,16 +74,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, node, keys`` for every row."""
+    """``doc_id, node, bits, keys`` for every row."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, size) for t in utf8_rows(batch.column(1))]
-            nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            found = [hashes(t, size) for t in utf8_rows(batch.column(1))]
+            sets = [as_set(x) for x in found]
+            nodes, bits = (np.array(x, np.uint64).view(np.int64) for x in ([node_of(s) for s in sets], [majority(x) for x in found]))
             keys = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pack(keys, np.arange(len(sets) + 1) * BANDS)], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(bits), pack(keys, np.arange(len(sets) + 1) * BANDS)], names=["doc_id", "node", "bits", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, keys binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, bits long, keys binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -103,7 +116,8 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
     """``doc_id, component_id`` for each row of ``docs`` (``doc_id, text``): documents whose sets of ``size``-word
     shingles have a Jaccard index of ``least`` or more are linked; ``component_id`` is the smallest doc_id reachable.
 
-    Null and empty texts are one node. Rows without a doc_id take no part; repeated rows repeat.
+    Null and empty texts are one node. Rows without a doc_id take no part; repeated rows repeat. Of a doc_id with
+    different texts each row has the component of its own text.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.filter("doc_id is not null")
@@ -114,24 +128,48 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
             keys, starts = unpack(batch.column(1), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(starts))), pa.array(keys)], names=["node", "key"])
 
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "nodes")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.select("node", "keys").mapInArrow(split, "node long, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     members = scratch.keep(keyed.join(shared, "key"), "members")
-    alike = members.select("node").distinct()
-    wanted = rows.join(alike, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    sets = scratch.keep(_sets(_texts(docs).join(wanted.hint("shuffle_merge"), "doc_id", "left_semi"), size), "sets")
     pair = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    ends = [members.select(*pair(F.col("node"), F.col(c))).filter("src <> dst") for c in ("low", "high")]
-    links = scratch.keep(_verified(ends[0].unionAll(ends[1]).distinct(), sets, least), "links")
+    prints = scratch.keep(nodes.groupBy("bits").agg(F.min("node").alias("named")), "prints")
+    same = nodes.join(prints, "bits").select(*pair(F.col("node"), F.col("named")))
+    near = close_pairs(prints.select("bits"), 2)
+    for end in ("src", "dst"):
+        near = near.join(prints.select(F.col("bits").alias(end), F.col("named").alias(f"{end}_node")), end)
+    alike = [same, near.select(*pair(F.col("src_node"), F.col("dst_node"))), *(members.select(*pair(F.col("node"), F.col(c))) for c in ("low", "high"))]
+    pairs = alike[0]
+    for more in alike[1:]:
+        pairs = pairs.unionAll(more)
+    pairs = scratch.keep(pairs.filter("src <> dst").distinct(), "pairs")
+    wanted = members.select("node").unionAll(pairs.select("src")).unionAll(pairs.select("dst")).distinct()
+    wanted = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    sets = scratch.keep(_sets(_texts(docs).join(wanted.hint("shuffle_merge"), "doc_id", "left_semi"), size), "sets")
+    links = scratch.keep(_verified(pairs, sets, least), "links")
     roots = scratch.keep(connected_components(links, scratch), "roots")
     labelled = scratch.keep(members.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
-    apart = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    open_ = scratch.keep(labelled.join(apart, "key", "left_semi"), "open")
+    total, turn, before = labelled.count(), 0, None
+    while True:
+        pivots = [F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), *pivots)
+        main = parts.groupBy("key").agg(F.max_by(F.struct("root", *[f"p{i}" for i in range(PIVOTS)]), F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        main = scratch.keep(main.filter("roots > 1"), "main")
+        left = main.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()[0]
+        # Rounds cost as much as there are members; they end where all that is left costs no more, or where they join little.
+        if left <= total or (before is not None and left > 0.9 * before):
+            break
+        before, turn = left, turn + 1
+        apart = labelled.join(main.select("key", "main"), "key").filter(F.col("root") != F.col("main.root"))
+        asked = apart.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"main.p{i}") for i in range(PIVOTS)]))).alias("pivot"))
+        found = _verified(asked.select(*pair(F.col("node"), F.col("pivot"))).distinct(), sets, least)
+        links = links.unionAll(scratch.keep(found, "links"))
+        roots = scratch.keep(connected_components(links, scratch), "roots")
+        labelled = scratch.keep(members.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
+    open_ = scratch.keep(labelled.join(main.select("key"), "key", "left_semi"), "open")
     other = open_.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
     rest = open_.join(other, "key").filter("root < other_root").select(*pair(F.col("node"), F.col("other"))).distinct()
-    more = _verified(rest, sets, least)
-    roots = connected_components(links.unionAll(more), scratch)
+    roots = connected_components(links.unionAll(_verified(rest, sets, least)), scratch)
     linked = scratch.keep(nodes.select("node", "first_id").join(roots, "node").select("node", "root", "first_id"), "linked")
     named = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     merged = linked.join(named, "root").select("node", "least_id")

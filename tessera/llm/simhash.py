@@ -33,14 +33,24 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     span = min(shingle, len(words))
-    total, n = np.zeros(64, np.int64), len(words) - span + 1
-    for at in range(0, n, BLOCK):
-        upto = min(n, at + BLOCK)
-        hashes = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts[at:upto], starts[at + span : upto + span])], dtype="<u8")
+    n = len(words) - span + 1
+    blocks = (zip(starts[at : min(n, at + BLOCK)], starts[at + span : min(n, at + BLOCK) + span]) for at in range(0, n, BLOCK))
+    return _majority(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in block], dtype="<u8") for block in blocks)
+
+
+def _majority(blocks) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the hashes; zero for none."""
+    return _majority(hashes[at : at + BLOCK] for at in range(0, len(hashes), BLOCK))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, bits`` for every row; null and empty texts get zero. Other columns are not read."""
 
@@ -108,17 +118,25 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays, columns as given.
 
-    Rows without a doc_id can't be told apart and stay. Of repeated rows with one doc_id one stays.
+    Rows without a doc_id can't be told apart and stay. Of several rows with one doc_id, whose texts may differ, one
+    stays, if any of them names its group: the one with the smallest hash of its text.
     """
     return first_of_groups(docs, simhash_groups(docs.filter("doc_id is not null"), shingle, max_bits))
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their group (``doc_id, component_id``), and those without a doc_id."""
+    """The rows of ``docs`` that name their group (``doc_id, component_id``), and those without a doc_id.
+
+    A doc_id with several rows may be in several groups. It stays, once, only if it names all of them: a row of it that
+    copies an earlier document makes it a copy.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    kept = scratch.keep(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    named = groups.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).filter("doc_id = least")
+    kept = scratch.keep(named.select("doc_id", "n"), "kept")
     # The ids grow with the corpus: always by a shuffle, never by a broadcast that only small inputs allow.
     out = docs.join(kept.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+        first = F.min_by(F.struct(*out.columns), F.struct(F.xxhash64("text"), F.xxhash64(*hashed))).alias("row")
+        out = out.groupBy("doc_id").agg(first).select("row.*")
     return out.unionByName(docs.filter("doc_id is null"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera.llm.minhash import band_keys, drop_near_copies, near_copy_groups, shingles
 
 
@@ -23,8 +25,23 @@ def edited():
     return [*texts, None, "", "  ", "one two", "One  two", texts[0]]
 
 
-def test_groups_against_brute_force(spark):
-    texts = edited()
+def large_group():
+    """Copies of one text with edits of their own, most pairs of which stay under an index of 0.8, and another group."""
+    rng = random.Random(9)
+    texts = []
+    for size, copies in ((120, 220), (90, 60)):
+        body = [f"v{rng.randrange(900)}" for _ in range(size)]
+        for _ in range(copies):
+            own = [*body]
+            for at in rng.sample(range(size), rng.randrange(1, 4)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("texts", [edited(), large_group()])
+def test_groups_against_brute_force(spark, texts):
     sets = [brute(t) for t in texts]
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     label = list(range(len(texts)))
@@ -35,7 +52,7 @@ def test_groups_against_brute_force(spark):
         label = new
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_copy_groups(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == label and 45 < len(set(label)) < 140
+    assert [got[i] for i in range(len(texts))] == label and 1 < len(set(label)) < 140
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(set(label))
 
 

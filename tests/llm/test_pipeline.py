@@ -5,9 +5,8 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tessera.llm.quality import _discriminant, statistics
+from tessera.llm.quality import DIAGONAL, POOL, _discriminant, statistics
 from tessera.llm.secrets import fit, redact, scan
-from tessera.llm.simhash import fingerprint
 from tessera.llm.unigram import Encoder, load
 from tests.llm.test_decontaminate import brute
 
@@ -37,12 +36,13 @@ def plain(docs, labels, items):
     known = {d: q for d, q in labels if zlib.crc32(str(d).encode()) % 3 != 1}
     x = {d: np.array(statistics((t or "").encode())) for d, t, *_ in docs}
     own = [np.array([x[d] for d in known if known[d] == k]) for k in (0, 1)]
-    model = _discriminant(np.array([float(len(o)) for o in own]), np.array([o.sum(0) for o in own]), np.array([o.T @ o for o in own]), 0.2, 0.1)
+    model = _discriminant(np.array([float(len(o)) for o in own]), np.array([o.sum(0) for o in own]), np.array([o.T @ o for o in own]), POOL, DIAGONAL)
     left = {d: (t, s) for d, t, _, s, _ in docs if model.score(x[d][None])[0] >= 0.5}
-    prints = {d: fingerprint((t or "").encode()) for d, (t, _) in left.items()}
+    words = {d: (t or "").encode().lower().split() for d, (t, _) in left.items()}
+    runs = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
     label = {d: d for d in left}
     while True:
-        new = {d: min(label[o] for o in left if (prints[d] ^ prints[o]).bit_count() <= 3) for d in left}
+        new = {d: min(label[o] for o in left if len(runs[d] & runs[o]) >= 0.8 * len(runs[d] | runs[o])) for d in left}
         if new == label:
             break
         label = new

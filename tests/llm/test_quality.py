@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tessera.llm.quality import STATISTICS, Discriminant, _discriminant, keep_good, quality_scores, statistics
+from tessera.llm.quality import DIAGONAL, POOL, STATISTICS, Discriminant, _discriminant, fit, keep_good, quality_scores, statistics
 
 
 def corpus(n=300):
@@ -50,3 +50,16 @@ def test_edges_of_input(spark):
     assert quality_scores(docs.limit(0), labels.limit(0)).count() == 0
     assert keep_good(docs, labels).columns == docs.columns
     assert all(np.isfinite(statistics(t)).all() for t in (b"", b" ", b"!!!", b"A" * 99, "é|".encode() * 50))
+
+
+def test_fit_counts_repeated_labels_and_takes_a_bounded_sample(spark):
+    docs, labels = corpus(200)
+    more = [*labels, labels[0], labels[0], (2, 1 - dict(labels)[2])]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(more, "doc_id long, quality int")
+    x = {i: np.array(statistics(t.encode())) for i, t in docs}
+    own = [np.array([x[i] for i, q in more if q == k and zlib.crc32(str(i).encode()) % 3 != 1]) for k in (0, 1)]
+    want = _discriminant(np.array([float(len(o)) for o in own]), np.array([o.sum(0) for o in own]), np.array([o.T @ o for o in own]), POOL, DIAGONAL)
+    got = fit(*tables)
+    assert np.allclose(got.means, want.means) and np.allclose(got.whiten, want.whiten) and np.allclose(got.log_prior, want.log_prior)
+    few = fit(*tables, rows=40)
+    assert not np.allclose(few.means, want.means)

@@ -36,7 +36,7 @@ def test_pairs_are_exact(spark):
             values.add(v ^ sum(1 << b for b in rng.sample(range(64), flips)))
     values |= {0, 1, 3, 2**64 - 1, 2**63}
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    for bits in (1, 2, 4):
+    for bits in (1, 2, 3, 4):
         got = {tuple(sorted(r)) for r in close_pairs(spark.createDataFrame([(v,) for v in signed], "bits long"), bits).collect()}
         mask = (1 << 64) - 1
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= bits}
@@ -77,3 +77,11 @@ def test_edges_of_input(spark):
     assert sorted(r.component_id for r in simhash_groups(docs).collect()) == [3, 3, 3, 3, 9]
     assert sorted(drop_near_duplicates(docs).toPandas().doc_id.fillna(-1)) == [-1, 3, 9]
     assert fingerprints(docs).columns == ["doc_id", "bits"]
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, "q r s t u"), (7, "v w x y"), (7, "f g h i j"), (8, "v w x y")]
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, m map<string,int>")
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()]
+    # A row of 5 copies 3; both rows of 7 are the first of their groups, and one of them stays; 8 copies a row of 7.
+    assert sorted(d for d, _ in kept) == [3, 7] and (kept[0] in rows) and (kept[1] in rows)

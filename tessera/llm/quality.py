@@ -3,11 +3,13 @@
 Each class has a mean and a covariance, shrunk towards the pooled one and towards its own diagonal. A score is the
 logistic of the difference of the two log densities (Mahalanobis distance and log determinant, both from Cholesky
 factors that are computed once) plus the log prior ratio.
+
+The model is fitted on a bounded sample of labelled rows (``FIT_ROWS``); every document is measured once, when it is
+scored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,22 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
-
 #: Towards the pooled covariance, and towards the diagonal.
-POOL, DIAGONAL = 0.2, 0.1
+POOL, DIAGONAL = 0.7, 0.05
 RIDGE = 1e-3
-STATISTICS = (
-    "log_words", "mean_word", "spread_word", "upper", "digit", "symbol", "pipe", "bang",
-    "short_words", "distinct", "repeated_lines", "stops", "line_words", "sticky",
-)
+#: Labelled (doc_id, label) pairs that a model is fitted on, about; all if there are fewer.
+FIT_ROWS = 50_000
+STATISTICS = ("log_words", "mean_word", "spread_word", "upper", "digit", "symbol", "short_words", "distinct", "repeated_lines", "stops", "line_words")
 _NO_LETTERS = bytes(i for i in range(256) if chr(i).isalnum() and i < 128 or i >= 128 or i in b" \t\r\n\x0b\x0c")
 _UPPER = bytes(i for i in range(256) if not 65 <= i <= 90)
 _LOWER = bytes(i for i in range(256) if not 97 <= i <= 122)
 _DIGIT = bytes(i for i in range(256) if not 48 <= i <= 57)
-_STICKY = re.compile(rb"[0-9A-Za-z\x80-\xff,.;][^\s0-9A-Za-z\x80-\xff,.;:'\")\]-]{2,}(?=\s|$)")
-
-
 #: Words (and characters) of typical text that each rate is smoothed with, so that a few words don't look extreme.
 WORDS, CHARS = 8.0, 50.0
 
@@ -53,7 +49,6 @@ def statistics(text: bytes) -> list[float]:
     lines = text.split(b"\n")
     stops = text.count(b". ") + text.count(b".\n") + text.endswith(b".")
     short = sum(1 for x in lengths if x <= 3)
-    sticky = len(_STICKY.findall(text)) if symbols else 0
     return [
         float(np.log(n + WORDS)),
         float(np.log(mean)),
@@ -61,14 +56,11 @@ def statistics(text: bytes) -> list[float]:
         _logit(upper, upper + lower, 0.03, CHARS),
         _logit(digits, size, 0.004, CHARS),
         _logit(symbols, size, 0.03, CHARS),
-        _logit(words.count(b"|"), n, 0.01),
-        _logit(text.count(b"!"), n + text.count(b"!"), 0.01),
         _logit(short, n, 0.3),
         float(np.log((len(set(words)) + WORDS) / np.sqrt(n + WORDS))),
         _logit(len(lines) - len(set(lines)), len(lines), 0.02),
         _logit(min(stops, n), n, 0.1),
         float(np.log((n + WORDS) / (len(lines) + 1.0))),
-        _logit(min(sticky, n), n, 0.01),
     ]
 
 
@@ -77,19 +69,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([statistics(t or b"") for t in texts], dtype=np.float64).reshape(-1, len(STATISTICS))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, stats`` for every row of ``docs``."""
-
-    def run(batches):
-        for batch in batches:
-            found = _matrix(batch.column(1))
-            stats = pa.ListArray.from_arrays(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["doc_id", "stats"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, stats array<double>")
-
-
 @dataclass
 class Discriminant:
     """Means, inverse Cholesky factors, log determinants and log priors of both classes."""
@@ -131,31 +110,36 @@ def learnable(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 != 1, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, pool: float = POOL, diagonal: float = DIAGONAL) -> Discriminant:
-    """Fit on the labelled rows of ``stats`` that ``learnable`` admits; every labelled row counts, as moments.
+def fit(docs: DataFrame, labels: DataFrame, pool: float = POOL, diagonal: float = DIAGONAL, rows: int = FIT_ROWS) -> Discriminant:
+    """Fit on the labelled rows of ``docs`` (``doc_id, text``) that ``learnable`` admits, about ``rows`` of them.
 
-    Each task sums its rows to two sets of moments, and the sums are added: what reaches the driver does not grow
-    with the input. Null labels are left out. Where a class has no rows the scores rest on the prior and the pooled
-    covariance.
+    The sample takes (doc_id, label) pairs by a hash of the id, and counts a pair as often as it is labelled, so it is
+    small enough to be sent to the texts, whatever the labels. Each task sums its rows to two sets of moments, and the
+    sums are added: what reaches the driver does not grow with the input. Null labels are left out. Where a class has
+    no rows the scores rest on the prior and the pooled covariance.
     """
     d = len(STATISTICS)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = stats.join(known.filter(learnable() & F.col("quality").isin(0, 1)), "doc_id").select("quality", "stats")
+    known = known.filter(learnable() & F.col("quality").isin(0, 1)).groupBy("doc_id", "quality").agg(F.count("*").alias("weight"))
+    share = rows / max(1, known.count())
+    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(min(1.0, share) * (1 << 31)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
-            y = np.asarray(batch.column(0).to_pylist(), dtype=int)
-            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, d)
+            x, y = _matrix(batch.column(2)), batch.column(0).to_numpy()
+            w = batch.column(1).to_numpy().astype(float)
             for k in (0, 1):
-                own = x[y == k]
-                total[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+                own, weight = x[y == k], w[y == k]
+                total[k] += np.concatenate([[weight.sum()], weight @ own, ((own.T * weight) @ own).ravel()])
         for k in (0, 1):
             if total[k, 0]:
                 slots = np.arange(total.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(slots.size, k, np.int32)), pa.array(slots), pa.array(total[k])], names=["k", "slot", "v"])
 
-    sums = rows.mapInArrow(run, "k int, slot int, v double").groupBy("k", "slot").agg(F.sum("v").alias("v"))
+    met = texts.join(F.broadcast(sample), "doc_id").select("quality", "weight", "text")  # about `rows` small rows
+    sums = met.mapInArrow(run, "k int, slot int, v double").groupBy("k", "slot").agg(F.sum("v").alias("v"))
     total = np.zeros((2, 1 + d + d * d))
     for r in sums.collect():  # 2 * (1 + d + d * d) rows
         total[r.k, r.slot] = r.v
@@ -168,27 +152,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts get the score of the empty text's statistics; a null doc_id is scored and not held out;
     repeated rows are each scored, and count as often as they are labelled when fitting.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.keep(document_statistics(docs), "statistics")
-    model = fit(stats, labels)
+    model = fit(docs, labels)
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts (score of 0.5 or more), columns as given.
-
-    The texts stay where they are: the model is fitted on statistics, then applied while the rows stream by.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(scratch.keep(document_statistics(docs), "statistics"), labels)
+    """The rows of ``docs`` that the classifier accepts (score of 0.5 or more), columns as given; texts stay where they are."""
+    model = fit(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -2,13 +2,15 @@
 
 Shards follow the order of doc_id. A shard is one file:
 
-    ids (2 or 4 bytes each, little-endian), then three parts padded to eight bytes each:
-    low halves of the n boundaries (l bits each, packed), high halves (unary bit vector of n + (m + 1 >> l) + 1 bits),
-    doc_ids (signed 64-bit); last seven little-endian 64-bit numbers: documents n, ids m, bytes per id, low bits l and
-    the lengths of the three parts, and the magic ``TESSEF01``. Ids come first, so a writer never holds them all.
+    ids (2 or 4 bytes each, little-endian), then four parts padded to eight bytes each:
+    of the boundaries and again of the doc_ids (less the first one) the low halves (l bits each, packed) and the high
+    halves (unary bit vector); last ten little-endian 64-bit numbers: documents n, ids m, bytes per id, the first doc_id,
+    the low bits of both sequences, the lengths of the four parts, and the magic ``TESSEF02``. Ids come first, so a writer never holds them all.
 
 Boundary i is where document i ends. ``select1(i) - i`` of the high bits is its high half, so an offset costs
-``2 + log2(m / n)`` bits instead of 64; a sample of every 256th one makes select local.
+``2 + log2(m / n)`` bits instead of 64; a sample of every 256th byte's rank makes select local. A reader goes through
+the documents by ranges: one select, then the bits that follow it. Neither offsets nor doc_ids are a table of
+64-bit numbers when reading; a writer holds 12 bytes a document until its shard is written.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch
 from tessera.llm.files import make_dirs, open_read, open_write
 
-MAGIC = b"TESSEF01"
+MAGIC = b"TESSEF02"
 SAMPLE = 256
 #: Pieces of text in each half of a worker's memory (about 130 MB a half).
 REMEMBER = 700_000
@@ -43,73 +47,103 @@ class EliasFano:
         self.ranks = np.concatenate([[0], np.cumsum(counts[: len(counts) // SAMPLE * SAMPLE].reshape(-1, SAMPLE).sum(1, dtype=np.int64))]) if len(counts) else np.zeros(1, np.int64)
 
     @classmethod
-    def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
-        low_bits = max(0, int(np.floor(np.log2(universe / n)))) if n and universe > n else 0
-        values = values.astype(np.uint64)
-        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
-        bits[ones] = 1
-        low = (values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"))
+    def encode(cls, blocks: Iterable[np.ndarray], n: int, universe: int) -> EliasFano:
+        """From the values in blocks, ``n`` in all."""
+        low_bits = min(62, max(0, (universe // n).bit_length() - 1)) if n and universe > n else 0
+        high, low, first = np.zeros(-(-(n + (universe >> low_bits) + 1) // 8), np.uint8), [], 0
+        carry = np.zeros(0, np.uint8)
+        for values in blocks:
+            values = values.astype(np.uint64)
+            ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(first, first + len(values))
+            np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+            bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+            bits = np.concatenate([carry, bits.ravel()])
+            whole = len(bits) // 8 * 8
+            low.append(np.packbits(bits[:whole], bitorder="little"))
+            carry = bits[whole:]
+            first += len(values)
+        low.append(np.packbits(carry, bitorder="little"))
+        return cls(n, low_bits, np.concatenate(low), high)
+
+    def _ones(self, first: int, last: int) -> np.ndarray:
+        """Places of the set bits ``first`` .. ``last`` - 1: the block by the samples, then bits from there on."""
+        block = int(np.searchsorted(self.ranks, first, side="right")) - 1
+        at, skip, found, lacking = block * SAMPLE, first - int(self.ranks[block]), [], last - first
+        while lacking > 0:
+            size = max(SAMPLE, -(-lacking // 4))
+            bits = np.flatnonzero(np.unpackbits(self.high[at : at + size], bitorder="little"))
+            found.append(bits[skip : skip + lacking] + at * 8)
+            lacking -= len(found[-1])
+            skip = max(0, skip - len(bits))
+            at += size
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def values(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` .. ``last`` - 1 by one select and the bits after it."""
+        which = np.arange(first, last)
+        high = (self._ones(first, last) - which).astype(np.uint64) << np.uint64(self.low_bits)
+        return high | self._low(which)
 
     def select(self, i: int) -> int:
-        """Value i: the block by the samples, then the bit inside it."""
-        block = int(np.searchsorted(self.ranks, i, side="right")) - 1
-        bits = np.unpackbits(self.high[block * SAMPLE : (block + 1) * SAMPLE] if block + 1 < len(self.ranks) else self.high[block * SAMPLE :], bitorder="little")
-        at = block * SAMPLE * 8 + int(np.flatnonzero(bits)[i - int(self.ranks[block])])
-        return (at - i) << self.low_bits | int(self._low(np.array([i]))[0])
+        return int(self.values(i, i + 1)[0])
 
     def _low(self, which: np.ndarray) -> np.ndarray:
         if not self.low_bits:
-            return np.zeros(len(which), np.int64)
+            return np.zeros(len(which), np.uint64)
         at = which[:, None].astype(np.int64) * self.low_bits + np.arange(self.low_bits)
         bit = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bit.astype(np.int64) << np.arange(self.low_bits)).sum(1)
-
-    def decode(self, block: int = 1 << 16) -> np.ndarray:
-        """All values, block by block."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
-        low = [self._low(np.arange(a, min(self.n, a + block))) for a in range(0, self.n, block)]
-        return high | np.concatenate(low) if self.n else np.zeros(0, np.int64)
+        return (bit.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def _padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % 8)
 
 
-def write_bounds(out, doc_ids: np.ndarray, ends: np.ndarray, id_bytes: int) -> None:
-    """What follows the ids in a shard."""
-    total = int(ends[-1]) if len(ends) else 0
-    bounds = EliasFano.encode(ends, total + 1)
-    parts = [_padded(bounds.low.tobytes()), _padded(bounds.high.tobytes()), _padded(doc_ids.astype("<i8").tobytes())]
+def write_bounds(out, doc_ids: array, lengths: array, id_bytes: int, block: int = 1 << 16) -> None:
+    """What follows the ids in a shard: ``doc_ids`` in ascending order and the number of ids of each document."""
+    n, total = len(doc_ids), sum(lengths)
+    first, universe = (doc_ids[0], doc_ids[-1] - doc_ids[0] + 1) if n else (0, 1)
+
+    def ends():
+        upto = 0
+        for a in range(0, n, block):
+            found = upto + np.cumsum(np.array(lengths[a : a + block], np.int64))
+            upto = int(found[-1])
+            yield found
+
+    ids = (np.array(doc_ids[a : a + block], np.int64).view(np.uint64) - np.array(first, np.int64).view(np.uint64) for a in range(0, n, block))
+    bounds, names = EliasFano.encode(ends(), n, total + 1), EliasFano.encode(ids, n, universe)
+    parts = [_padded(x.tobytes()) for x in (bounds.low, bounds.high, names.low, names.high)]
     for part in parts:
         out.write(part)
-    out.write(struct.pack("<7Q", len(doc_ids), total, id_bytes, bounds.low_bits, *map(len, parts)) + MAGIC)
+    out.write(struct.pack("<3Qq6Q", n, total, id_bytes, first, bounds.low_bits, names.low_bits, *map(len, parts)) + MAGIC)
+
+
+TAIL = 10 * 8 + len(MAGIC)
 
 
 class Shard:
-    """An open shard: boundaries and doc_ids in memory, ids read by range."""
+    """An open shard: boundaries and doc_ids in their encoded form in memory, ids read by range."""
 
     def __init__(self, source):
         self.source = source
         size = source.seek(0, 2)
         size = source.tell() if size is None else size
-        if size < 64:
+        if size < TAIL:
             raise ValueError("not a token shard")
-        source.seek(size - 64)
-        tail = source.read(64)
-        if tail[56:] != MAGIC:
+        source.seek(size - TAIL)
+        tail = source.read(TAIL)
+        if tail[-len(MAGIC) :] != MAGIC:
             raise ValueError("not a token shard")
-        self.n, self.total, self.id_bytes, low_bits, a, b, c = struct.unpack("<7Q", tail[:56])
-        if size != 64 + a + b + c + self.total * self.id_bytes:
+        self.n, self.total, self.id_bytes, self.first, low_bits, name_bits, *sizes = struct.unpack("<3Qq6Q", tail[: -len(MAGIC)])
+        if size != TAIL + sum(sizes) + self.total * self.id_bytes:
             raise ValueError("token shard is inconsistent")
         source.seek(self.total * self.id_bytes)
-        low, high, ids = source.read(a), source.read(b), source.read(c)
-        bits = self.n + (self.total + 1 >> low_bits) + 1
-        self.bounds = EliasFano(self.n, low_bits, np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)[: -(-bits // 8)])
-        self.doc_ids = np.frombuffer(ids, "<i8")[: self.n]
+        parts = [np.frombuffer(source.read(x), np.uint8) for x in sizes]
+        self.bounds, self.names = EliasFano(self.n, low_bits, *parts[:2]), EliasFano(self.n, name_bits, *parts[2:])
+
+    def doc_ids(self, first: int, last: int) -> np.ndarray:
+        return (self.names.values(first, last) + np.array(self.first, np.int64).view(np.uint64)).view(np.int64)
 
     def read(self, first: int, last: int) -> np.ndarray:
         """Ids first .. last-1 of the shard as 32-bit numbers."""
@@ -235,18 +269,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
         shard = first.column(3)[0].as_py()
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
         coder = _encoder(tokenizer_file, id_bytes)
-        ids, ends, total = [], [], 0
+        ids, lengths, total = array("q"), array("I"), 0
         with open_write(path) as out:
             for batch in chain([first], batches):
-                ids.append(batch.column(0).to_numpy())
+                ids.frombytes(batch.column(0).to_numpy().tobytes())
                 for text in batch.column(1).to_pylist():
                     raw = coder.encode(text)
                     out.write(raw)
                     out.write(end)
-                    total += len(raw) // id_bytes + 1
-                    ends.append(total)
-            write_bounds(out, np.concatenate(ids), np.array(ends, np.int64), id_bytes)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ends)], "n_ids": [total]})
+                    lengths.append(len(raw) // id_bytes + 1)
+                    total += lengths[-1]
+            write_bounds(out, ids, lengths, id_bytes)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(ids)], "n_ids": [total]})
 
     make_dirs(docs.sparkSession, folder)
     return ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long")
@@ -266,14 +300,14 @@ def read_tokens(spark, manifest: list, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with open_read(path) as source:
-                    shard = Shard(source)
-                    ends = shard.bounds.decode()
-                    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                    shard, upto = Shard(source), 0
                     for a in range(0, shard.n, 256):
                         b = min(shard.n, a + 256)
-                        ids = shard.read(int(starts[a]), int(ends[b - 1]))
-                        own = [ids[starts[i] - starts[a] : ends[i] - starts[a]] for i in range(a, b)]
-                        columns = [pa.array(shard.doc_ids[a:b]), pa.array(starts[a:b] + base), pa.array(ends[a:b] - starts[a:b]), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
+                        cuts = np.concatenate([[upto], shard.bounds.values(a, b).astype(np.int64)])
+                        ids = shard.read(upto, int(cuts[-1]))
+                        own = [ids[x:y] for x, y in zip(cuts[:-1] - upto, cuts[1:] - upto)]
+                        columns = [pa.array(shard.doc_ids(a, b)), pa.array(cuts[:-1] + base), pa.array(np.diff(cuts)), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
+                        upto = int(cuts[-1])
                         if with_ids:
                             columns.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])

@@ -1,6 +1,7 @@
 import io
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -13,11 +14,14 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("n,top", [(0, 0), (1, 0), (1, 5), (700, 3), (5000, 10**6), (3000, 10**12)])
-def test_elias_fano_select_and_decode(n, top):
+def test_elias_fano_select_and_ranges(n, top):
     rng = np.random.default_rng(n + top)
     values = np.sort(rng.integers(0, top + 1, n))
-    coded = EliasFano.encode(values, top + 1)
-    assert coded.decode().tolist() == values.tolist()
+    coded = EliasFano.encode([values[: n // 3], values[n // 3 :]], n, top + 1)
+    assert coded.values(0, n).tolist() == values.tolist()
+    for _ in range(20):
+        a, b = sorted(rng.integers(0, n + 1, 2).tolist())
+        assert coded.values(a, b).tolist() == values[a:b].tolist()
     for i in list(range(0, n, 97)) + ([n - 1] if n else []):
         assert coded.select(i) == values[i]
     if n >= 3000 and top < 10**9:
@@ -39,14 +43,23 @@ def test_shard_random_access():
     docs = [np.arange(k % 7 + 1, dtype="<u2") + k for k in range(1000)]
     for d in docs:
         out.write(d.tobytes())
-    write_bounds(out, np.arange(1000) * 3 - 5, np.cumsum([len(d) for d in docs]), 2)
+    write_bounds(out, array("q", range(-5, 2995, 3)), array("I", [len(d) for d in docs]), 2, block=300)
     shard = Shard(io.BytesIO(out.getvalue()))
     for i in (0, 1, 500, 999):
-        assert shard.document(i).tolist() == docs[i].tolist() and shard.doc_ids[i] == 3 * i - 5
+        assert shard.document(i).tolist() == docs[i].tolist() and shard.doc_ids(i, i + 1).tolist() == [3 * i - 5]
     with pytest.raises(ValueError):
         Shard(io.BytesIO(out.getvalue()[:-9]))
 
 
+def test_any_doc_ids():
+    for ids in ([], [7], [-(2**63), 2**63 - 1], [-(2**63), -5, -5, 0, 2**63 - 1], [3] * 9):
+        out = io.BytesIO(np.zeros(len(ids), "<u2").tobytes())
+        out.seek(0, 2)
+        write_bounds(out, array("q", ids), array("I", [1] * len(ids)), 2, block=2)
+        shard = Shard(io.BytesIO(out.getvalue()))
+        assert shard.doc_ids(0, len(ids)).tolist() == ids and shard.bounds.values(0, len(ids)).tolist() == list(range(1, len(ids) + 1))
+
+
 def test_round_trip_of_a_table(spark):
     rng = random.Random(1)
     rows = [(i * 3 - 50, " ".join(rng.choice(["one", "Two,", "été", "4\n5"]) for _ in range(rng.randrange(0, 60)))) for i in range(200)]
@@ -62,4 +75,6 @@ def test_round_trip_of_a_table(spark):
     assert sorted(tuple(r) for r in token_store(docs, FILE, 2).collect()) == want
     assert token_store(docs.limit(0), FILE, 2).count() == 0
     twice = spark.createDataFrame([(5, "a b"), (5, "a b"), (5, "c"), (None, "d")], "doc_id long, text string")
-    assert sorted(r.start for r in token_store(twice, FILE, 2).collect()) == sorted({0, *sorted(r.start for r in token_store(twice, FILE, 2).collect())})
+    got = sorted((r.start, r.n_tokens) for r in token_store(twice, FILE, 2).collect())
+    sizes = [n for _, n in got]
+    assert sorted(sizes) == [2, 3, 3] and [s for s, _ in got] == [0, sizes[0], sizes[0] + sizes[1]]

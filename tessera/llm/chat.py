@@ -5,8 +5,8 @@ in order: text is escaped, other parts become placeholders ``<|image:3|>`` numbe
 the reference and the number of tokens that each expands to recorded beside the text.
 
 Inside texts a backslash is doubled, a ``#`` after a ``#`` and the sign after ``<`` in ``</`` and ``<|`` get a backslash
-before them. So neither a marker nor a placeholder can appear in a body, and dropping each backslash that stands
-before a character gives the text back.
+before them, also where one part ends and the next begins. So neither a marker nor a placeholder can appear in a body,
+and dropping each backslash that stands before a character gives the text back.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ IMAGE_PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
 _ESCAPE = re.compile(r"\\|(?<=#)#|(?<=<)[/|]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ([^:\n]*):\n(.*?)</turn>\n", re.S)
-_PLACE = re.compile(r"<\|(image|audio|document):([0-9]+)\|>")
+_PLACE = re.compile(r"<\|(image|audio|document|other):([0-9]+)\|>")
 
 
-def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+def escape(text: str, before: str = "") -> str:
+    """``before``: the character that the text follows, which decides about its first one."""
+    every = _ESCAPE.sub(lambda m: "\\" + m[0], before + text)
+    return every[1 + (before == "\\") :] if before else every
 
 
 def unescape(text: str) -> str:
@@ -66,34 +68,66 @@ class Flattener:
 
     def turn(self, role: str, parts: list[dict]) -> None:
         self._put(f"### {role_mark(role)}:\n")
+        self.before = ""
         for part in parts:
-            start = self.size
-            getattr(self, "visit_" + str(part.get("type") or "text"), self.visit_unknown)(part)
-            if role == LEARNT and part.get("type", "text") == "text" and self.size > start:
+            start, kind = self.size, str(part.get("type") or "text")
+            getattr(self, f"visit_{kind}" if kind in VISITED else "visit_other")(part)
+            if role == LEARNT and kind == "text" and self.size > start:
                 self.loss.append((start, self.size))
         self._put("</turn>\n")
         self.turns += 1
 
     def visit_text(self, part: dict) -> None:
-        self._put(escape(part.get("text") or ""))
+        text = part.get("text")
+        text = "" if text is None else writable(text) if isinstance(text, str) else json.dumps(text)
+        self._put(escape(text, self.before))
+        self.before = text[-1:] or self.before
 
     def visit_image(self, part: dict) -> None:
-        tiles = math.ceil(max(1, part.get("width") or 1) / IMAGE_PATCH) * math.ceil(max(1, part.get("height") or 1) / IMAGE_PATCH)
+        tiles = math.ceil(max(1, number(part, "width")) / IMAGE_PATCH) * math.ceil(max(1, number(part, "height")) / IMAGE_PATCH)
         self._attach("image", part, tiles)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil(max(0, part.get("seconds") or 0) * AUDIO_RATE))
+        self._attach("audio", part, math.ceil(max(0, number(part, "seconds")) * AUDIO_RATE))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, PAGE_TOKENS * int(max(1, part.get("pages") or 1)))
+        self._attach("document", part, PAGE_TOKENS * int(max(1, number(part, "pages"))))
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no content part of type {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", {"ref": json.dumps(part, sort_keys=True)}, 0)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.seen += 1
-        self.attachments.append({"number": self.seen, "type": kind, "ref": str(part.get("ref") or ""), "tokens": int(tokens), "at": self.size})
+        self.attachments.append({"number": self.seen, "type": kind, "ref": writable(str(part.get("ref") or "")), "tokens": min(int(tokens), MOST_TOKENS), "at": self.size})
         self._put(f"<|{kind}:{self.seen}|>")
+        self.before = ""
+
+
+#: Types with a visitor of their own; all others are attachments of type other.
+VISITED = ("text", "image", "audio", "document")
+MOST_TOKENS = (1 << 63) - 1
+
+
+def writable(text: str) -> str:
+    """With a question mark for each half of a surrogate pair that JSON escapes left alone."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
+def number(part: dict, name: str) -> float:
+    """The field as a number; zero where it is none."""
+    found = part.get(name)
+    return found if isinstance(found, (int, float)) and math.isfinite(found) else 0
+
+
+def parts_of(written: str) -> list[dict]:
+    """Parts from JSON: a list, in which a string is a text part; anything else is one text part, as it is written."""
+    try:
+        found = json.loads(written)
+    except ValueError:
+        found = None
+    if not isinstance(found, list):
+        return [{"type": "text", "text": written}]
+    return [x if isinstance(x, dict) else {"type": "text", "text": x} for x in found if x is not None]
 
 
 def parse(text: str) -> list[tuple[str, list[tuple[str, str | int]]]]:
@@ -121,16 +155,18 @@ _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FORMATTED = "conv_id long, chunk int, text string, n_turns long, loss array<struct<start:long,end:long>>, attachments array<struct<number:long,type:string,ref:string,tokens:long,at:long>>"
 
 
-def format_conversations(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Conversations as text, from ``conv_id, turn, role`` and ``text`` or ``parts`` (a JSON list of typed parts).
+def format_conversations(rows: DataFrame, chunk: int = CHUNK, parts: str | None = None) -> DataFrame:
+    """Conversations as text, from ``conv_id, turn, role`` and ``text``, or the column that ``parts`` names (a JSON list
+    of typed parts; where it is null, the text counts).
 
     Returns ``conv_id, chunk, text, n_turns, loss, attachments``; spans count code points of the chunk. Turns come by
     ``turn``, then role, text. A conversation is one chunk unless it is longer than ``chunk``; it is then written in
     several, cut between turns, and never held whole: rows stream by in order. Null texts are empty, a null role is
     the empty role, null turns come first, rows without conv_id are one conversation; repeated rows are repeated
-    turns. A type that is not known is an error. Other columns are not read.
+    turns. What is not a list is one text; a part of a type that is not known is an attachment of type other, its JSON
+    the reference; a null type is text; numbers that are none count as zero; lone surrogates become question marks. Other columns are not read.
     """
-    parts = F.col("parts").cast("string") if "parts" in rows.columns else F.lit(None).cast("string")
+    parts = F.lit(None).cast("string") if parts is None else F.col(parts).cast("string")
     text = F.col("text").cast("string") if "text" in rows.columns else F.lit(None).cast("string")
     plain = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), parts.alias("parts"))
     ordered = plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "parts")
@@ -156,7 +192,7 @@ def format_conversations(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     if flat is not None and flat.turns:
                         close()
                     now, number, flat = conv, 0, Flattener()
-                flat.turn(role, [{"type": "text", "text": text}] if parts is None else json.loads(parts))
+                flat.turn(role, [{"type": "text", "text": text}] if parts is None else parts_of(parts))
                 if flat.size >= chunk:
                     close()
             if ready:

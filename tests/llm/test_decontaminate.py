@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm.decontaminate import contamination, drop_contaminated
+from tessera.llm.decontaminate import _candidates, around, contamination, drop_contaminated
 
 KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B))
 
@@ -43,10 +43,10 @@ def case(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("broadcast", [1000, 0])
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
 def test_against_brute_force(spark, broadcast):
-    docs, items = case(5 + broadcast)
-    got = contamination(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, items string, n int"), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=broadcast).collect()
+    docs, items = case(5 + bool(broadcast))
+    got = contamination(spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, items string, n int"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast).collect()
     have = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got), key=repr)
     assert have == brute(docs, items, 10)
 
@@ -63,6 +63,22 @@ def test_every_shared_span_is_found(spark):
     assert {r.doc_id: r.n_hit for r in got} == {**{i: 10 for i in range(51)}, 99: 0}
 
 
+def test_shuffled_rows_do_not_grow_with_the_text(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(n, " ".join(f"w{i % 89}" for i in range(n))) for n in (200, 20_000)], "doc_id long, text string")
+    rows = around(_candidates(docs, [10], 10, 5).select("doc_id", "words", F.explode_outer("found").alias("at")), 10, 5)
+    found = {r.doc_id: r for r in rows.groupBy("doc_id").agg(F.max(F.size("words")).alias("most"), F.count("*").alias("n")).collect()}
+    assert {r.most for r in found.values()} == {15} and found[20_000].n < 110 * found[200].n
+
+
+def test_windows_of_many_items(spark):
+    items = [(i, "a b c d e f g h i j k") for i in range(300)] + [(None, "a b c d e f g h i j")]
+    docs = [(1, "x a b c d e f g h i j k"), (2, "x"), (None, "a b c d e f g h i j")]
+    got = {r.doc_id: r for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1].item_ids == list(range(300)) == got[None].item_ids and got[1].n_hit == 11 and got[2].item_ids == []
+
+
 def test_empty_tables_and_dropping(spark):
     docs = spark.createDataFrame([(1, "a b c", "k"), (2, None, "k"), (None, "a b c d", "k")], "doc_id long, text string, bad_id string")
     none = spark.createDataFrame([], "item_id long, text string")

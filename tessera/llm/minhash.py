@@ -4,18 +4,24 @@ A text is the set of its ``shingle``-word hashes; equal sets are one node. SimHa
 (``simhash.close_pairs``) find the copies with the smallest edits, but an index of 0.8 means ten differing bits on
 average, which no segments of 64 bits can index. So a node also has BANDS keys of ROWS minima each; two texts with an
 index of 0.8 share a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Every pair that shares a key is either
-verified on the whole sets, or already in one component by other verified pairs: all members of a key are first held
-against its smallest and its largest node; while many pairs are left, members outside the commonest component of
-their key are held against a few members of that; what still is apart is held against each other.
+verified on the whole sets, or already in one component by other verified pairs, or ruled out by sketches: all members
+of a key are first held against its smallest and its largest node; while many pairs are left, members outside the
+commonest component of their key are held against a few members of that; what still is apart is held against each
+other, inside a join that lets only pairs through that their sketches allow.
+
+A sketch has a bit for each of 1,024 cells, set where an odd number of the set's hashes fall. The bits in which two
+sketches differ are at most as many as the hashes that only one of the sets has, so a pair that is ruled out by them
+is never within the index. Sets of up to some 2,000 shingles are told apart well; larger ones are more often verified.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, utf8_rows
@@ -27,6 +33,9 @@ BANDS, ROWS = 20, 5
 BLOCK = 1 << 12
 #: Members of the commonest component that a key's other members are held against in a round.
 PIVOTS = 4
+#: 64-bit numbers of a sketch.
+SKETCH = 16
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -69,12 +78,25 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return mixed + np.arange(BANDS, dtype=np.uint64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    cells = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=64 * SKETCH) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _possible(a: Column, b: Column, least: float) -> Column:
+    """Whether two structs ``n, s0, ...`` can belong to sets with an index of ``least``."""
+    differ = reduce(Column.__add__, [F.bit_count(a[s].bitwiseXOR(b[s])) for s in _SKETCH])
+    sizes = F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * least
+    return sizes & (differ <= (a["n"] + b["n"]) * ((1 - least) / (1 + least)) + 1e-9)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, node, bits, keys`` for every row."""
+    """``doc_id, node, bits, keys, n`` and the sketch for every row."""
+    names = ["doc_id", "node", "bits", "keys", "n", *_SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -82,9 +104,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             sets = [as_set(x) for x in found]
             nodes, bits = (np.array(x, np.uint64).view(np.int64) for x in ([node_of(s) for s in sets], [majority(x) for x in found]))
             keys = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(bits), pack(keys, np.arange(len(sets) + 1) * BANDS)], names=["doc_id", "node", "bits", "keys"])
+            drawn = np.array([sketch(s) for s in sets], "<i8").reshape(-1, SKETCH)
+            columns = [batch.column(0), pa.array(nodes), pa.array(bits), pack(keys, np.arange(len(sets) + 1) * BANDS), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in drawn.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node long, bits long, keys binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, bits long, keys binary, n long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -128,7 +152,8 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
             keys, starts = unpack(batch.column(1), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(starts))), pa.array(keys)], names=["node", "key"])
 
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
+    drawn = F.first(F.struct("node", "n", *_SKETCH)).alias("drawn")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.first("keys").alias("keys"), drawn), "nodes")
     keyed = nodes.select("node", "keys").mapInArrow(split, "node long, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     members = scratch.keep(keyed.join(shared, "key"), "members")
@@ -148,27 +173,31 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
     sets = scratch.keep(_sets(_texts(docs).join(wanted.hint("shuffle_merge"), "doc_id", "left_semi"), size), "sets")
     links = scratch.keep(_verified(pairs, sets, least), "links")
     roots = scratch.keep(connected_components(links, scratch), "roots")
-    labelled = scratch.keep(members.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
-    total, turn, before = labelled.count(), 0, None
+    def labels(roots):
+        """Members of keys beside their components; keys of one component are done with."""
+        out = members.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        several = out.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+        return scratch.keep(out.join(several, "key", "left_semi").join(nodes.select("node", "drawn"), "node"), "labelled")
+
+    labelled, turn, before = labels(roots), 0, None
     while True:
-        pivots = [F.min_by("node", F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
-        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), *pivots)
-        main = parts.groupBy("key").agg(F.max_by(F.struct("root", *[f"p{i}" for i in range(PIVOTS)]), F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        main = scratch.keep(main.filter("roots > 1"), "main")
-        left = main.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()[0]
-        # Rounds cost as much as there are members; they end where all that is left costs no more, or where they join little.
-        if left <= total or (before is not None and left > 0.9 * before):
+        total, apart = labelled.agg(F.count("*"), F.countDistinct("root")).first()
+        # A round is worth its work while there are many more members than components, and while it joins some of these.
+        if 2 * apart >= total or (before is not None and apart >= 0.98 * before):
             break
-        before, turn = left, turn + 1
-        apart = labelled.join(main.select("key", "main"), "key").filter(F.col("root") != F.col("main.root"))
-        asked = apart.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"main.p{i}") for i in range(PIVOTS)]))).alias("pivot"))
-        found = _verified(asked.select(*pair(F.col("node"), F.col("pivot"))).distinct(), sets, least)
-        links = links.unionAll(scratch.keep(found, "links"))
-        roots = scratch.keep(connected_components(links, scratch), "roots")
-        labelled = scratch.keep(members.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")), "labelled")
-    open_ = scratch.keep(labelled.join(main.select("key"), "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    rest = open_.join(other, "key").filter("root < other_root").select(*pair(F.col("node"), F.col("other"))).distinct()
+        before, turn = apart, turn + 1
+        pivots = [F.min_by("drawn", F.xxhash64("node", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), *pivots)
+        main = parts.groupBy("key").agg(F.max_by(F.struct("root", *[f"p{i}" for i in range(PIVOTS)]), F.struct("n", "root")).alias("main"))
+        other = labelled.join(main, "key").filter(F.col("root") != F.col("main.root"))
+        near = F.filter(F.array(*[F.col(f"main.p{i}") for i in range(PIVOTS)]), lambda p: _possible(F.col("drawn"), p, least))
+        asked = other.select("drawn", F.explode(near).alias("pivot"))
+        found = scratch.keep(_verified(asked.select(*pair(F.col("drawn.node"), F.col("pivot.node"))).distinct(), sets, least), "links")
+        links = links.unionAll(found)
+        labelled = labels(scratch.keep(connected_components(links, scratch), "roots"))
+    other = labelled.select("key", F.col("root").alias("other_root"), F.col("drawn").alias("other"))
+    rest = labelled.join(other, "key").filter((F.col("root") < F.col("other_root")) & _possible(F.col("drawn"), F.col("other"), least))
+    rest = rest.select(*pair(F.col("drawn.node"), F.col("other.node"))).distinct()
     roots = connected_components(links.unionAll(_verified(rest, sets, least)), scratch)
     linked = scratch.keep(nodes.select("node", "first_id").join(roots, "node").select("node", "root", "first_id"), "linked")
     named = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.minhash import band_keys, drop_near_copies, near_copy_groups, shingles
+from tessera.llm.minhash import SKETCH, _possible, band_keys, drop_near_copies, near_copy_groups, shingles, sketch
 
 
 def brute(text, n=5):
@@ -72,3 +73,19 @@ def test_pipeline_stage_drops_edited_copies(spark, tmp_path):
 def test_keys_of_long_texts_in_blocks():
     own = shingles(" ".join(str(i) for i in range(10_000)).encode())
     assert len(own) == 9_996 and len(set(band_keys(own).tolist())) == 20
+
+
+def test_sketches_never_rule_out_a_pair_within_the_index(spark):
+    texts = [*edited(), *large_group()]
+    sets = [shingles((t or "").encode()) for t in texts]
+    rows = [(i, (len(s), *map(int, sketch(s)))) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, f"i int, d struct<n:long,{','.join(f's{k}:long' for k in range(SKETCH))}>")
+    other = table.selectExpr("i as j", "d as e")
+    got = {(r.i, r.j) for r in table.crossJoin(other).filter("i < j").filter(_possible(F.col("d"), F.col("e"), 0.8)).select("i", "j").collect()}
+    near = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(set(a.tolist()) & set(sets[j].tolist()))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                near.add((i, j))
+    assert near <= got and len(got) < 2 * len(near) and len(near) > 300

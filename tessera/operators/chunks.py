@@ -1,4 +1,4 @@
-"""Splitting texts into chunks: recursive character split, and Python definitions by the standard parser.
+"""Splitting texts into chunks: by definitions (Python by the standard parser, other languages by outline), or by characters.
 
 A chunk is ``chunk_id, text, source, symbol_type, symbol_name, class_name, line_start, line_end, chunk_index``.
 """
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import outline
+
 # Characters of a chunk and of its overlap, separators in order.
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 150
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -70,16 +72,35 @@ def _symbols(content: str) -> list[tuple[str, str, str, str, int, int]]:
     if not out:
         raise ValueError("no definition")
     if rest:
-        out.append(("\n".join(body(a, b) for a, b in rest), "module_level", "", "", rest[0][0], rest[-1][1]))
+        out.append(("\n".join(body(a, b) for a, b in rest), "module", "module_level", "", 1, len(rows)))
     return out
 
 
+def _outlined(content: str, language: str) -> list[tuple[str, str, str, str, int, int]]:
+    """The same for a language without a parser here; a class with methods is its methods, another one is whole."""
+    line = lambda at: content.count("\n", 0, at) + 1
+    out, rest, upto = [], [], 0
+    for d in outline.definitions(content, language):
+        rest.append(content[upto : d.start])
+        upto = d.end
+        text = content[d.start : d.end]
+        if d.kind == "class":
+            inner = outline.methods(content, language, d.body) if d.body else []
+            out += [(f"# Class: {d.name}\n{content[m.start : m.end]}", "method", m.name, d.name, line(m.start), line(m.end)) for m in inner] or [(text, "class", d.name, d.name, line(d.start), line(d.end))]
+        else:
+            out.append((text, "function", d.name, "", line(d.start), line(d.end)))
+    if not out:
+        raise ValueError("no definition")
+    left = "\n".join(x.strip() for x in [*rest, content[upto:]] if x.strip())
+    return [*out, (left, "module", "module_level", "", 1, line(len(content)))] if left else out
+
+
 def chunk_file(path: str, content: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple]:
-    """Rows of a chunk table for one text; ``.py`` by its definitions, all else, and what does not parse, by characters."""
-    symbols = None
-    if path.lower().endswith(".py"):
+    """Rows of a chunk table for one text: by its definitions where its extension names a language, else, and where none is found, by characters."""
+    symbols, language = None, outline.LANGUAGES.get("." + path.lower().rpartition(".")[2])
+    if language:
         try:
-            symbols = _symbols(content)
+            symbols = _symbols(content) if language == "python" else _outlined(content, language)
         except (SyntaxError, ValueError, RecursionError):
             symbols = None
     out = []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.contain import held_strings
 from tessera.sources.shared import cut_lineage
 
 
@@ -58,18 +59,27 @@ def shortest_path(edges: DataFrame, start, end, max_depth: int = 10) -> DataFram
 def clusters(edges: DataFrame, threshold: float = 0.3, of: DataFrame | None = None) -> DataFrame:
     """``node, other, similarity`` of pairs whose undirected neighbour sets have a Jaccard index of ``threshold`` or more.
 
-    A join on the shared neighbour; ``of(node)`` limits one side. A neighbour that very many share is split by
-    adaptive execution (both sides are plain exchanges).
+    Neighbours are ordered by how many share them, rarest first: two sets as alike as that share one of their first
+    n - ceil(threshold * n) + 1 members. So pairs are proposed by the rare neighbours alone, those of too different
+    sizes are left out, and only the rest are counted on whole sets; a hub makes no pairs of all that point at it.
+    ``of(node)`` limits one side. A threshold of 0 takes all pairs that share a neighbour.
     """
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).union(edges.select("dst", "src")).distinct()
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).union(edges.select("dst", "src")).filter("node is not null and via is not null").distinct()
     both = cut_lineage(both)
     size = both.groupBy("node").agg(F.count("*").alias("size"))
-    left = both if of is None else both.join(of.select("node").distinct(), "node", "left_semi")
-    right = both.select(F.col("node").alias("other"), "via")
-    shared = left.join(right, "via").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("shared"))
-    sized = shared.join(size, "node").join(size.select(F.col("node").alias("other"), F.col("size").alias("other_size")), "other")
+    least = max(0.0, threshold - 1e-6)  # the index is rounded to six digits
+    shared_by = both.groupBy("via").agg(F.count("*").alias("shared_by"))
+    order = Window.partitionBy("node").orderBy("shared_by", "via")
+    ranked = both.join(shared_by, "via").join(size, "node").withColumn("r", F.row_number().over(order))
+    first = cut_lineage(ranked.filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("node", "via", "size"))
+    left = first if of is None else first.join(of.select("node").distinct(), "node", "left_semi")
+    right = first.select(F.col("node").alias("other"), "via", F.col("size").alias("other_size"))
+    close = (F.col("node") != F.col("other")) & (F.least("size", "other_size") >= F.greatest("size", "other_size") * least)
+    pairs = cut_lineage(left.join(right, "via").filter(close).select("node", "other", "size", "other_size").distinct())
+    met = pairs.join(both, "node").join(both.select(F.col("node").alias("other"), "via"), ["other", "via"])
+    shared = met.groupBy("node", "other", "size", "other_size").agg(F.count("*").alias("shared"))
     jaccard = F.round(F.col("shared") / (F.col("size") + F.col("other_size") - F.col("shared")), 6)
-    return sized.select("node", "other", jaccard.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return shared.select("node", "other", jaccard.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def imported_by(edges: DataFrame) -> DataFrame:
@@ -97,11 +107,10 @@ def change_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def related_tests(names: DataFrame, files: DataFrame) -> DataFrame:
-    """``name, path``: files whose base name holds the name (``names(name)``, lower case) and test or spec.
+    """``name, path``: files whose base name holds the name (``names(name)``, whatever the case) and test or spec.
 
-    A containment join has no key; the files are first cut to tests, then met by the broadcast names, whose number is
-    that of the files asked about.
+    The names may be many (all that depend on a file); they are looked for in the names of tests in blocks.
     """
     low = F.lower(F.element_at(F.split("path", "/"), -1))
     tests = files.select("path", low.alias("low")).filter(low.contains("test") | low.contains("spec"))
-    return tests.join(F.broadcast(names.select(F.lower("name").alias("name"))), F.col("low").contains(F.col("name"))).select("name", "path")
+    return held_strings(tests, "path", F.col("low"), names.select(F.lower("name"))).select(F.col("string").alias("name"), "path")

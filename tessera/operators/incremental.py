@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def changed(current: DataFrame, stored: DataFrame, key: str = "path", stamp: str = "mtime") -> DataFrame:
@@ -28,27 +30,32 @@ def metadata_stats(stored: DataFrame) -> DataFrame:
 
 
 def batch_numbers(rows: DataFrame, size: str, limit: int, key: str = "part", order: str = "seq") -> DataFrame:
-    """A batch number for each row of a part: a new batch starts where the next row would pass ``limit`` bytes.
+    """``rows`` with ``batch_no``: within a part, in order, a new batch starts where the next row would pass ``limit`` bytes.
 
-    The sum starts anew with each batch, so this is a fold over the sizes of a part in order; a part is what one
-    writer handles.
+    The sum starts anew with each batch, so the rows of a part, which is what one writer handles, stream through one
+    task in order, sorted and never gathered; ties go by size. Every row stays, with a null key (one part), a null size
+    (no bytes) or equal rows; a column ``batch_no`` that is there already is replaced.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("rows"))
-    fold = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<{order}:long,batch:int>>").alias("out")),
-        lambda acc, r: _step(acc, r, order, size, limit),
-        lambda acc: acc.out,
-    )
-    numbers = listed.select(key, F.explode(fold).alias("b")).select(key, F.col(f"b.{order}").alias(order), F.col("b.batch").alias("batch_no"))
-    return rows.join(numbers, [key, order])
-
-
-def _step(acc, row, order: str, size: str, limit: int):
-    over = (acc.used > 0) & (acc.used + row[size] > limit)
-    batch = F.when(over, acc.batch + 1).otherwise(acc.batch)
-    used = F.when(over, row[size]).otherwise(acc.used + row[size]).cast("long")
-    return F.struct(used.alias("used"), batch.alias("batch"), F.array_append(acc.out, F.struct(row[order].cast("long").alias(order), batch.alias("batch"))).alias("out"))
+    rows = rows.drop("batch_no")
+    ordered = rows.repartition(key).sortWithinPartitions(key, order, size)
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch_no", T.IntegerType())])
+    at_key, at_size = rows.columns.index(key), rows.columns.index(size)
+
+    def run(batches):
+        part, used, batch_no, begun = None, 0, 0, False
+        for batch in batches:
+            numbers = []
+            for own, bytes_ in zip(batch.column(at_key).to_pylist(), batch.column(at_size).to_pylist()):
+                bytes_ = bytes_ or 0
+                if not begun or own != part:
+                    begun, part, used, batch_no = True, own, 0, 0
+                elif used > 0 and used + bytes_ > limit:
+                    used, batch_no = 0, batch_no + 1
+                used += bytes_
+                numbers.append(batch_no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "batch_no"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def chunk_totals(batches: DataFrame) -> DataFrame:

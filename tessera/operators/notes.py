@@ -5,15 +5,17 @@ A note document is Markdown text; parsed, it is ``seq, level, header, section, l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.contain import held_strings
+
 
 def parse(texts: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """One row per line with the section (``## `` header) that it stands under; null before the first."""
     rows = texts.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("seq", "line"))
     level = F.length(F.regexp_extract("line", r"^(#{1,6}) ", 1))
-    header = F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1 << 20)))
+    header = F.when(F.col("line").startswith("## "), F.trim(F.substr("line", F.lit(4))))
     down = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("level", level).withColumn("header", header).withColumn("section", F.last("header", ignorenulls=True).over(down))
 
@@ -26,8 +28,8 @@ def sections(texts: DataFrame, key: str = "doc", text: str = "text") -> DataFram
 
 
 def keyword_lines(texts: DataFrame, word: str, key: str = "doc", text: str = "text") -> DataFrame:
-    """Lines that are not blank and hold the word, whatever the case."""
-    rows = parse(texts, key, text)
+    """Lines that are not blank and hold the word, whatever the case; rows stay where they are."""
+    rows = texts.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("seq", "line"))
     return rows.filter((F.trim("line") != "") & F.contains(F.lower("line"), F.lit(word.lower()))).select("doc", "seq", "line")
 
 
@@ -38,22 +40,28 @@ def new_entries(stored: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def unmentioned(entries: DataFrame, texts: DataFrame, token: str, text: str = "text") -> DataFrame:
-    """Rows of ``entries`` whose token (as a string) is in none of the texts.
+    """Rows of ``entries`` whose token (as a string) is in none of the texts, by whatever characters it stands between.
 
-    A containment anti join has no key. The tokens are met with the distinct words of the texts instead: tokens of
-    word characters are looked for inside words that are at least as long, keyed by every slice of the tokens' sizes, however many sizes there are.
+    A null token is in no text, and an empty one in every text that is not null.
     """
-    sizes = [r.n for r in entries.select(F.length(F.col(token).cast("string")).alias("n")).distinct().filter("n is not null").collect()]
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(\w+)"), F.lit(1)))).alias("w")).distinct()
-    slices = None
-    for n in sorted(sizes):
-        cut = words.filter(F.length("w") >= n).select(F.explode(_slices(n)).alias("slice"))
-        slices = cut if slices is None else slices.unionByName(cut)
-    return entries if slices is None else entries.join(slices.distinct(), F.col(token).cast("string") == F.col("slice"), "left_anti")
+    found = held_strings(texts.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", F.col("t"), entries.select(F.col(token).cast("string"))).select("string").distinct()
+    if not texts.filter(F.col(text).isNotNull()).isEmpty():
+        found = found.unionAll(entries.sparkSession.range(1).select(F.lit("").alias("string")))
+    return entries.join(found, entries[token].cast("string") == found["string"], "left_anti")
+
+
+def without_headers(content: Column, name: str) -> Column:
+    """Markdown without the headers of level two or more that hold ``name``, and without what stands under them."""
+    low = name.lower()
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
+    start = F.struct(F.lit(0).alias("cut"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc, line):
+        own = level(line)
+        cut = F.when((own >= 2) & F.contains(F.lower(line), F.lit(low)) & ((acc["cut"] == 0) | (own <= acc["cut"])), own).when((own > 0) & (own <= acc["cut"]), 0).otherwise(acc["cut"])
+        return F.struct(cut.alias("cut"), F.when(cut == 0, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
 
-def _slices(n: int):
-    return F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, F.lit(n)))
+    return F.array_join(F.aggregate(F.split(content, "\n"), start, step, lambda acc: acc["out"]), "\n")
 
 
 class NoteStore:
@@ -99,14 +107,17 @@ class NoteStore:
         return True
 
     def delete_section(self, name: str) -> bool:
-        """Remove the entries of sections whose name holds ``name``, whatever the case."""
+        """Remove the entries of sections whose name holds ``name``, whatever the case; and inside the entries that stay
+        each header of level two or more that holds it, with what follows up to the next header of its level or above."""
         if not name or not name.strip():
             raise ValueError("section name must not be empty")
         hit = F.contains(F.lower("section"), F.lit(name.strip().lower()))
         now = self.read()
-        if now.filter(hit).isEmpty():
+        left = now.filter(~hit).withColumn("kept", without_headers(F.col("content"), name.strip()))
+        changed = left.filter(F.col("kept") != F.col("content"))
+        if now.filter(hit).isEmpty() and changed.isEmpty():
             return False
-        self._write(now.filter(~hit))
+        self._write(left.filter("trim(kept) <> '' or trim(content) = ''").select("seq", "section", F.col("kept").alias("content"), "created_at"))
         return True
 
     def clear(self) -> None:

@@ -15,8 +15,8 @@ from tessera.sources.shared import stored
 # Fixed values of the ranking formulas.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Query rows up to which a query set is sent to every executor.
-QUERY_ROWS = 10_000
+#: Query vectors that are sent to the tasks at a time, and terms of queries that are sent at all.
+QUERY_ROWS, QUERY_TERMS = 10_000, 200_000
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -57,12 +57,16 @@ class Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus")))
 
     def search(self, queries: DataFrame, n: int = 5) -> DataFrame:
-        """``query_id, rank, id, score`` of the n best of each query (``query_id, query``); scores of 0 or less are dropped after ranking."""
+        """``query_id, rank, id, score`` of the n best of each query (``query_id, query``); scores of 0 or less are dropped after ranking.
+
+        The terms are sent to the postings while there are at most ``QUERY_TERMS`` of them; else both are shuffled.
+        """
         wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         terms = wanted.select("term").distinct()
-        met = self.postings.join(F.broadcast(terms), "term", "left_semi")  # pushed below the count of postings
-        stats = self.term_stats.join(F.broadcast(terms), "term", "left_semi")
-        part = met.join(F.broadcast(wanted), "term").join(stats, "term").crossJoin(F.broadcast(self.corpus))
+        sent = F.broadcast if wanted.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS else (lambda df: df)
+        met = self.postings.join(sent(terms), "term", "left_semi")  # pushed below the count of postings
+        stats = self.term_stats.join(sent(terms), "term", "left_semi")
+        part = met.join(sent(wanted), "term").join(stats, "term").crossJoin(F.broadcast(self.corpus))  # one row
         tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         scored = part.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + norm)), 6).alias("score"))
         return top(scored, n, F.desc("score"), F.col("id")).filter("score > 0")
@@ -74,42 +78,62 @@ def top(scored: DataFrame, n: int, *order: Column, by: str = "query_id") -> Data
     return ranked.filter(F.col("rank") <= n)
 
 
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False) -> DataFrame:
+def _clean(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, str]) -> DataFrame:
+    """Rows with an id and a vector whose components are all numbers."""
+    out = rows.select(F.col(id_col).cast("long").alias(names[0]), F.col(vector_col).cast("array<double>").alias(names[1]))
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return out.filter(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()).filter((F.size(names[1]) > 0) & F.forall(names[1], number))
+
+
+_FOUND = "query_id long, id long, distance double"
+
+
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False, block: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, id, distance``: exact cosine neighbours of a stated query set (``query_id, vector``).
 
-    The query set (at most ``QUERY_ROWS``) is sent to the tasks; each keeps its n best per query, so that little is
-    shuffled. Zero vectors have distance 1 from all; null vectors take no part.
+    The query set is sent to the tasks in blocks of about ``block`` rows of one length; each task keeps its n best per
+    query, so that little is shuffled, and each block is one pass. Zero vectors have distance 1 from all. Rows and
+    queries without an id, without a vector, or with a component that is null or not a finite number take no part; a
+    query meets vectors of its own length alone; repeated rows are each a neighbour; a query_id that comes twice is
+    searched once, with the first of its vectors; without queries there are no rows.
     """
-    rows = [(r.query_id, r.vector) for r in queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(QUERY_ROWS + 1).collect()]
-    if len(rows) > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: search in blocks")
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    matrix = np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    asked = _clean(queries, "query_id", "vector", ("query_id", "vector")).groupBy("query_id").agg(F.min("vector").alias("vector"))
+    asked = stored(asked.withColumn("size", F.size("vector")), "queries")
+    plain = _clean(vectors, id_col, vector_col, ("id", "vector"))
+    found = vectors.sparkSession.createDataFrame([], _FOUND)
+    for size, count in sorted((r["size"], r["count"]) for r in asked.groupBy("size").count().collect()):  # a row for each length
+        parts = -(-count // block)
+        for k in range(parts):
+            rows = asked.filter((F.col("size") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)).orderBy("query_id").collect()  # about `block`
+            if rows:
+                found = found.unionAll(plain.filter(F.size("vector") == size).mapInArrow(_nearest_of(vectors.sparkSession, rows, n, skip_self), _FOUND))
+    return top(found, n, F.col("distance"), F.col("id")).select("query_id", "rank", "id", "distance")
+
+
+def _nearest_of(spark: SparkSession, rows: list, n: int, skip_self: bool):
     unit = lambda x: x / np.where((norm := np.sqrt((x * x).sum(1, keepdims=True))) > 0, norm, 1)
-    asked = vectors.sparkSession.sparkContext.broadcast(unit(matrix))
+    ids = np.array([r.query_id for r in rows], dtype=np.int64)
+    asked = spark.sparkContext.broadcast(unit(np.array([r.vector for r in rows], dtype=float)))
 
     def run(batches):
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            distance = np.round(1 - unit(x) @ asked.value.T, 6)
-            for q in range(len(ids)):
-                d, i = distance[:, q], own
-                if skip_self:
-                    d, i = d[own != ids[q]], own[own != ids[q]]
-                i, d = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], d])
-                first = np.lexsort((i, d))[:n]
-                best[q] = i[first], d[first]
+            x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)) if len(own) else None
+            for a in range(0, len(own), 4096):  # distances of a part of the rows to all queries at a time
+                distance, part = np.round(1 - x[a : a + 4096] @ asked.value.T, 6), own[a : a + 4096]
+                for q in range(len(ids)):
+                    d, i = distance[:, q], part
+                    if skip_self:
+                        d, i = d[part != ids[q]], part[part != ids[q]]
+                    i, d = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], d])
+                    first = np.lexsort((i, d))[:n]
+                    best[q] = i[first], d[first]
         for q, (i, d) in enumerate(best):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[q])), pa.array(i), pa.array(d)], names=["query_id", "id", "distance"])
 
-    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vector is not null")
-    found = plain.mapInArrow(run, "query_id long, id long, distance double")
-    return top(found, n, F.col("distance"), F.col("id")).select("query_id", "rank", "id", "distance")
+    return run
 
 
 def fuse(vector_side: DataFrame, keyword_side: DataFrame, n: int) -> DataFrame:

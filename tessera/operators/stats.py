@@ -34,7 +34,7 @@ def naming_style(paths: DataFrame, path: str = "path") -> DataFrame:
     """One row: counts of snake, camel and kebab names and the style; kebab also where snake and camel tie."""
     name = stem(F.col(path))
     lower = F.substring(name, 1, 1).rlike(r"\p{Ll}")
-    kind = F.when(name.contains("_") & lower, "snake").when(lower & F.substring(name, 2, 1000).rlike(r"\p{Lu}"), "camel").when(name.contains("-"), "kebab")
+    kind = F.when(name.contains("_") & lower, "snake").when(lower & F.substr(name, F.lit(2)).rlike(r"\p{Lu}"), "camel").when(name.contains("-"), "kebab")
     out = paths.select(kind.alias("k")).agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("snake", "camel", "kebab")])
     s, c, k = F.col("snake"), F.col("camel"), F.col("kebab")
     style = F.when(s + c + k == 0, "unknown").when((s > c) & (s > k), "snake_case").when((c > s) & (c > k), "camelCase").when(k > 0, "kebab-case").otherwise("mixed")
@@ -78,8 +78,12 @@ def tag_counts(found: DataFrame) -> DataFrame:
 
 
 def complexity_summary(functions: DataFrame) -> DataFrame:
-    """One row of totals over ``path, language, name, line_start, complexity``."""
-    return functions.agg(F.countDistinct("path").alias("files"), F.count("*").alias("functions"), F.coalesce(F.sum("complexity"), F.lit(0)).alias("total"), F.round(F.avg("complexity"), 2).alias("average"), F.count_if(F.col("complexity") > 10).alias("complex"))
+    """One row of totals over ``path, language, name, line_start, complexity``; ``languages`` has the files of each."""
+    each = functions.groupBy("language").agg(F.countDistinct("path").alias("files"), F.count("*").alias("functions"), F.sum("complexity").alias("total"), F.count_if(F.col("complexity") > 10).alias("complex"))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    languages = F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "files")))).alias("languages")  # a row for each language
+    average = F.round(F.try_divide(F.sum("total"), F.sum("functions")), 2).alias("average")
+    return each.agg(add("files"), add("functions"), add("total"), average, add("complex"), languages)
 
 
 def version_classes(deps: DataFrame) -> DataFrame:
@@ -91,6 +95,18 @@ def version_classes(deps: DataFrame) -> DataFrame:
     )
 
 
+def test_folders(paths: DataFrame, path: str = "path", top: int = 3) -> DataFrame:
+    """``folder``: the first ``top`` top folders, by name, that hold a file whose name has test or spec."""
+    low = F.lower(base_name(F.col(path)))
+    named = paths.filter((low.contains("test") | low.contains("spec")) & F.col(path).contains("/"))
+    return named.select(F.split_part(F.col(path), F.lit("/"), F.lit(1)).alias("folder")).distinct().orderBy("folder").limit(top)
+
+
+def in_prod_and_dev(deps: DataFrame) -> DataFrame:
+    """Names that are among the prod and the dev entries."""
+    return deps.filter(F.col("scope").isin("prod", "dev")).groupBy("name").agg(F.countDistinct("scope").alias("scopes")).filter("scopes = 2").select("name")
+
+
 def duplicate_names(deps: DataFrame) -> DataFrame:
     return deps.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -15,6 +15,7 @@ from tessera.functions.text import advanced_relevance, js_imports, python_import
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import chunk_texts
 from tessera.operators.complexity import function_complexity
+from tessera.operators.contain import held_strings
 from tessera.sources import files as files_source
 from tessera.sources import manifests
 
@@ -188,10 +189,10 @@ def graph_imported_by(spark, d):
 
 
 def name_containment_join(spark, d):
-    """Parts whose name holds the word of one of the three smallest parts of brand #11."""
+    """Parts by the first words of part names that their names hold: how many parts hold each such word."""
     parts = _t(spark, d, "part")
-    words = parts.orderBy("p_partkey").limit(3).select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name")).distinct()
-    return parts.join(F.broadcast(words), F.contains(F.lower("p_name"), F.col("name"))).groupBy("name").agg(F.count("*").alias("n"))
+    words = parts.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name")).distinct()
+    return held_strings(parts, "p_partkey", F.lower("p_name"), words).groupBy(F.col("string").alias("name")).agg(F.count("*").alias("n"))
 
 
 def line_scan_tags(spark, d):
@@ -316,8 +317,12 @@ def chunk_fixed(spark, d):
 
 
 def complexity_python(spark, d):
-    code = "def a(x):\n    if x and x > 1:\n        return 1\n    for i in x:\n        pass\n\nclass B:\n    def m(self):\n        try:\n            pass\n        except ValueError:\n            pass\n"
-    return function_complexity(spark.createDataFrame([("a.py", code), ("b.py", "x = (")], "path string, content string"))
+    """Complexity of a function made for each part, with a branch for each unit of its size: two languages."""
+    parts = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_size") % 9).cast("int").alias("n"))
+    python = F.concat(F.lit("def f"), "k", F.lit("(x):\n    pass\n"), F.repeat(F.lit("    if x:\n        pass\n"), F.col("n")))
+    script = F.concat(F.lit("// if\nfunction f"), "k", F.lit("(x) {\n"), F.repeat(F.lit('  if (x) { y("if"); }\n'), F.col("n")), F.lit("}\n"))
+    files = [parts.select(F.concat("k", F.lit(ext)).alias("path"), code.alias("content")) for ext, code in ((".py", python), (".ts", script))]
+    return function_complexity(files[0].unionByName(files[1]))
 
 
 def naming_styles(spark, d):
@@ -388,29 +393,104 @@ def grouped_messages(spark, d):
     return history.by_author(log, 5).select("author", "n", F.array_join("messages", ",").alias("messages"), F.col("more").cast("long").alias("more"))
 
 
+def _nations(spark, d, template, joint="\n"):
+    """One text of a line for each nation, in order of its key: ``template`` makes the line."""
+    listed = F.array_sort(F.collect_list(F.struct("n_nationkey", template.alias("line"))))  # 25 nations at every scale
+    return _t(spark, d, "nation").agg(F.array_join(F.transform(listed, lambda x: x["line"]), joint).alias("text"))
+
+
 def version_classes(spark, d):
-    """Dependency entries read from texts of all five manifest kinds."""
-    rows = [
-        ("pyproject.toml", '[project]\ndependencies = [\n  "a>=1",\n  "b==2",\n  "c",\n]\n'), ("requirements.txt", "# x\n-r y\nD<3\nb==2\n"),
-        ("package.json", '{"dependencies": {"r": "^1"}, "devDependencies": {"r": "~2", "s": "3"}, "peerDependencies": {"t": "*"}}'),
-        ("go.mod", "module m\nrequire (\n\tu v1\n)\n"), ("Cargo.toml", '[dependencies]\nw = "1.0"\n[x]\ny = "2"\n'),
+    """Dependency entries read from manifests of all five kinds, made of the nations."""
+    name, number = F.lower("n_name"), F.col("n_nationkey").cast("string")
+    text = lambda path, lines, head="", tail="", joint="\n": _nations(spark, d, lines, joint).select(F.lit(path).alias("path"), F.concat(F.lit(head), "text", F.lit(tail)).alias("text"))
+    files = [
+        text("pyproject.toml", F.concat(F.lit('  "'), F.replace(name, F.lit(" "), F.lit("-")), F.lit(">="), number, F.lit('",')), "[project]\ndependencies = [\n", "\n]\n"),
+        text("requirements.txt", F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit("=="), number), "# all\n-r other\n"),
+        text("package.json", F.concat(F.lit('"'), name, F.lit('": "^'), number, F.lit('"')), '{"dependencies": {', '}, "peerDependencies": {"t": "*"}}', ", "),
+        text("go.mod", F.concat(F.lit("\tx/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit(" v"), number), "module m\nrequire (\n", "\n)\n"),
+        text("Cargo.toml", F.concat(F.replace(name, F.lit(" "), F.lit("-")), F.lit(' = "'), number, F.lit('"')), "[dependencies]\n", '\n[x]\ny = "2"\n'),
     ]
-    deps = manifests.all_dependencies(spark.createDataFrame(rows, "path string, text string"))
+    every = files[0]
+    for one in files[1:]:
+        every = every.unionByName(one)
+    deps = manifests.all_dependencies(every)
     return deps.groupBy("manifest", "scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "version"))), ",").alias("entries"))
 
 
 def imports_and_tags(spark, d):
-    """Imports of two languages and marked lines, from inline texts."""
-    rows = [("a.py", "import x.y\nfrom z import w\n# TODO: one\n"), ("b.ts", "import {q} from './c';\nrequire('r')\n// fixme two\n")]
-    files = spark.createDataFrame(rows, "path string, text string")
+    """Imports of two languages and marked lines, from a text made for each part."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("w"))
+    py = part.select(F.concat("k", F.lit(".py")).alias("path"), F.concat(F.lit("import "), "w", F.lit(".y\nfrom z"), "k", F.lit(" import w\n# TODO: see "), "w").alias("text"))
+    ts = part.select(F.concat("k", F.lit(".ts")).alias("path"), F.concat(F.lit("import {q} from './"), "w", F.lit("';\nrequire('r')\n// fixme "), "k").alias("text"))
+    files = py.unionByName(ts)
     found = files.select("path", F.when(F.col("path").endswith(".py"), python_imports(F.col("text"))).otherwise(js_imports(F.col("text"))).alias("i"))
     tagged = stats.tagged_lines(files).select("path", F.lit("tag").alias("kind"), F.concat_ws(":", "tag", "text").alias("value"))
     return found.select("path", F.lit("import").alias("kind"), F.explode("i").alias("value")).unionByName(tagged)
 
 
+def tag_counts_by_file(spark, d):
+    """Marked lines made of the events, by tag, by file (a user) and in all."""
+    mark = F.element_at(F.array(*[F.lit(x) for x in ("TODO", "FIXME", "note", "plain")]), (F.col("event_id") % 4 + 1).cast("int"))
+    files = _t(spark, d, "events").select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("x = 1  # "), mark, F.lit(": "), "event_type", F.lit("\n// bug ")).alias("text"))
+    return stats.tag_counts(stats.tagged_lines(files))
+
+
+def tests_of_parts(spark, d):
+    """Files whose name holds test or spec and a part's brand."""
+    part = _t(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lit("Test_")).when(F.col("p_partkey") % 3 == 1, F.lit("spec.")).otherwise(F.lit("plain_"))
+    files = part.select(F.concat(F.lit("dir/"), name, F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("."), F.col("p_partkey").cast("string")).alias("path"))
+    names = part.select(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("name"))
+    return graph.related_tests(names, files)
+
+
+def coverage_pages(spark, d):
+    """The percentage that a report made of each page names."""
+    span = F.concat(F.lit('<span class="pc_cov">'), (F.col("page_id") % 101).cast("string"), F.lit("%</span>"))
+    pages = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.concat(F.col("html"), F.when(F.col("page_id") % 2 == 0, span).otherwise(F.lit(""))).alias("text"))
+    return files_source.coverage_percent(pages).select("path", F.col("percent").cast("long").alias("percent"))
+
+
+def _versions(spark, d):
+    version = F.element_at(F.array(*[F.lit(x) for x in ("==1", ">=2", ">", "", "~3", "^4", "5")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return _t(spark, d, "part").select(F.lower("p_name").alias("name"), F.lit("prod").alias("scope"), version.alias("version"), "p_partkey")
+
+
+def dependency_classes(spark, d):
+    """Parts as dependencies: pinned, ranged and unpinned."""
+    return stats.version_classes(_versions(spark, d))
+
+
+def dependency_strategy(spark, d):
+    """Parts as prod entries, every third as a dev entry too, with the version of the next part."""
+    prod = _versions(spark, d).select(F.col("p_partkey").cast("string").alias("name"), "scope", "version")
+    later = _versions(spark, d).filter("p_partkey % 3 = 0").select((F.col("p_partkey") - 1).cast("string").alias("name"), F.lit("dev").alias("scope"), "version")
+    return stats.version_strategy(prod.unionByName(later))
+
+
+def complexity_totals(spark, d):
+    """Line items as functions of the files that their orders are; the language by the ship mode."""
+    line = _t(spark, d, "lineitem")
+    rows = line.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("."), "l_returnflag").alias("path"), F.col("l_returnflag").alias("language"), F.lit("f").alias("name"), F.col("l_linenumber").alias("line_start"), F.col("l_quantity").cast("long").alias("complexity"))
+    out = stats.complexity_summary(rows)
+    return out.withColumn("languages", F.array_join(F.transform(F.array_sort(F.map_entries("languages")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ","))
+
+
+def import_edges(spark, d):
+    """The graph of the parts again, read from texts that import one another."""
+    edges = _edges(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    lines = edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("import p"), "dst"))), "\n").alias("text"))
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    files = nodes.join(lines, "src", "left").select(F.concat(F.lit("p"), "src", F.lit(".py")).alias("path"), F.lit(".py").alias("ext"), F.coalesce("text", F.lit("")).alias("text"))
+    return files_source.import_graph(files)
+
+
 _Q: list[tuple[Callable, str | None]] = [
     (bm25_topk, f"WITH {_ONE}, {_BM25_SQL} SELECT query_id, rank, id AS doc_id, score FROM kranked WHERE rank <= {TOP} AND score > 0"),
-    (bm25_term_stats, f"WITH {_ONE}, {_BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf"),
+    (bm25_term_stats, r"""WITH tok AS (SELECT doc_id AS id, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> ''))) AS term FROM documents),
+c AS (SELECT count(*) AS n FROM documents), d AS MATERIALIZED (SELECT term, count(*) AS df FROM tok GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, c), m AS (SELECT avg(raw) AS mean_idf FROM r)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END, 6) AS idf FROM r, m"""),
     (vector_knn, f"WITH {_VECTOR_SQL} SELECT rank, id AS vec_id, distance FROM vranked WHERE rank <= {TOP}"),
     (vector_knn_filtered, f"WITH {_VECTOR_SQL} SELECT row_number() OVER (ORDER BY distance, id) AS rank, id AS vec_id, distance FROM dist WHERE label = 3 ORDER BY 1 LIMIT {TOP}"),
     (rrf_hybrid, f"WITH {_hybrid_sql(TOP, 30)} SELECT rank, id, score, distance FROM hits"),
@@ -438,7 +518,7 @@ FROM s LEFT JOIN c ON origin = s.node LEFT JOIN d ON d.dst = s.node"""),
 p AS (SELECT x.node, y.node AS other, count(*) AS i FROM b x JOIN b y USING (via) WHERE x.node <> y.node GROUP BY 1, 2)
 SELECT p.node, other, round(i / (a.n + c.n - i), 6) AS similarity FROM p JOIN z a ON a.node = p.node JOIN z c ON c.node = other WHERE round(i / (a.n + c.n - i), 6) >= 0.3"""),
     (graph_imported_by, f"WITH {_EDGES_SQL} SELECT dst AS node, count(DISTINCT src) AS importers, CASE WHEN count(DISTINCT src) >= 5 THEN 'HIGH' WHEN count(DISTINCT src) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM edges GROUP BY dst"),
-    (name_containment_join, "WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 3)) SELECT name, count(*) AS n FROM part JOIN w ON contains(lower(p_name), name) GROUP BY name"),
+    (name_containment_join, "WITH w AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part) SELECT name, count(*) AS n FROM part JOIN w ON contains(lower(p_name), name) WHERE name <> '' GROUP BY name"),
     (line_scan_tags, r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT lang, lower(regexp_extract(line, '(?i)\b(licensed|copyright|warranty)\b', 1)) AS tag FROM l)
 SELECT lang, tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY GROUPING SETS ((lang, tag), (tag), ())"""),
     (section_carry_forward, "SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations"),
@@ -492,11 +572,32 @@ UNION ALL SELECT 'neither', count(*) FROM (SELECT id FROM d EXCEPT (SELECT id FR
 ORDER BY ts DESC, event_id LIMIT 5"""),
     (grouped_messages, """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id AS author, any_value(n) AS n, string_agg(event_type, ',' ORDER BY k) FILTER (k <= 5) AS messages, greatest(0, any_value(n) - 5)::BIGINT AS more FROM r GROUP BY user_id"""),
-    (version_classes, """SELECT * FROM (VALUES ('pyproject.toml', 'prod', 3::BIGINT, 'a:>=1,b:==2,c:'), ('requirements.txt', 'prod', 2, 'D:<3,b:==2'), ('package.json', 'prod', 1, 'r:^1'), ('package.json', 'dev', 2, 'r:~2,s:3'),
-('package.json', 'peer', 1, 't:*'), ('go.mod', 'prod', 1, 'u:v1'), ('Cargo.toml', 'prod', 1, 'w:1.0')) v(manifest, scope, n, entries)"""),
-    (imports_and_tags, """SELECT * FROM (VALUES ('a.py', 'import', 'x'), ('a.py', 'import', 'z'), ('a.py', 'tag', 'TODO:one'), ('b.ts', 'import', './c'), ('b.ts', 'import', 'r'), ('b.ts', 'tag', 'FIXME:two')) v(path, kind, value)"""),
+    (version_classes, """WITH n AS (SELECT lower(n_name) AS w, replace(lower(n_name), ' ', '-') AS s, n_nationkey::VARCHAR AS k FROM nation), e AS (
+SELECT 'pyproject.toml' AS manifest, 'prod' AS scope, s || ':>=' || k AS e FROM n UNION ALL SELECT 'requirements.txt', 'prod', s || ':==' || k FROM n UNION ALL SELECT 'package.json', 'prod', w || ':^' || k FROM n
+UNION ALL SELECT 'package.json', 'peer', 't:*' UNION ALL SELECT 'go.mod', 'prod', 'x/' || s || ':v' || k FROM n UNION ALL SELECT 'Cargo.toml', 'prod', s || ':' || k FROM n)
+SELECT manifest, scope, count(*) AS n, string_agg(e, ',' ORDER BY e) AS entries FROM e GROUP BY 1, 2"""),
+    (imports_and_tags, """WITH p AS (SELECT p_partkey::VARCHAR AS k, lower(split_part(p_name, ' ', 1)) AS w FROM part)
+SELECT k || '.py' AS path, 'import' AS kind, w AS value FROM p UNION ALL SELECT k || '.py', 'import', 'z' || k FROM p UNION ALL SELECT k || '.py', 'tag', 'TODO:see ' || w FROM p
+UNION ALL SELECT k || '.ts', 'import', './' || w FROM p UNION ALL SELECT k || '.ts', 'import', 'r' FROM p UNION ALL SELECT k || '.ts', 'tag', 'FIXME:' || k FROM p"""),
+    (tag_counts_by_file, """WITH f AS (SELECT 'user' || user_id AS path, unnest([CASE event_id % 4 WHEN 0 THEN 'TODO' WHEN 1 THEN 'FIXME' WHEN 2 THEN 'NOTE' END, 'BUG']) AS tag FROM events)
+SELECT tag, path, count(*) AS n FROM f WHERE tag IS NOT NULL GROUP BY GROUPING SETS ((tag), (path), ())"""),
+    (tests_of_parts, """WITH f AS (SELECT 'dir/' || CASE p_partkey % 3 WHEN 0 THEN 'Test_' WHEN 1 THEN 'spec.' ELSE 'plain_' END || replace(p_brand, '#', '-') || '.' || p_partkey AS path FROM part),
+n AS (SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS name FROM part)
+SELECT name, path FROM f JOIN n ON contains(lower(split_part(path, '/', 2)), name) WHERE contains(lower(split_part(path, '/', 2)), 'test') OR contains(lower(split_part(path, '/', 2)), 'spec')"""),
+    (coverage_pages, "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 2 = 0 THEN page_id % 101 END AS percent FROM pages"),
+    (dependency_classes, """WITH v AS (SELECT ['==1', '>=2', '>', '', '~3', '^4', '5'][p_partkey % 7 + 1] AS v FROM part)
+SELECT count(*) AS total, count(*) FILTER (starts_with(v, '==')) AS pinned, count(*) FILTER (v <> '' AND NOT starts_with(v, '==') AND v NOT IN ('>', '>=')) AS ranged, count(*) FILTER (v = '' OR starts_with(v, '>')) AS unpinned FROM v"""),
+    (dependency_strategy, """WITH v AS (SELECT p_partkey AS k, ['==1', '>=2', '>', '', '~3', '^4', '5'][p_partkey % 7 + 1] AS v FROM part), d AS (SELECT k - 1 AS k, v FROM v WHERE k % 3 = 0),
+c AS (SELECT coalesce(d.v, v.v) AS v FROM v FULL JOIN d USING (k))
+SELECT count(*) FILTER (starts_with(v, '^')) AS caret, count(*) FILTER (starts_with(v, '~')) AS tilde, count(*) FILTER (regexp_matches(v, '^[0-9]')) AS exact FROM c"""),
+    (complexity_totals, """WITH f AS (SELECT l_orderkey || '.' || l_returnflag AS path, l_returnflag AS language, CAST(trunc(l_quantity) AS BIGINT) AS c FROM lineitem),
+e AS (SELECT language, count(DISTINCT path) AS files, count(*) AS functions, sum(c) AS total, count(*) FILTER (c > 10) AS complex FROM f GROUP BY language)
+SELECT CAST(sum(files) AS BIGINT) AS files, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(total) AS BIGINT) AS total, round(sum(total) / sum(functions), 2) AS average, CAST(sum(complex) AS BIGINT) AS complex,
+string_agg(language || ':' || files, ',' ORDER BY language) AS languages FROM e"""),
+    (import_edges, f"WITH {_EDGES_SQL} SELECT 'p' || src || '.py' AS src, 'p' || dst || '.py' AS dst FROM edges"),
+    (complexity_python, """WITH p AS (SELECT p_partkey::VARCHAR AS k, CAST(p_size % 9 AS INTEGER) AS n FROM part)
+SELECT k || '.py' AS path, 'python' AS language, 'f' || k AS name, 1::INTEGER AS line_start, (n + 1)::INTEGER AS complexity FROM p UNION ALL SELECT k || '.ts', 'typescript', 'f' || k, 2::INTEGER, (n + 1)::INTEGER FROM p"""),
     (chunk_fixed, None),
-    (complexity_python, None),
 ]
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import json
+import time
+from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_config_path, is_test_path
+from tessera.functions.text import is_config_path, is_test_path, stem
+from tessera.log import setup_logger
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import CHUNK, chunk_texts
 from tessera.operators.complexity import function_complexity
@@ -26,6 +31,12 @@ FOLDERS = {"src": "src/ directory", "lib": "lib/ directory", "app": "app/ direct
 TOOLS = {"[tool.ruff": ("linting", "ruff"), "[tool.black": ("formatting", "black"), "[tool.mypy": ("types", "mypy"), "[tool.pylint": ("linting", "pylint"), "[tool.isort": ("formatting", "isort")}
 TOOL_FILES = {".eslintrc.js": ("linting", "eslint"), ".eslintrc.json": ("linting", "eslint"), ".prettierrc": ("formatting", "prettier"), ".prettierrc.json": ("formatting", "prettier"), "tsconfig.json": ("types", "TypeScript"), "biome.json": ("linting", "biome"), ".pre-commit-config.yaml": ("linting", "pre-commit")}
 
+# Where patterns of files that are not indexed are written, and how long and how many results are remembered.
+IGNORE_FILES = (".indexignore", ".ai/.indexignore")
+REMEMBER_SECONDS, REMEMBER = 300, 100
+COUNTED_COMMITS = 500
+
+LOG = setup_logger("tessera.engine")
 STATE = "path string, mtime double, indexed_at timestamp"
 Encoder = Callable[[pd.Series], pd.Series]
 
@@ -40,8 +51,9 @@ class Engine:
     """Reports on one file tree, its index and its log.
 
     ``root``: the tree; ``state``: a folder for the index and the notes; ``commits`` and ``commit_files``: the log as
-    tables; ``encoder``: text to vector, without it searches rank by keywords alone; ``now``: the time that windows
-    end at, by default that of the newest commit.
+    tables; ``encoder``: text to vector, without it searches rank by keywords alone; ``ignore_patterns``: parts of
+    paths that are not indexed, by default those of the tree's ignore file; ``now``: the time that windows end at, by
+    default that of the newest commit; ``branch``: what the log is of.
     """
 
     spark: SparkSession
@@ -50,8 +62,11 @@ class Engine:
     commits: DataFrame | None = None
     commit_files: DataFrame | None = None
     encoder: Encoder | None = None
-    ignore_patterns: list[str] = field(default_factory=list)
+    ignore_patterns: list[str] | None = None
     now: str | None = None
+    branch: str | None = None
+    _remembered: OrderedDict = field(default_factory=OrderedDict, init=False, repr=False)
+    _counts: dict[str, int] = field(default_factory=lambda: {"hits": 0, "misses": 0, "expirations": 0}, init=False, repr=False)
 
     # -- sources -------------------------------------------------------------------------------------------------
 
@@ -59,13 +74,18 @@ class Engine:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         system = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         _check(system.exists(at) and system.getFileStatus(at).isDirectory(), f"{path} is not a directory")
-        return Engine(self.spark, path, self.state, self.commits, self.commit_files, self.encoder, self.ignore_patterns, self.now)
+        return replace(self, root=path)
 
     def _all(self) -> DataFrame:
         return fs.tree(self.spark, self.root)
 
     def _files(self) -> DataFrame:
-        return fs.texts(fs.scan_indexable(self.spark, self.root, self.ignore_patterns, max_files=None))
+        return fs.texts(fs.scan_indexable(self.spark, self.root, self._patterns(), max_files=None))
+
+    def _patterns(self) -> list[str]:
+        if self.ignore_patterns is not None:
+            return self.ignore_patterns
+        return fs.read_ignore_patterns(self.spark, *(f"{self.root.rstrip('/')}/{name}" for name in IGNORE_FILES))
 
     def _code(self) -> DataFrame:
         return fs.texts(fs.scan_code(self.spark, self.root, max_files=None))
@@ -119,6 +139,15 @@ class Engine:
         chunks.write.parquet(f"{at}/chunks")
         retrieval.Bm25Index.build(self.spark.read.parquet(f"{at}/chunks")).save(f"{at}/bm25")
         files.write.parquet(f"{at}/files")
+        LOG.info("index written", extra={"generation": number, "root": self.root})
+
+    def clear_index(self) -> DataFrame:
+        """Delete all generations of the index; the notes stay."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/index")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._remembered.clear()
+        LOG.info("index cleared", extra={"root": self.root})
+        return self.get_index_stats()
 
     def _tracked(self, files: DataFrame) -> DataFrame:
         return files.select("path", F.col("mtime").cast("double").alias("mtime"), F.current_timestamp().alias("indexed_at"))
@@ -162,9 +191,28 @@ class Engine:
     # -- search --------------------------------------------------------------------------------------------------
 
     def _search(self, queries: list[tuple[int, str]], n: int) -> DataFrame:
-        """``query_id, rank, id, source, score, distance`` and relevances."""
+        """``query_id, rank, id, source, score, distance`` and relevances, at most n rows for each of a few queries.
+
+        Results are remembered for a while by a hash of what was asked and of the index generation, so a new index
+        never answers with old rows.
+        """
         at = self._generations()
         _check(bool(at), "there is no index; run index_codebase first")
+        key = hashlib.sha256(json.dumps([queries, n, at[-1], self.state]).encode()).hexdigest()
+        found = self._remembered.get(key)
+        if found is not None and time.monotonic() - found[0] > REMEMBER_SECONDS:
+            self._counts["expirations"] += 1
+            found = self._remembered.pop(key, None) and None
+        self._counts["hits" if found else "misses"] += 1
+        if found is None:
+            fresh = self._searched(at, queries, n)
+            found = self._remembered[key] = (time.monotonic(), fresh.collect(), fresh.schema)
+            if len(self._remembered) > REMEMBER:
+                self._remembered.popitem(last=False)
+        self._remembered.move_to_end(key)
+        return self.spark.createDataFrame(found[1], found[2])
+
+    def _searched(self, at: list[int], queries: list[tuple[int, str]], n: int) -> DataFrame:
         asked = self.spark.createDataFrame(queries, "query_id long, query string")
         index = retrieval.Bm25Index.load(self.spark, f"{self.state}/index/{at[-1]}/bm25")
         chunks = self.chunks()
@@ -256,8 +304,6 @@ class Engine:
         return found.select(F.col("other").alias("path"), "similarity").orderBy(F.desc("similarity"), "path").limit(max_cluster_size)
 
     def _tests_of(self, nodes: DataFrame) -> DataFrame:
-        from tessera.functions.text import stem
-
         return graph.related_tests(nodes.select(stem(F.col("node")).alias("name")).distinct(), self._all()).select("path").distinct()
 
     def analyze_change_impact(self, path: str) -> DataFrame:
@@ -287,7 +333,13 @@ class Engine:
         return listing.withColumn("path", full).join(recent.select("path", "short_hash", "message"), "path", "left")
 
     def get_file_summary(self, path: str, max_lines: int = 50) -> DataFrame:
-        return fs.file_summary(self._files(), self._path(path), max_lines)
+        """One row: what the file holds, its five newest commits, and the first five lines of notes that name it."""
+        where = self._path(path)
+        told = F.concat_ws(" ", F.date_format("date", "yyyy-MM-dd"), F.concat(F.lit("["), "short_hash", F.lit("]")), F.substring_index("message", "\n", 1), F.concat(F.lit("("), "author", F.lit(")")))
+        newest = history.file_commits(self._log(), self._log_files(), where).select((-F.unix_micros("date")).alias("k"), "hash", told.alias("x"))
+        named = notes.keyword_lines(self.notes.read().select(F.col("seq").alias("doc"), F.col("content").alias("text")), where.rpartition("/")[2]).orderBy("doc", "seq").limit(5)
+        listed = lambda rows, name: rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*rows.columns))), lambda r: r[rows.columns[-1]]).alias(name))
+        return fs.file_summary(self._files(), where, max_lines).crossJoin(listed(newest, "commits")).crossJoin(listed(named, "notes"))
 
     def find_todos(self, tag: str | None = None) -> DataFrame:
         return stats.tagged_lines(self._code(), tag=tag).orderBy("path", "line_no")
@@ -296,7 +348,16 @@ class Engine:
         return stats.tag_counts(stats.tagged_lines(self._code(), tag=tag))
 
     def check_dependencies(self) -> DataFrame:
-        return manifests.all_dependencies(self._at_root()).orderBy(F.lower("name"))
+        """``manifest, scope, name, version, times, in_prod_and_dev``: entries by name, how many entries of any case have
+        that name in the manifest, and whether a package is a prod and a dev entry."""
+        deps = manifests.all_dependencies(self._at_root())
+        times = deps.groupBy("manifest", F.lower("name").alias("low")).agg(F.count("*").alias("times"))
+        both = stats.in_prod_and_dev(deps.filter("manifest = 'package.json'")).select(F.lit("package.json").alias("manifest"), "name", F.lit(True).alias("both"))
+        out = deps.withColumn("low", F.lower("name")).join(times, ["manifest", "low"]).join(both, ["manifest", "name"], "left")
+        return out.select("manifest", "scope", "name", "version", "times", F.coalesce("both", F.lit(False)).alias("in_prod_and_dev")).orderBy(F.lower("name"), "manifest", "scope")
+
+    def dependency_strategy(self) -> DataFrame:
+        return stats.version_strategy(self.check_dependencies().filter("manifest = 'package.json'"))
 
     def dependency_classes(self) -> DataFrame:
         return stats.version_classes(self.check_dependencies().filter(F.col("manifest").isin("pyproject.toml", "requirements.txt")))
@@ -337,6 +398,9 @@ class Engine:
         marks = self._marks()
         for kind in ("framework", "linting", "formatting", "types", "tests", "architecture"):
             out = out.crossJoin(listed(marks.filter(F.col("kind") == kind), "name", kind))
+        alone = F.array_contains("architecture", "monorepo")  # workspaces stand above what the folders say
+        out = out.withColumn("architecture", F.when(alone, F.array(F.lit("monorepo"))).otherwise(F.col("architecture")))
+        out = out.crossJoin(listed(stats.test_folders(code), "folder", "test_folders"))
         pattern = stats.test_patterns(code).agg(F.max_by("pattern", F.struct(F.col("n"), F.col("pattern"))).alias("test_pattern"))
         return out.crossJoin(pattern).crossJoin(ranked(stats.idioms(code, stats.ERROR_IDIOMS), "error_handling")).crossJoin(ranked(stats.idioms(code, stats.LOGGING_IDIOMS), "logging_style"))
 
@@ -349,7 +413,7 @@ class Engine:
 
     def get_project_overview(self) -> DataFrame:
         total = self._all().agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-        log = self._log().agg(F.count("*").alias("commits"), F.max("date").alias("last_commit"))
+        log = self._log().agg(F.least(F.count("*"), F.lit(COUNTED_COMMITS)).alias("commits"), F.max("date").alias("last_commit"), F.lit(self.branch or "unknown").alias("branch"))
         return total.crossJoin(log).crossJoin(self.get_index_stats()).crossJoin(self._marks().agg(F.array_sort(F.collect_set("name")).alias("marks")))
 
     def generate_project_summary(self) -> DataFrame:
@@ -358,8 +422,14 @@ class Engine:
         return kinds.crossJoin(self.get_index_stats()).crossJoin(self._log().agg(F.count("*").alias("commits")))
 
     def project_onboarding(self) -> dict[str, DataFrame]:
-        """The four reports of a first session; they are independent plans."""
-        return {"overview": self.get_project_overview(), "conventions": self.detect_project_conventions(), "todos": self.todo_counts(), "dependencies": self.check_dependencies()}
+        """The four reports of a first session, independent plans; conventions and dependencies are noted too."""
+        out = {"overview": self.get_project_overview(), "conventions": self.detect_project_conventions(), "todos": self.todo_counts(), "dependencies": self.check_dependencies()}
+        self.notes.update(out["conventions"].select(F.to_json(F.struct("*")).alias("j")).first().j, "Project Conventions")
+        found = [f"{r.manifest}: {r.name} {r.version}".rstrip() for r in out["dependencies"].collect()]  # the manifests of one project
+        if found:
+            self.notes.update("\n".join(found), "Dependencies")
+        self.notes.update("Conventions and dependencies were noted.", "Onboarding")
+        return out
 
     def _functions(self, target_path: str) -> DataFrame:
         base = self._path(target_path)
@@ -401,9 +471,13 @@ class Engine:
         return notes.NoteStore(self.spark, f"{self.state}/notes")
 
     def read_memory(self, max_lines: int | None = 100) -> DataFrame:
+        """``seq, section, created_at, line_no, line, more``: lines in order, and how many more there are than are shown."""
         _check(max_lines is None or max_lines > 0, "max_lines must be positive")
-        rows = self.notes.read().select("seq", "section", "created_at", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).orderBy("seq", "line_no")
-        return rows if max_lines is None else rows.limit(max_lines)
+        rows = self.notes.read().select("seq", "section", "created_at", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+        total = rows.agg(F.count("*").alias("total"))
+        shown = rows.orderBy("seq", "line_no") if max_lines is None else rows.orderBy("seq", "line_no").limit(max_lines)
+        more = F.lit(0).cast("long") if max_lines is None else F.greatest(F.lit(0), F.col("total") - max_lines)
+        return shown.crossJoin(total).withColumn("more", more).drop("total").orderBy("seq", "line_no")
 
     def update_memory(self, content: str, section: str = "Recent Decisions") -> bool:
         return self.notes.update(content, section)
@@ -450,10 +524,10 @@ class Engine:
         return len(rows)
 
     def get_cache_stats(self) -> DataFrame:
-        """Cached data of the session: ``rdd_id, name, partitions, memory_bytes, disk_bytes``."""
-        infos = self.spark.sparkContext._jsc.sc().getRDDStorageInfo()
-        rows = [(i.id(), i.name(), i.numCachedPartitions(), i.memSize(), i.diskSize()) for i in infos]
-        return self.spark.createDataFrame(rows, "rdd_id int, name string, partitions int, memory_bytes long, disk_bytes long")
+        """``name, hits, misses, hit_rate, size, capacity, expirations, ttl_seconds`` of the remembered searches."""
+        row = ("searches", self._counts["hits"], self._counts["misses"], len(self._remembered), REMEMBER, self._counts["expirations"], REMEMBER_SECONDS)
+        rows = self.spark.createDataFrame([row], "name string, hits long, misses long, size long, capacity long, expirations long, ttl_seconds long")
+        return rows.select("name", "hits", "misses", stats.hit_rate(F.col("hits"), F.col("misses")).alias("hit_rate"), "size", "capacity", "expirations", "ttl_seconds")
 
 
 def small_lint(text: str) -> list[str]:

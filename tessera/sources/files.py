@@ -44,12 +44,16 @@ def validate_path(path: str, root: str) -> str:
     return "" if full == base else full.relative_to(base).as_posix()
 
 
-def read_ignore_patterns(*files: str) -> list[str]:
-    """Lines of the first ignore file that exists, without blanks and comments."""
-    for name in files:
-        if os.path.isfile(name):
-            with open(name, encoding="utf-8", errors="replace") as f:
-                return [x.strip() for x in f if x.strip() and not x.lstrip().startswith("#")]
+def read_ignore_patterns(spark: SparkSession, *uris: str) -> list[str]:
+    """Lines of the first ignore file that exists, without blanks and comments, in order and once."""
+    for uri in uris:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):  # its name starts with a dot, so Spark's own sources pass over it
+            stream = system.open(path)
+            rows = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            stream.close()
+            return list(dict.fromkeys(x.strip() for x in rows if x.strip() and not x.lstrip().startswith("#")))
     return []
 
 
@@ -209,7 +213,7 @@ def read_git_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ``commit<TAB>hash<TAB>short<TAB>author<TAB>epoch seconds<TAB>subject``, then its paths, one to a line."""
     rows = spark.read.text(path, lineSep="\n\n", wholetext=False).filter("trim(value) <> ''").select(F.split(strip(F.col("value")), "\n").alias("l"))
     head = F.split(F.element_at("l", 1), "\t", 6)
-    rows = rows.filter(F.element_at("l", 1).startswith("commit\t")).select(head.alias("h"), F.slice("l", 2, 1 << 20).alias("paths"))
+    rows = rows.filter(F.element_at("l", 1).startswith("commit\t")).select(head.alias("h"), F.slice("l", F.lit(2), F.size("l")).alias("paths"))
     field = lambda k: F.get("h", F.lit(k))
     commits = rows.select(field(1).alias("hash"), field(2).alias("short_hash"), field(5).alias("message"), F.when(field(3) == "", "Unknown").otherwise(field(3)).alias("author"), F.timestamp_seconds(field(4).cast("long")).alias("date"))
     return commits, rows.select(field(1).alias("hash"), F.explode("paths").alias("path"))

@@ -90,7 +90,8 @@ def test_reports(engine):
     row = engine.detect_project_conventions().first()
     assert row.primary_language == "Python" and "ruff" in row.linting and "FastAPI" in row.framework and "pytest" in row.tests and row.test_pattern == "test_*.py"
     assert {(r.path, r.tag) for r in engine.find_todos().collect()} == {("src/app.py", "TODO"), ("web/lib/x.ts", "FIXME")}
-    assert engine.complexity_totals().first().functions == 5
+    totals = engine.complexity_totals().first()
+    assert totals.functions == 5 and totals.languages == {"python": 3}
     assert engine.analyze_code_complexity().count() == 0 and engine.analyze_code_quality().count() >= 1
     assert engine.get_test_coverage_info().first().percent == 87
     assert engine.get_file_relations("src/util.py").first().imported_by == ["src/app.py", "src/helper.py"]
@@ -107,7 +108,13 @@ def test_reports(engine):
     assert engine.get_dependencies_with_depth("src/app.py").first().paths == ["src/__init__.py", "src/util.py"]
     assert engine.find_dependency_path("src/helper.py", "src/util.py").first().length == 1
     assert [r.path for r in engine.get_module_cluster("src/app.py").collect()] == ["src/helper.py"]
-    assert engine.get_cache_stats().columns[0] == "rdd_id"
+    overview = engine.get_project_overview().first()
+    assert overview.branch == "unknown" and row.test_folders == ["tests"]
+    assert summary.commits == ["2024-05-01 [abcdef0] Fix stock (Alice)"] and summary.notes == []
+    strategy = engine.dependency_strategy().first()
+    assert (strategy.caret, strategy.tilde, strategy.exact) == (1, 1, 1)
+    assert {(r.name, r.times, r.in_prod_and_dev) for r in engine.check_dependencies().filter("manifest = 'package.json'").collect()} == {("react", 1, False), ("jest", 1, False), ("x", 1, False)}
+    assert engine.read_memory(None).filter("section = 'Onboarding'").count() == 1 and engine.read_memory(1).first().more > 0
 
 
 def test_index_and_search(engine, project):
@@ -116,6 +123,9 @@ def test_index_and_search(engine, project):
     first = engine.index_codebase().first()
     assert first.status == "ready" and first.chunks > 5
     assert engine.search_codebase("checkout(cart):").first().source == "src/app.py"
+    assert engine.search_codebase("checkout(cart):").first().source == "src/app.py"
+    cached = engine.get_cache_stats().first()
+    assert (cached.hits, cached.misses, cached.hit_rate, cached.size) == (1, 1, 50.0, 1)
     assert engine.search_summary("checkout(cart):").first().n_results == 1
     assert engine.search_codebase_advanced("def", 5, [".py"], ["tests"]).count() >= 1
     assert {r.path for r in engine.search_with_dependencies("checkout(cart):").collect()} >= {"src/app.py", "src/util.py"}
@@ -143,6 +153,39 @@ def test_index_and_search(engine, project):
     assert engine.session_init().first().changed_files == 1  # the empty file is tried again
 
 
+def test_ignore_file_and_clearing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "keep.py").write_text("def kept():\n    pass\n")
+    (tmp_path / "a" / "skip.py").write_text("def left_out():\n    pass\n")
+    (tmp_path / ".indexignore").write_text("# comment\n\nskip\nskip\n")
+    (tmp_path / "package.json").write_text('{"workspaces": []}')
+    own = Engine(spark, str(tmp_path), str(tmp_path / "state-x"), branch="main")
+    assert own._patterns() == ["skip"] and own.index_codebase().first().status == "ready"
+    assert {r.source for r in own.chunks().collect()} >= {"a/keep.py"} and "a/skip.py" not in {r.source for r in own.chunks().collect()}
+    assert own.get_project_overview().first().branch == "main" and own.detect_project_conventions().first().architecture == ["monorepo"]
+    assert own.clear_index().first().status == "missing" and own.chunks().count() == 0
+
+
+def test_logger(tmp_path):
+    import json
+
+    from tessera.log import setup_logger
+
+    for _ in range(2):
+        logger = setup_logger("tessera.test", str(tmp_path / "x.log"))
+    logger.info("done %d", 3, extra={"rows": 7})
+    (line,) = (tmp_path / "x.log").read_text().splitlines()
+    assert {k: v for k, v in json.loads(line).items() if k != "time"} == {"level": "INFO", "logger": "tessera.test", "message": "done 3", "rows": 7}
+
+
+def test_headers_inside_notes(engine):
+    engine.clear_memory(keep_template=False)
+    engine.update_memory("intro\n## Old Plan\nx\n### detail\ny\n## Next\nz", "Plans")
+    assert not engine.delete_memory_section("nothing") and engine.delete_memory_section("old plan")
+    assert [r.line for r in engine.read_memory(None).collect()] == ["intro", "## Next", "z"]
+    assert engine.delete_memory_section("plans") and engine.read_memory(None).count() == 0
+
+
 def test_hybrid_search(spark, project, tmp_path):
     def encoder(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [float(t.count(c)) for c in "abcdefgh"])
@@ -178,7 +221,7 @@ def test_split_invariants(text, size):
 
 def test_chunks_of_python():
     rows = chunk_file("a.py", APP)
-    assert [(r[3], r[4], r[5], r[6]) for r in rows] == [("method", "add", "Cart", 5), ("method", "total", "Cart", 10), ("function", "checkout", "", 14), ("module_level", "", "", 1)]
+    assert [(r[3], r[4], r[5], r[6]) for r in rows] == [("method", "add", "Cart", 5), ("method", "total", "Cart", 10), ("function", "checkout", "", 14), ("module", "module_level", "", 1)]
     assert rows[0][1].startswith("# Class: Cart\n") and len({r[0] for r in rows}) == len(rows)
     assert chunk_file("b.py", "x = (")[0][3] == "text"
     long = "word " * 2000

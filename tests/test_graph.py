@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.operators import graph
@@ -41,3 +43,25 @@ def test_related_tests(spark):
     files = spark.createDataFrame([("tests/test_app.py",), ("src/app.py",), ("web/App.spec.ts",)], "path string")
     got = graph.related_tests(spark.createDataFrame([("app",)], "name string"), files)
     assert sorted(r.path for r in got.collect()) == ["tests/test_app.py", "web/App.spec.ts"]
+
+
+def test_clusters_against_brute_force(spark):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(100, i) for i in range(60)] + [(200, 201), (None, 1), (1, None), (7, 7)]
+    near = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    for least in (0.0, 0.2, 0.3, 0.5, 1.0):
+        want = {(a, b): round(len(near[a] & near[b]) / len(near[a] | near[b]), 6) for a in near for b in near if a != b and near[a] & near[b]}
+        assert {(r.node, r.other): r.similarity for r in graph.clusters(df, least).collect()} == {k: v for k, v in want.items() if v >= least}
+    some = spark.createDataFrame([(5,), (5,), (None,)], "node long")
+    assert {r.node for r in graph.clusters(df, 0.2, some).collect()} <= {5} and graph.clusters(df.limit(0), 0.3).count() == 0
+
+
+def test_related_tests_on_odd_rows(spark):
+    files = spark.createDataFrame([("a/test_x.py", 1), ("a/test_x.py", 2), (None, 3), ("test", 4)], "path string, name int")
+    names = spark.createDataFrame([("X",), ("x",), (None,), ("",), ("_x.",)], "name string")
+    assert sorted(map(tuple, graph.related_tests(names, files).collect())) == [("_x.", "a/test_x.py"), ("_x.", "a/test_x.py"), ("x", "a/test_x.py"), ("x", "a/test_x.py")]

@@ -70,3 +70,22 @@ def test_search_plan_filters_terms_before_counting(index, spark):
     asked = spark.createDataFrame([(1, "alpha")], "query_id long, query string")
     plan = index.search(asked)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_cosine_neighbours_on_dirty_rows_and_in_blocks(spark):
+    bad = [(None, [1.0, 0.0]), (50, None), (51, [1.0, None]), (52, [float("nan"), 1.0]), (53, [1.0, 2.0, 3.0]), (54, []), (55, [float("inf"), 0.0])]
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(3, [3.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows + bad], "vec_id long, embedding array<double>, distance double")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(90, [1.0, 2.0, 3.0])] + [(100 + i, v) for i, v in bad[1:] if i != 53] + [(None, [1.0, 1.0]), (4, [4.0, 1.0])], "query_id long, vector array<double>")
+    whole = sorted(map(tuple, retrieval.cosine_neighbours(df, asked, 3).collect()))
+    assert sorted(map(tuple, retrieval.cosine_neighbours(df, asked, 3, block=4).collect())) == whole
+    assert {r[0] for r in whole} == {*range(20), 90} and [r for r in whole if r[0] == 90] == [(90, 1, 53, 0.0)]
+    assert [r[2] for r in whole if r[0] == 3] == [3, 3, 4]
+    assert retrieval.cosine_neighbours(df, asked.limit(0), 3).collect() == [] and retrieval.cosine_neighbours(df.limit(0), asked, 3).collect() == []
+
+
+def test_searching_many_terms_by_a_shuffle(spark, index, monkeypatch):
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (None, "alpha"), (3, None)], "query_id long, query string")
+    sent = sorted(map(tuple, index.search(asked).collect()), key=repr)
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 1)
+    assert sorted(map(tuple, index.search(asked).collect()), key=repr) == sent and sent

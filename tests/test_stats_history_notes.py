@@ -1,9 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import history, incremental, notes, stats
+from tessera.operators.contain import held_strings
 
 NOW = datetime(2024, 5, 1, 12)
 
@@ -116,3 +118,29 @@ def test_unmentioned_looks_for_tokens_of_every_length(spark):
     texts = spark.createDataFrame([("a" * 80,)], "text string")
     entries = spark.createDataFrame([("a" * n,) for n in range(1, 73)] + [("zz",)], "token string")
     assert [r.token for r in unmentioned(entries, texts, "token").collect()] == ["zz"]
+
+
+def test_unmentioned_against_brute_force(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab-c. é\n") for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "x" * 5000 + "ab-cd" + "y" * 200]
+    tokens = ["".join(rng.choice("ab-c. é") for _ in range(rng.randrange(1, 5))) for _ in range(120)] + ["ab-cd", "", None, "x" * 120, "x" * 119 + "a", *("y" * n for n in range(1, 101))]
+    entries = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)] + [(tokens[0], 999)], "token string, string int")
+    want = sorted(i for i, t in enumerate([*tokens]) if t is None or not any(t in x for x in texts if x is not None))
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r.string for r in notes.unmentioned(entries, table, "token").filter("string < 999").collect()) == want
+    assert notes.unmentioned(entries, table.limit(0), "token").count() == entries.count()
+    found = held_strings(table.withColumn("id", F.monotonically_increasing_id()), "id", F.col("text"), entries, block_chars=50)
+    assert {r.string for r in found.collect()} == {t for t in tokens if t and any(t in x for x in texts if x is not None)}
+
+
+def test_batches_keep_every_row(spark):
+    rows = [("p", 2, 300), ("p", 1, 300), ("p", 1, 300), ("p", 3, None), (None, 1, 700), (None, 2, 600), ("q", None, 50)]
+    out = incremental.batch_numbers(spark.createDataFrame([(*r, 9) for r in rows], "part string, seq long, size long, batch_no int"), "size", 600)
+    assert sorted(((r.part or "", r.seq or 0, r.size or 0, r.batch_no) for r in out.collect())) == [("", 1, 700, 0), ("", 2, 600, 1), ("p", 1, 300, 0), ("p", 1, 300, 0), ("p", 2, 300, 1), ("p", 3, 0, 1), ("q", 0, 50, 0)]
+    assert out.columns == ["part", "seq", "size", "batch_no"] and incremental.batch_numbers(out.limit(0), "size", 5).count() == 0
+
+
+def test_long_names_and_headers(spark):
+    long = "a" * 1500
+    assert stats.naming_style(spark.createDataFrame([(f"{long}B.py",)], "path string")).first().camel == 1
+    assert notes.parse(spark.createDataFrame([(1, "## " + long)], "doc int, text string")).first().header == long

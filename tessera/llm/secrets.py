@@ -47,6 +47,8 @@ DICTIONARY = (
 PAIRS = set("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur io ne me li co ro ll ic ta el ma om ec us ca".split())
 KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 
+_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_", "AIza", "eyJ")
+
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ASSIGNED = re.compile(r"""[=:]>?[ \t]*["'`]?([^\s"'`,;<>(){}\[\]]{6,})""")
 _KEYWORD = re.compile("(?i)" + "|".join(map(re.escape, KEYWORDS)))
@@ -63,7 +65,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     digits = _DIGIT.search(text) is not None
     if digits:
         found += [m.span() for m in _LONG.finditer(text) if _DIGIT.search(m.group())]
-    if "." in text and "eyJ" in text or "-" in text or "_" in text:
+    if any(start in text for start in _STARTS):
         found += [m.span() for m in KNOWN.finditer(text)]
     if "=" in text or ":" in text:
         for m in _ASSIGNED.finditer(text):

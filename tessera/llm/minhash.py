@@ -9,9 +9,9 @@ of a key are first held against its smallest and its largest node; while many pa
 commonest component of their key are held against a few members of that; what still is apart is held against each
 other, inside a join that lets only pairs through that their sketches allow.
 
-A sketch has a bit for each of 1,024 cells, set where an odd number of the set's hashes fall. The bits in which two
+A sketch has a bit for each of 512 cells, set where an odd number of the set's hashes fall. The bits in which two
 sketches differ are at most as many as the hashes that only one of the sets has, so a pair that is ruled out by them
-is never within the index. Sets of up to some 2,000 shingles are told apart well; larger ones are more often verified.
+is never within the index. Sets of up to some 1,000 shingles are told apart well; larger ones are more often verified.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BLOCK = 1 << 12
 #: Members of the commonest component that a key's other members are held against in a round.
 PIVOTS = 4
 #: 64-bit numbers of a sketch.
-SKETCH = 16
+SKETCH = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,7 +79,7 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    cells = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    cells = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.int64)
     return np.packbits((np.bincount(cells, minlength=64 * SKETCH) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -94,12 +94,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def in_slices(batches, rows: int = 512):
+    """The batches in pieces, so that the hashes of few texts are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, node, bits, keys, n`` and the sketch for every row."""
     names = ["doc_id", "node", "bits", "keys", "n", *_SKETCH]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [hashes(t, size) for t in utf8_rows(batch.column(1))]
             sets = [as_set(x) for x in found]
             nodes, bits = (np.array(x, np.uint64).view(np.int64) for x in ([node_of(s) for s in sets], [majority(x) for x in found]))
@@ -113,7 +120,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t, size) for t in utf8_rows(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "own"])
 

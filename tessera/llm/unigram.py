@@ -23,7 +23,9 @@ MARK = "▁"
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words in each half of a worker's memory (about 70 MB a half).
-REMEMBER = 400_000
+REMEMBER = 150_000
+#: Characters of a word that is not remembered any more, so that the memory is bounded in bytes too.
+LONG = 64
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -191,6 +193,8 @@ class Encoder:
         ids = self.known.get(chunk) or self.old.get(chunk)
         if ids is None:
             ids = array("i", self.segment(chunk if chunk[:1] == MARK else MARK + chunk)).tobytes()
+        if len(chunk) > LONG:
+            return ids
         if len(self.known) >= self.remember:
             self.old, self.known = self.known, {}
         self.known[chunk] = ids

@@ -16,8 +16,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 2, direction: str = "downstream") -> DataFrame:
     """``origin, node, depth``: least number of steps from each origin (``starts(node)``), origins left out.
 
-    One join a level with what was new, minus what is known; each level is cut in the shared folder, so cycles and
-    depth cost no plan growth. ``depth`` None goes on until nothing is new.
+    One join a level with what was new, minus what is known; each level is a table of its own in the shared folder, so
+    what is known is a union of as many small scans as there were levels. ``depth`` None goes on until nothing is new.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")

@@ -18,6 +18,7 @@ from tessera.operators.complexity import function_complexity
 from tessera.operators.contain import held_strings
 from tessera.sources import files as files_source
 from tessera.sources import manifests
+from tessera.sources.shared import stored
 
 QUERY = "the and of"
 QUERIES = [(1, "the and of"), (2, "exception error handling that"), (3, "test with das der")]
@@ -123,6 +124,11 @@ def _edges(spark, d):
     return graph.distinct_edges(both.filter("l_returnflag = 'R' and next = 'R'"))
 
 
+def _graph(spark, d):
+    """The edges as a table of their own, for the queries that read them again and again."""
+    return stored(_edges(spark, d), "edges")
+
+
 _EDGES_SQL = """edges AS (
   SELECT DISTINCT src, dst FROM (
     SELECT l_partkey AS src, l_returnflag AS f, lead(l_partkey) OVER w AS dst, lead(l_returnflag) OVER w AS g FROM lineitem
@@ -139,7 +145,7 @@ def graph_edges(spark, d):
 
 
 def _reached(spark, d, direction):
-    edges = _edges(spark, d)
+    edges = _graph(spark, d)
     return graph.reach(edges, _start(edges), 3, direction).select("node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -159,14 +165,14 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node HAVING min
 
 def search_with_neighbours(spark, d):
     """The five best documents as nodes of the graph, and what is one step up or down from them, the first 20 by id."""
-    edges = _edges(spark, d)
+    edges = _graph(spark, d)
     best = _hits(spark, d, 5).select(F.col("id").alias("node"))
     around = graph.reach(edges, best, 1, "downstream").select("node").union(graph.reach(edges, best, 1, "upstream").select("node")).distinct()
     return around.join(best, "node", "left_anti").orderBy("node").limit(20)
 
 
 def graph_shortest_path(spark, d):
-    edges = _edges(spark, d)
+    edges = _graph(spark, d)
     start = _start(edges).first().node
     ends = graph.reach(edges, _start(edges), 4).filter("depth = 4").agg(F.min("node").alias("n")).first().n
     found = graph.shortest_path(edges, start, ends if ends is not None else start, 10)
@@ -175,7 +181,7 @@ def graph_shortest_path(spark, d):
 
 def graph_closure_impact(spark, d):
     """Impact of the ten most imported parts over the whole graph."""
-    edges = _edges(spark, d)
+    edges = _graph(spark, d)
     starts = graph.imported_by(edges).orderBy(F.desc("importers"), "node").limit(10).select("node")
     return graph.change_impact(edges, starts)
 

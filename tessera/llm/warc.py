@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 import zlib
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Shared payloads up to which the list of their responses is sent to all executors (about 16 MB); beyond it is shuffled.
 BROADCAST_ROWS = 200_000
+#: Records of a package at most.
+PACKAGE_RECORDS = 50_000
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -89,8 +92,9 @@ def _referring(pages: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     return met.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, folder: str, scratch: Scratch, least: int = 0, level: int = 1) -> DataFrame:
-    """Write ``pages`` (``page_id, url, html``) as one package per task below ``folder``; returns ``path, n_records``.
+def write_packages(pages: DataFrame, folder: str, scratch: Scratch, least: int = 0, level: int = 1, records_each: int = PACKAGE_RECORDS) -> DataFrame:
+    """Write ``pages`` (``page_id, url, html``) as packages of at most ``records_each`` below ``folder``, whose index a
+    task holds while it writes one; returns ``path, n_records``.
 
     Payloads of fewer than ``least`` bytes are always responses. A task that runs twice writes two packages; the
     returned rows name one of them, so materialise them once and read by them.
@@ -98,31 +102,31 @@ def write_packages(pages: DataFrame, folder: str, scratch: Scratch, least: int =
     rows = _referring(pages, scratch, least)
     make_dirs(pages.sparkSession, folder)
 
-    def run(batches):
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        path = f"{folder}/{uuid.uuid4().hex}.wacz"
-        lines: list[str] = []
+    def package(pages) -> tuple[str, int]:
+        path, lines = f"{folder}/{uuid.uuid4().hex}.wacz", []
 
         def records():
-            at, batch = 0, first
-            while batch is not None:
-                for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    raw = packer.compress(record(page_id, url, html.encode(), refers_to)) + packer.flush()
-                    lines.append(json.dumps({"id": page_id, "offset": at, "length": len(raw)}) + "\n")
-                    at += len(raw)
-                    yield raw
-                batch = next(batches, None)
+            at = 0
+            for page_id, url, html, refers_to in pages:
+                packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+                raw = packer.compress(record(page_id, url, html.encode(), refers_to)) + packer.flush()
+                lines.append(json.dumps({"id": page_id, "offset": at, "length": len(raw)}) + "\n")
+                at += len(raw)
+                yield raw
 
         with open_write(path) as out:
-            package = ZipWriter(out)
-            package.member(DATA, records())
-            package.member(INDEX, (x.encode() for x in lines))
-            package.member("datapackage.json", [json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [DATA, INDEX]}).encode()])
-            package.close()
-        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(lines)]})
+            made = ZipWriter(out)
+            made.member(DATA, records())
+            made.member(INDEX, (x.encode() for x in lines))
+            made.member("datapackage.json", [json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [DATA, INDEX]}).encode()])
+            made.close()
+        return path, len(lines)
+
+    def run(batches):
+        pages = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for first in pages:
+            path, n = package(chain([first], islice(pages, records_each - 1)))
+            yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]})
 
     return rows.mapInArrow(run, "path string, n_records long")
 
@@ -159,7 +163,7 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    packages = scratch.keep(write_packages(pages, scratch.path("packages"), scratch, least), "packages").collect()  # a row per task
+    packages = scratch.keep(write_packages(pages, scratch.path("packages"), scratch, least), "packages").collect()  # a row per package
     out = scratch.keep(read_packages(spark, packages), "records")
     scratch.drop(scratch.path("packages"))
     return out

@@ -73,3 +73,11 @@ def test_payloads_come_back(spark):
     assert sum(p.n_records for p in packages) == 300
     assert {r.page_id: bytes(r.payload).decode() for r in read_packages(spark, packages, True).collect()} == {i: f"<p>{i} été</p>" for i in range(300)}
     assert zlib.crc32(b"") == 0
+
+
+def test_packages_are_bounded(spark):
+    pages = spark.createDataFrame([(i, None, "x" * i) for i in range(25)], "page_id long, url string, html string").coalesce(1)
+    scratch = Scratch(spark, "warc")
+    written = scratch.keep(write_packages(pages, scratch.path("packages"), scratch, records_each=10), "packages").collect()
+    assert sorted(r.n_records for r in written) == [5, 10, 10]
+    assert sorted(r.page_id for r in read_packages(spark, written).collect()) == list(range(25))

@@ -10,7 +10,7 @@ from tessera.operators.complexity import of_source
 from tessera.plans.engine import Engine
 from tessera.sources import files as fs
 from tessera.sources import manifests
-from tessera.streaming.index_stream import current_chunks, keep_index
+from tessera.streaming.index_stream import compact, current_chunks, keep_index
 
 APP = "import util\nfrom . import helper\n\nclass Cart:\n    def add(self, item):\n        # TODO: check stock\n        if item and self:\n            return item\n\n    def total(self):\n        return 0\n\n\ndef checkout(cart):\n    return cart.total()\n"
 
@@ -248,4 +248,7 @@ def test_streamed_index(spark, tmp_path):
         return {(r.source, r.text) for r in current_chunks(spark, at).collect()}
 
     assert feed([("a.txt", "one", 1), ("b.txt", "two", 1)]) == {("a.txt", "one"), ("b.txt", "two")}
-    assert feed([("a.txt", "three", 2), ("b.txt", None, 2)]) == {("a.txt", "three")}
+    assert feed([("a.txt", "three", 2), ("b.txt", None, 2), (None, "x", 2)]) == {("a.txt", "three")}
+    assert compact(spark, at) == 1 and {(r.source, r.text) for r in current_chunks(spark, at).collect()} == {("a.txt", "three")}
+    assert feed([("b.txt", "four", 3)]) == {("a.txt", "three"), ("b.txt", "four")} and compact(spark, at) == 2 == compact(spark, at)
+    assert feed([("a.txt", None, 4)]) == {("b.txt", "four")} and compact(spark, str(tmp_path / "none")) == -1

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@lru_cache
+def _fresh_dir(application: str) -> str:
+    """One folder for each session; the setting itself can't be changed while a session runs."""
+    return "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _fresh_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
@@ -35,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self._next = 0
+        self._kept: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -44,6 +51,7 @@ class Scratch:
         self._next += 1
         at = self.path(f"{self._next:03d}-{name}")
         self.write(df.write, at)
+        self._kept.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def write(self, writer, at: str) -> None:
@@ -55,6 +63,14 @@ class Scratch:
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
 
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """``keep`` the result of a run and delete all other tables that the run kept."""
+        old = list(self._kept)
+        out = self.keep(df, name)
+        for at in old:
+            self.drop(at)
+        return out
+
     def forget(self, kept: DataFrame) -> None:
         """Delete a table that ``keep`` returned and that nothing will read again."""
         for at in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:

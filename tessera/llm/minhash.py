@@ -210,7 +210,7 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
     named = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     merged = linked.join(named, "root").select("node", "least_id")
     classes = nodes.select("node", "first_id").join(merged, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.select("doc_id", "node").join(scratch.keep(classes, "classes"), "node").select("doc_id", "component_id")
+    return scratch.finish(rows.select("doc_id", "node").join(scratch.keep(classes, "classes"), "node").select("doc_id", "component_id"), "groups")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

@@ -112,7 +112,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     named = scratch.keep(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "named")
     merged = linked.join(named, "root").select("bits", "least_id")
     classes = nodes.join(merged, "bits", "left").select("bits", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(scratch.keep(classes, "classes"), "bits").select("doc_id", "bits", "component_id")
+    return scratch.finish(rows.join(scratch.keep(classes, "classes"), "bits").select("doc_id", "bits", "component_id"), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
+import pytest
 import xxhash
 
+from tessera.llm import common
 from tessera.llm.simhash import drop_near_duplicates, fingerprint, fingerprints, simhash_groups
 from tessera.llm.simhash import close_pairs
 
@@ -85,3 +87,26 @@ def test_one_id_with_several_texts(spark):
     kept = [(r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()]
     # A row of 5 copies 3; both rows of 7 are the first of their groups, and one of them stays; 8 copies a row of 7.
     assert sorted(d for d, _ in kept) == [3, 7] and (kept[0] in rows) and (kept[1] in rows)
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    groups = simhash_groups(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y")], "doc_id long, text string"))
+    assert sorted(r.component_id for r in groups.collect()) == [1, 1, 3]
+    assert [len(list(run.iterdir())) for run in tmp_path.iterdir()] == [1]
+
+
+def test_the_shared_folder(spark):
+    class Bare:  # a session without the setting
+        def __init__(self, master):
+            self.conf, self.sparkContext, self.master, self.applicationId = self, self, master, "a-1"
+
+        def get(self, *_):
+            return None
+
+        def getConf(self):
+            return self
+
+    assert common.shared_dir(Bare("local[4]")) == common.shared_dir(Bare("local")) and common.shared_dir(Bare("local[*]")).startswith("file:///")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Bare("spark://host:7077"))

@@ -5,18 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache
+def _fresh_dir(application: str) -> str:
+    """One folder for each session; the setting itself can't be changed while a session runs."""
+    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a fresh local one where it is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _fresh_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 

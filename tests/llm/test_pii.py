@@ -1,7 +1,12 @@
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
-from tessera.llm.pii import KINDS, base_spans, candidates, fit, personal_data
+import pyarrow.parquet
+import pytest
+
+from tessera.llm.pii import KINDS, SURE, base_spans, candidates, fit, personal_data, traits, votes
 
 
 def plain(text):
@@ -61,3 +66,56 @@ def test_candidates_are_not_gated_by_the_whole_text():
     assert found("call (212) 555 1234 now") == [("phone", "(212) 555 1234")]
     assert found("to joe [At] mail (dOT) com") == [("email", "joe [At] mail (dOT) com")] and found("to joe(aT)mail.com") == [("email", "joe(aT)mail.com")]
     assert found("said Zelda Smith and then Contact James Brown") == [("name", "James Brown")]
+
+
+#: Lines written by hand and the kinds of personal data in them.
+LINES = [
+    ("write to bob.miller [at] mail (dot) org today", ["email"]),
+    ("Contact: anna(at)host.example.net", ["email"]),
+    ("SSN 219-09-9999 on file", ["ssn"]),
+    ("his social security number is 078-05-1120.", ["ssn"]),
+    ("IBAN DE89 3704 0044 0532 0130 00 please", ["iban"]),
+    ("pay to GB29NWBK60161331926819 now", ["iban"]),
+    ("call (212) 555 0187 after six", ["phone"]),
+    ("tel. 030 1234567 or mail", ["phone"]),
+    ("phone: 555-867-5309", ["phone"]),
+    ("Mary Johnson lives here", ["name"]),
+    ("Dear John Smith, thanks", ["name"]),
+    ("signed, Peter Brown, phone 555-123-4567", ["name", "phone"]),
+    ("account FR7630006000011234567890189", ["iban"]),
+    ("meet me [at] noon (the usual place)", []),
+    ("version 2019-09-9999 shipped", []),
+    ("New York is far", []),
+    ("The Big Sleep is a film", []),
+    ("order 123-45-678901", []),
+    ("ISBN 978-3-16-148410-0", []),
+    ("see rows 100-200-3000 of it", []),
+    ("GB12ABCD is a part number", []),
+    ("Open Source Software", []),
+    ("range 555-1234", []),
+    ("Visual Studio Code", []),
+    ("DE99 0000 0000 0000 0000 00 is not one", []),
+    ("Machine Learning Models", []),
+    ("1999 2000 2001 2002", []),
+    ("build 212 555 0187 files", []),
+]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no corpus to estimate the labelers on")
+def test_added_spans_on_lines_written_by_hand():
+    corpus = pyarrow.parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    patterns = Counter()
+    for text in [*corpus, *(t for t, _ in LINES)]:
+        for base, spans in zip((True, False), candidates(text or "")):
+            patterns.update((tuple(votes(text, *s, base)), tuple(traits(text, *s))) for s in spans)
+    assert len(patterns) < 500
+    model = fit(sorted((list(v), list(x), n) for (v, x), n in patterns.items()))
+    right = wrong = missed = 0
+    for text, kinds in LINES:
+        base, loose = candidates(text)
+        found = Counter([k for k, *_ in base] + [s[0] for s in loose if model.probability([traits(text, *s)])[0] >= SURE])
+        want = Counter(kinds)
+        right += sum((found & want).values())
+        wrong += sum((found - want).values())
+        missed += sum((want - found).values())
+    assert right / (right + wrong) >= 0.75 and right / (right + missed) >= 0.8, (right, wrong, missed)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 POOL, DIAGONAL = 0.7, 0.05
 RIDGE = 1e-3
 #: Labelled (doc_id, label) pairs that a model is fitted on, about; all if there are fewer.
-FIT_ROWS = 50_000
+FIT_ROWS = 20_000
 STATISTICS = ("log_words", "mean_word", "spread_word", "upper", "digit", "symbol", "short_words", "distinct", "repeated_lines", "stops", "line_words")
 _NO_LETTERS = bytes(i for i in range(256) if chr(i).isalnum() and i < 128 or i >= 128 or i in b" \t\r\n\x0b\x0c")
 _UPPER = bytes(i for i in range(256) if not 65 <= i <= 90)

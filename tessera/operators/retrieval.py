@@ -116,22 +116,24 @@ def _nearest_of(spark: SparkSession, rows: list, n: int, skip_self: bool):
     asked = spark.sparkContext.broadcast(unit(np.array([r.vector for r in rows], dtype=float)))
 
     def run(batches):
-        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        at, found, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the n best so far, by query
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)) if len(own) else None
             for a in range(0, len(own), 4096):  # distances of a part of the rows to all queries at a time
-                distance, part = np.round(1 - x[a : a + 4096] @ asked.value.T, 6), own[a : a + 4096]
-                for q in range(len(ids)):
-                    d, i = distance[:, q], part
-                    if skip_self:
-                        d, i = d[part != ids[q]], part[part != ids[q]]
-                    i, d = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], d])
-                    first = np.lexsort((i, d))[:n]
-                    best[q] = i[first], d[first]
-        for q, (i, d) in enumerate(best):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), ids[q])), pa.array(i), pa.array(d)], names=["query_id", "id", "distance"])
+                part = own[a : a + 4096]
+                d = np.round(1 - x[a : a + 4096] @ asked.value.T, 6)
+                if skip_self:
+                    d[part[:, None] == ids] = np.inf
+                # What is not worse than the n-th of the part, ties included, is merged; then the n best stay.
+                near = (d <= np.partition(d, min(n, len(part)) - 1, axis=0)[min(n, len(part)) - 1]) & (d < np.inf)
+                row, q = np.nonzero(near)
+                at, found, distance = np.concatenate([at, q]), np.concatenate([found, part[row]]), np.concatenate([distance, d[row, q]])
+                order = np.lexsort((found, distance, at))
+                at, found, distance = at[order], found[order], distance[order]
+                good = np.arange(len(at)) - np.searchsorted(at, at) < n
+                at, found, distance = at[good], found[good], distance[good]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(distance)], names=["query_id", "id", "distance"])
 
     return run
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+from itertools import islice
 from pathlib import Path
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ CODE = frozenset(".py .js .ts .jsx .tsx .java .c .cpp .h .hpp .cs .go .rs .rb .p
 TEXT = frozenset(".txt .md .rst .json .yaml .yml .toml .xml .html .css .scss .sass .sql .graphql .proto".split())
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
+#: Folders of a store that the driver finds before tasks list what is below them.
+FOLDERS = 64
+
 
 def max_file_bytes() -> int:
     """The size limit; ``MAX_FILE_SIZE_MB`` in the environment overrides it if it is a positive number."""
@@ -72,29 +78,59 @@ def _walk_local(root: str, ignored: frozenset[str]):
                 yield os.path.relpath(full, root).replace(os.sep, "/"), full, os.path.getsize(full), os.path.getmtime(full)
 
 
-def _walk_store(spark: SparkSession, root: str, ignored: frozenset[str]):
+def _list_below(uri: str, base: str, ignored: frozenset[str]):
+    """``path, uri, size, seconds`` of the files below a folder of a store; run by tasks."""
+    system, top = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+    todo = [("", top)]
+    while todo:
+        under, folder = todo.pop()
+        for found in system.get_file_info(fs.FileSelector(folder)):
+            name = found.base_name
+            if found.type == fs.FileType.Directory:
+                todo += [] if is_dir_ignored(name, ignored) else [(f"{under}{name}/", found.path)]
+            elif found.type == fs.FileType.File:
+                yield f"{base}{under}{name}", f"{uri}/{under}{name}", found.size, (found.mtime_ns or 0) / 1e9
+
+
+_LISTED = "path string, uri string, size long, seconds double"
+
+
+def store_tree(spark: SparkSession, root: str, ignored: frozenset[str], least: int = FOLDERS) -> DataFrame:
+    """The files below a folder of a store: the driver opens folders until it knows ``least`` of them, tasks list these."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    todo = [("", path(root))]
-    while todo:
-        base, folder = todo.pop()
-        for s in system.listStatus(folder):
+    rows, todo = [], [("", root.rstrip("/"))]
+    while todo and len(todo) < least:
+        base, folder = todo.pop(0)
+        for s in system.listStatus(path(folder)):
             name = s.getPath().getName()
             if not s.isDirectory():
-                yield base + name, s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000
+                rows.append((base + name, f"{folder}/{name}", s.getLen(), s.getModificationTime() / 1000))
             elif not is_dir_ignored(name, ignored):
-                todo.append((f"{base}{name}/", s.getPath()))
+                todo.append((f"{base}{name}/", f"{folder}/{name}"))
+    known = spark.createDataFrame(rows, _LISTED)
+    if not todo:
+        return known
+
+    def run(batches):
+        for batch in batches:
+            for base, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _list_below(uri, base, ignored)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["path", "uri", "size", "seconds"])
+
+    return known.unionAll(spark.createDataFrame(todo, "base string, uri string").repartition(len(todo)).mapInArrow(run, _LISTED))
 
 
 def tree(spark: SparkSession, root: str, ignored: frozenset[str] = IGNORED_DIRS) -> DataFrame:
     """``path, ext, size, mtime, uri`` of all files below ``root`` outside ignored directories; paths are relative.
 
-    Spark's own file source passes over names that start with an underscore, so the tree is listed here, ignored
-    directories are never entered, and no file is opened.
+    Spark's own file source passes over names that start with an underscore, so trees are listed here, ignored
+    directories are never entered, and no file is opened. A root without a scheme, or with ``file``, is a folder of the
+    driver's machine and listed there; other stores are listed by tasks.
     """
     local = root.removeprefix("file://")
-    rows = list(_walk_local(local, ignored) if "://" not in local else _walk_store(spark, root, ignored))
-    found = spark.createDataFrame(rows, "path string, uri string, size long, seconds double")
+    found = spark.createDataFrame(list(_walk_local(local, ignored)), _LISTED) if "://" not in local else store_tree(spark, root, ignored)
     return found.select("path", extension(F.col("path")).alias("ext"), "size", F.timestamp_micros((F.col("seconds") * 1_000_000).cast("long")).alias("mtime"), "uri")
 
 
@@ -102,9 +138,7 @@ def _read_bytes(uri: str) -> bytes:
     if "://" not in uri or uri.startswith("file:"):
         with open(uri.removeprefix("file://").removeprefix("file:"), "rb") as f:
             return f.read()
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
     with system.open_input_file(path) as f:
         return f.read()
 

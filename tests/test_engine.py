@@ -53,6 +53,20 @@ def test_scan(spark, project):
     assert not any("test" in r.path for r in fs.scan_indexable(spark, str(project), ["test"]).collect())
 
 
+def test_stores_are_listed_by_tasks(spark, tmp_path):
+    for i in range(12):
+        for name in (f"a{i}/b c/é.py", f"a{i}/node_modules/x.js", f"a{i}/_x.txt", f"d{i}/e/f/g/h.md"):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text(name)
+    (tmp_path / "top.py").write_text("")
+    want = {(r.path, r.size) for r in fs.tree(spark, str(tmp_path)).collect()}
+    assert len(want) == 37
+    for least in (1, 7, 64):
+        got = fs.store_tree(spark, f"file://{tmp_path}", fs.IGNORED_DIRS, least).collect()
+        assert {(r.path, r.size) for r in got} == want and len(got) == 37
+        assert all(fs._read_bytes(r.uri) == (tmp_path / r.path).read_bytes() for r in got)
+
+
 def test_decoding(spark):
     rows = [(b"Caf\xe9 \xe0",), ("Привет \U0001f600".encode(),), (b"\xef\xbb\xbfbom",), (b"a\r\nb\rc",)]
     got = [r[0] for r in spark.createDataFrame([(bytearray(x[0]),) for x in rows], "content binary").select(fs.decode(F.col("content"))).collect()]

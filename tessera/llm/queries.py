@@ -13,6 +13,7 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.nn_descent import nearest
 from tessera.llm.pii import BASE, personal_data
 from tessera.llm.quality import quality_scores
+from tessera.llm.runs import run_digests, with_repeats
 from tessera.llm.secrets import secret_findings
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.token_store import token_store
@@ -113,6 +114,10 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(Scratch(spark, "chat").keep(format_conversations(rows.unionByName(more)), "formatted"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(with_repeats(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -144,7 +149,7 @@ FROM p JOIN m USING (h)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

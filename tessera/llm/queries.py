@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import format_conversations, read_back
 from tessera.llm.common import Scratch
 from tessera.llm.decontaminate import contamination
+from tessera.llm.lexical import ranked_search
 from tessera.llm.nn_descent import nearest
 from tessera.llm.pii import BASE, personal_data
 from tessera.llm.quality import quality_scores
@@ -114,6 +115,32 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(Scratch(spark, "chat").keep(format_conversations(rows.unionByName(more)), "formatted"))
 
 
+def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH dt AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM dt WHERE len(w) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark),
+p AS MATERIALIZED (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+x AS (
+  SELECT r, doc_id, term, t.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS impact
+  FROM p JOIN t USING (term) JOIN d USING (r), s),
+c AS (SELECT item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN x USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(with_repeats(table(spark, sf_dir, "documents")))
 
@@ -149,8 +176,8 @@ FROM p JOIN m USING (h)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts, op13_runs)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts, op12_threshold_search, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zip": OP4_SQL, "op5_winnowing": OP5_SQL, "op10_typed_parts": OP10_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_winnowing": OP5_SQL, "op10_typed_parts": OP10_SQL, "op12_threshold_search": OP12_SQL}

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -83,6 +84,27 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A value that stands in more than one of so many rows is heavy; there are fewer of these than this number.
+HEAVY = 2000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", keep_count: bool = False) -> DataFrame:
+    """``left`` joined (inner or left) to ``right``, whose column ``n`` says how many rows of ``left`` have its value of ``on``.
+
+    Rows of ``left`` with a heavy value meet a broadcast of the heavy rows of ``right``, so they stay spread as they are;
+    the others are shuffled, and no value of these has more than a two-thousandth of all rows. Both sides are read
+    twice, so they should be stored. ``n`` goes unless ``keep_count``.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    heavy = right.filter(F.col("n") * HEAVY > total)
+    out = lambda df: df if keep_count else df.drop("n")
+    if heavy.isEmpty():
+        return left.join(out(right).hint("shuffle_merge"), on, how)
+    few = F.broadcast(out(heavy))  # HEAVY values at most
+    light = left.join(F.broadcast(heavy.select(on).distinct()), on, "left_anti")
+    return left.join(few, on).unionByName(light.join(out(right.filter(F.col("n") * HEAVY <= total)).hint("shuffle_merge"), on, how))
+
+
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """The column's strings as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -14,6 +14,7 @@ from tessera.llm.lexical import ranked_search
 from tessera.llm.nn_descent import nearest
 from tessera.llm.pii import BASE, personal_data
 from tessera.llm.quality import quality_scores
+from tessera.llm.repeats import repeated_bytes
 from tessera.llm.runs import run_digests, with_repeats
 from tessera.llm.secrets import secret_findings
 from tessera.llm.simhash import simhash_groups
@@ -115,6 +116,12 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(Scratch(spark, "chat").keep(format_conversations(rows.unionByName(more)), "formatted"))
 
 
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.end - s.start)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -176,7 +183,7 @@ FROM p JOIN m USING (h)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts, op12_threshold_search, op13_runs)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_secrets, op3_simhash, op4_warc_zip, op5_winnowing, op6_weak_supervision, op7_discriminant, op8_elias_fano, op9_unigram, op10_typed_parts, op11_suffix_arrays, op12_threshold_search, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

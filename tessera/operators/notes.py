@@ -34,9 +34,13 @@ def keyword_lines(texts: DataFrame, word: str, key: str = "doc", text: str = "te
 
 
 def new_entries(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """Rows of ``added(section, content)`` that are not stored yet under the same section, blanks around text aside."""
+    """Rows of ``added(section, content)`` that are not stored yet under the same section, blanks around text aside.
+
+    No section (null) is a section like any other; null and blank contents are left out; of equal entries one stays.
+    """
     plain = lambda df: df.withColumn("content", F.trim("content")).filter("content is not null and content <> ''")
-    return plain(added).dropDuplicates(["section", "content"]).join(plain(stored).select("section", "content").distinct(), ["section", "content"], "left_anti")
+    fresh, old = plain(added).dropDuplicates(["section", "content"]), plain(stored).select("section", "content").distinct()
+    return fresh.join(old, fresh["section"].eqNullSafe(old["section"]) & (fresh["content"] == old["content"]), "left_anti")
 
 
 def unmentioned(entries: DataFrame, texts: DataFrame, token: str, text: str = "text") -> DataFrame:

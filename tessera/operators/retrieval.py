@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import spare
 from tessera.functions.text import advanced_relevance, simple_relevance, tokens
 from tessera.sources.shared import stored
 
@@ -184,13 +185,16 @@ def summary(results: DataFrame, chunk_count: int) -> DataFrame:
 
 
 def keep_results(results: DataFrame, n: int, file_types: list[str] | None = None, exclude_dirs: list[str] | None = None, min_relevance: float = 0.0, path: str = "source") -> DataFrame:
-    """Filters that come after the ranking, then the first n: fewer than n may be left."""
-    keep = F.lit(True)
+    """Filters that come after the ranking, then the first n: fewer than n may be left.
+
+    ``rank`` is given anew; rows whose path or relevance is null pass no filter on it. Other columns may have any name.
+    """
+    keep, before = F.lit(True), spare("first_rank", results)
     if min_relevance > 0:
         keep &= F.col("advanced_relevance") >= min_relevance
     if file_types:
         keep &= F.regexp_extract(path, r"(\.[^./]+)$", 1).isin(file_types)
     if exclude_dirs:
         keep &= ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d.rstrip("/")) for d in exclude_dirs]))
-    left = results.filter(keep).withColumnRenamed("rank", "first_rank")
-    return top(left, n, F.col("first_rank")).drop("first_rank")
+    left = results.filter(keep).withColumnRenamed("rank", before)
+    return top(left, n, F.col(before)).drop(before)

@@ -22,6 +22,7 @@ from tessera.operators.chunks import CHUNK, chunk_texts
 from tessera.operators.complexity import function_complexity
 from tessera.sources import files as fs
 from tessera.sources import manifests
+from tessera.sources.repository import Repository, read_log
 
 # Languages by extension, and marker files and folders.
 LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript (React)", ".jsx": "JavaScript (React)", ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".cpp": "C++", ".c": "C"}
@@ -37,6 +38,8 @@ REMEMBER_SECONDS, REMEMBER = 300, 100
 COUNTED_COMMITS = 500
 
 LOG = setup_logger("tessera.engine")
+LOG_COMMITS = "hash string, short_hash string, message string, author string, date timestamp, tree string, parents array<string>"
+LOG_FILES = "hash string, path string, status string"
 STATE = "path string, mtime double, indexed_at timestamp"
 Encoder = Callable[[pd.Series], pd.Series]
 
@@ -51,7 +54,7 @@ class Engine:
     """Reports on one file tree, its index and its log.
 
     ``root``: the tree; ``state``: a folder for the index and the notes; ``commits`` and ``commit_files``: the log as
-    tables; ``encoder``: text to vector, without it searches rank by keywords alone; ``ignore_patterns``: parts of
+    tables, by default that of the git repository the tree is in; ``encoder``: text to vector, without it searches rank by keywords alone; ``ignore_patterns``: parts of
     paths that are not indexed, by default those of the tree's ignore file; ``now``: the time that windows end at, by
     default that of the newest commit; ``branch``: what the log is of.
     """
@@ -94,11 +97,38 @@ class Engine:
         return fs.texts(self._all().filter(~F.col("path").contains("/")))
 
     def _log(self) -> DataFrame:
-        schema = "hash string, short_hash string, message string, author string, date timestamp"
-        return self.spark.createDataFrame([], schema) if self.commits is None else self.commits
+        return (self._read_log()[0] if self.commits is None else self.commits).select("hash", "short_hash", "message", "author", "date")
 
     def _log_files(self) -> DataFrame:
-        return self.spark.createDataFrame([], "hash string, path string") if self.commit_files is None else self.commit_files
+        return (self._read_log()[1] if self.commit_files is None else self.commit_files).select("hash", "path")
+
+    def _read_log(self) -> tuple[DataFrame, DataFrame]:
+        """The log of the repository that the tree is in, kept by the commit it stands at; empty tables without one.
+
+        When the head moves, only commits that are new are compared with their parents.
+        """
+        found = Repository.find(self.root)
+        if found is None or found.head is None:
+            return self.spark.createDataFrame([], LOG_COMMITS), self.spark.createDataFrame([], LOG_FILES)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        base = f"{self.state}/log"
+        system = path(base).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [s for s in (system.listStatus(path(base)) if system.exists(path(base)) else []) if system.exists(path(f"{s.getPath()}/files/_SUCCESS"))]
+        names = [s.getPath().getName() for s in sorted(done, key=lambda s: s.getModificationTime())]
+        kept = lambda name: (self.spark.read.schema(LOG_COMMITS).parquet(f"{base}/{name}/commits"), self.spark.read.schema(LOG_FILES).parquet(f"{base}/{name}/files"))
+        if found.head not in names:
+            commits, files = read_log(self.spark, found, kept(names[-1]) if names else None)
+            commits.write.mode("overwrite").parquet(f"{base}/{found.head}/commits")
+            files.write.mode("overwrite").parquet(f"{base}/{found.head}/files")
+            LOG.info("log read", extra={"head": found.head, "branch": found.branch})
+        return kept(found.head)
+
+    def _branch(self) -> str:
+        """The branch that was stated, or the one checked out."""
+        if self.branch or self.commits is not None:
+            return self.branch or "unknown"
+        found = Repository.find(self.root)
+        return found.branch if found else "unknown"
 
     def _since(self, days: int):
         when = self.now or self._log().agg(F.max("date")).first()[0]
@@ -413,7 +443,7 @@ class Engine:
 
     def get_project_overview(self) -> DataFrame:
         total = self._all().agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-        log = self._log().agg(F.least(F.count("*"), F.lit(COUNTED_COMMITS)).alias("commits"), F.max("date").alias("last_commit"), F.lit(self.branch or "unknown").alias("branch"))
+        log = self._log().agg(F.least(F.count("*"), F.lit(COUNTED_COMMITS)).alias("commits"), F.max("date").alias("last_commit"), F.lit(self._branch()).alias("branch"))
         return total.crossJoin(log).crossJoin(self.get_index_stats()).crossJoin(self._marks().agg(F.array_sort(F.collect_set("name")).alias("marks")))
 
     def generate_project_summary(self) -> DataFrame:

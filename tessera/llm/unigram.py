@@ -9,10 +9,12 @@ pieces of their UTF-8 form.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: How an unknown piece is shown.
+UNKNOWN = " ⁇ ".encode()
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words in each half of a worker's memory (about 70 MB a half).
@@ -106,7 +110,7 @@ def build(vocabulary: list[tuple[str, float, str]]) -> Pieces:
         if kind == "byte":
             byte_ids[int(p[1:-1], 16)] = i
         unknown = i if kind == "unknown" else unknown
-        text = {"normal": p.replace(MARK, " "), "unknown": " ⁇ "}.get(kind, "")
+        text = {"normal": p.replace(MARK, " "), "unknown": UNKNOWN.decode()}.get(kind, "")
         shown.append(bytes([int(p[1:-1], 16)]) if kind == "byte" else text.encode())
     scores = np.array([s for _, s, _ in vocabulary], dtype=np.float64)
     lowest = min((vocabulary[i][1] for i in keys.values()), default=0.0)
@@ -201,8 +205,9 @@ class Encoder:
         return ids
 
     def decode(self, ids: bytes) -> str:
-        shown = self.p.shown
-        raw = b"".join([shown[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])
+        """The text of ids; one that the vocabulary does not have is shown as an unknown piece."""
+        shown, n = self.p.shown, len(self.p.shown)
+        raw = b"".join([shown[i] if 0 <= i < n else UNKNOWN for i in np.frombuffer(ids, dtype="<i4").tolist()])
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -211,6 +216,12 @@ def _pieces(model_file: str | None) -> Pieces:
         import public_tokenizers
 
         model_file = public_tokenizers.path("piece_bpe_32k.model")
+    return _loaded(model_file, os.path.getmtime(model_file), os.path.getsize(model_file))
+
+
+@lru_cache(2)
+def _loaded(model_file: str, changed: float, size: int) -> Pieces:
+    """The trie of a file is built once in a process, until the file changes."""
     return load(model_file)
 
 
@@ -238,13 +249,14 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; null ids give the empty text."""
+    """``doc_id, text`` from ``doc_id, ids``: a null list gives the empty text; a null id in it, and one that the vocabulary
+    does not have, negative ones too, is shown as an unknown piece."""
     held = encoded.sparkSession.sparkContext.broadcast(_pieces(model_file))
 
     def run(batches):
         coder = Encoder(held.value)
         for batch in batches:
-            texts = [coder.decode(np.array(x or [], dtype="<i4").tobytes()) for x in batch.column(1).to_pylist()]
+            texts = [coder.decode(np.array([-1 if i is None else i for i in x or []], dtype="<i4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -74,3 +74,21 @@ def test_tables(spark):
     assert sorted(r.text for r in decode(encode(docs)).collect()) == sorted(["a b", "", "", "a b", "y" * 50_000, "a b"])
     assert [r.lossless for r in round_trip(docs).collect()] == [True] * 5 + [False]
     assert encode(docs.limit(0)).count() == 0 and round_trip(docs.limit(0)).count() == 0
+
+
+def test_odd_ids_are_shown_as_unknown_pieces(spark, coder):
+    n = len(coder.p.shown)
+    ids = [encode(spark.createDataFrame([(1, "word")], "doc_id long, text string")).first().ids]
+    rows = [(1, ids[0]), (2, [*ids[0], None]), (3, [-5, *ids[0]]), (4, [n]), (5, [2**31 - 1]), (6, None), (7, [])]
+    out = {r.doc_id: r.text for r in decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert out == {1: "word", 2: "word ⁇ ", 3: "⁇  word", 4: "⁇ ", 5: "⁇ ", 6: "", 7: ""}
+
+
+def test_a_file_is_loaded_once(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    encode(docs)
+    began = time.time()
+    encode(docs)
+    assert time.time() - began < 1

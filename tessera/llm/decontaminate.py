@@ -112,7 +112,7 @@ def around(rows: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids, contaminated``.
+    """One row per row of ``docs``: ``doc_id, n_words, n_hit, n_items, item_ids, contaminated``, and ``text_hash``.
 
     Reads ``doc_id, text`` and ``item_id, text``; other columns are ignored. Null and empty texts have no words and
     no hits; a null doc_id is kept; repeated rows give repeated results; an empty benchmark leaves all clean. Items
@@ -165,14 +165,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     )
     out = grouped.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("spans") > 0).alias("contaminated"), "copies",
+        F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.size("spans") > 0).alias("contaminated"), "text_hash", "copies",
     )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows of ``docs`` that hold no window of ``benchmark``, columns as given; rows without a doc_id are judged as one."""
+    """The rows of ``docs`` that hold no window of ``benchmark``, columns as given.
+
+    Each row is judged by its own text: of rows that share a doc_id, or have none, the clean ones stay.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    bad = contamination(docs, benchmark, span).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = contamination(docs, benchmark, span).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = scratch.keep(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")

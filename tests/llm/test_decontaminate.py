@@ -86,3 +86,11 @@ def test_empty_tables_and_dropping(spark):
     assert [r.contaminated for r in contamination(docs, none).collect()] == [False] * 3
     left = drop_contaminated(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"))
     assert [r.doc_id for r in left.collect()] == [2] and left.columns == docs.columns
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    rows = [(None, "a clean text"), (None, "x a b c d"), (2, "another clean text"), (2, "a b c d y"), (3, None), (2, "another clean text"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, text_hash int")
+    left = drop_contaminated(docs, spark.createDataFrame([(1, "a b c d")], "item_id long, text string"))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(repr, (r for r in rows if "a b c d" not in (r[1] or ""))))
+    assert left.columns == docs.columns

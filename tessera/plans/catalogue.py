@@ -6,6 +6,7 @@ Stand-ins: ``documents`` are chunks, ``events`` a commit log, ``conversations``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,9 +17,10 @@ from tessera.operators import graph, history, incremental, notes, retrieval, sta
 from tessera.operators.chunks import chunk_texts
 from tessera.operators.complexity import function_complexity
 from tessera.operators.contain import held_strings
+from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as files_source
 from tessera.sources import manifests
-from tessera.sources.shared import stored
+from tessera.sources.shared import shared_dir, stored
 
 QUERY = "the and of"
 QUERIES = [(1, "the and of"), (2, "exception error handling that"), (3, "test with das der")]
@@ -75,6 +77,20 @@ def bm25_topk(spark, d):
     return _index(spark, d).search(_asked(spark), TOP).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
+def bm25_segments(spark, d):
+    """Three changes end at the documents as they are: other texts first, then the right ones and some more, which go again."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}", "long")
+    odd = F.col("doc_id") % 2 == 1
+    other = docs.select("doc_id", F.when(odd, F.concat_ws(" ", F.lit("the and of"), F.reverse("text"))).otherwise(F.col("text")).alias("text"))
+    extra = docs.filter(odd).select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index.change(other, id_col="doc_id")
+    index.change(docs.filter(odd).unionByName(extra), id_col="doc_id")
+    index.compact()
+    index.change(removed=extra.select("doc_id"))
+    return stored(index.search(_asked(spark, QUERIES), 5), "found").select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
 def bm25_term_stats(spark, d):
     return _index(spark, d).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -493,10 +509,11 @@ def import_edges(spark, d):
 
 _Q: list[tuple[Callable, str | None]] = [
     (bm25_topk, f"WITH {_ONE}, {_BM25_SQL} SELECT query_id, rank, id AS doc_id, score FROM kranked WHERE rank <= {TOP} AND score > 0"),
-    (bm25_term_stats, r"""WITH tok AS (SELECT doc_id AS id, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> ''))) AS term FROM documents),
-c AS (SELECT count(*) AS n FROM documents), d AS MATERIALIZED (SELECT term, count(*) AS df FROM tok GROUP BY term),
-r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, c), m AS (SELECT avg(raw) AS mean_idf FROM r)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END, 6) AS idf FROM r, m"""),
+    (bm25_segments, f"WITH {_THREE}, {_BM25_SQL} SELECT query_id::BIGINT AS query_id, rank, id AS doc_id, score FROM kranked WHERE rank <= 5 AND score > 0"),
+    (bm25_term_stats, r"""WITH w AS MATERIALIZED (SELECT list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS words FROM documents),
+tok AS MATERIALIZED (SELECT unnest(words) AS term FROM w), d AS MATERIALIZED (SELECT term, count(*) AS df FROM tok GROUP BY term),
+r AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM d), m AS MATERIALIZED (SELECT avg(raw) AS mean_idf FROM r)
+SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END, 6)::DOUBLE AS idf FROM r, m"""),
     (vector_knn, f"WITH {_VECTOR_SQL} SELECT rank, id AS vec_id, distance FROM vranked WHERE rank <= {TOP}"),
     (vector_knn_filtered, f"WITH {_VECTOR_SQL} SELECT row_number() OVER (ORDER BY distance, id) AS rank, id AS vec_id, distance FROM dist WHERE label = 3 ORDER BY 1 LIMIT {TOP}"),
     (rrf_hybrid, f"WITH {_hybrid_sql(TOP, 30)} SELECT rank, id, score, distance FROM hits"),

@@ -20,9 +20,11 @@ from tessera.log import setup_logger
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import CHUNK, chunk_texts
 from tessera.operators.complexity import function_complexity
+from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as fs
 from tessera.sources import manifests
 from tessera.sources.repository import Repository, read_log
+from tessera.sources.shared import stored as stored_table
 
 # Languages by extension, and marker files and folders.
 LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript (React)", ".jsx": "JavaScript (React)", ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".cpp": "C++", ".c": "C"}
@@ -36,8 +38,11 @@ TOOL_FILES = {".eslintrc.js": ("linting", "eslint"), ".eslintrc.json": ("linting
 IGNORE_FILES = (".indexignore", ".ai/.indexignore")
 REMEMBER_SECONDS, REMEMBER = 300, 100
 COUNTED_COMMITS = 500
+#: Changes of the keyword index after which it is written as one folder.
+SEGMENTS = 16
 
 LOG = setup_logger("tessera.engine")
+KEYWORDS = "folder string, version long"
 LOG_COMMITS = "hash string, short_hash string, message string, author string, date timestamp, tree string, parents array<string>"
 LOG_FILES = "hash string, path string, status string"
 STATE = "path string, mtime double, indexed_at timestamp"
@@ -148,7 +153,8 @@ class Engine:
         if not system.exists(at):
             return []
         done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(s.getPath().getName()) for s in system.listStatus(at) if system.exists(done(f"{s.getPath()}/files/_SUCCESS")))
+        complete = lambda s: all(system.exists(done(f"{s.getPath()}/{name}/_SUCCESS")) for name in ("keywords", "files"))
+        return sorted(int(s.getPath().getName()) for s in system.listStatus(at) if complete(s))
 
     def _table(self, name: str, schema: str) -> DataFrame:
         found = self._generations()
@@ -162,19 +168,46 @@ class Engine:
             return chunks
         return chunks.withColumn("vector", F.pandas_udf(self.encoder, "array<double>")("text"))
 
-    def _publish(self, chunks: DataFrame, files: DataFrame) -> None:
-        """Write a new generation; readers see it once its last table is complete."""
-        number = (self._generations() or [0])[-1] + 1
+    def _publish(self, chunks: DataFrame, files: DataFrame, touched: DataFrame | None = None) -> None:
+        """Write a new generation; readers see it once its last table is complete.
+
+        Chunks of the files ``touched`` (``source``) are replaced in the keyword index, which takes a change of their size;
+        without, a new one is built.
+        """
+        found = self._generations()
+        number = (found or [0])[-1] + 1
         at = f"{self.state}/index/{number}"
         chunks.write.parquet(f"{at}/chunks")
-        retrieval.Bm25Index.build(self.spark.read.parquet(f"{at}/chunks")).save(f"{at}/bm25")
+        chunks, removed = self.spark.read.parquet(f"{at}/chunks"), None
+        folder, version = str(number), 0
+        if touched is not None and found:
+            folder, version = self._keywords(found[-1])
+            removed = self.chunks().join(touched, "source", "left_semi").select("chunk_id")
+            chunks = chunks.join(touched, "source", "left_semi")
+        keywords = SegmentedIndex(self.spark, f"{self.state}/bm25/{folder}", version=version)
+        version = keywords.change(chunks.select("chunk_id", "text"), removed)
+        self.spark.createDataFrame([(folder, version)], KEYWORDS).write.parquet(f"{at}/keywords")
         files.write.parquet(f"{at}/files")
+        keywords.version = version
+        if keywords.size() > SEGMENTS:
+            keywords.compact()
         LOG.info("index written", extra={"generation": number, "root": self.root})
 
+    def _keywords(self, generation: int) -> tuple[str, int]:
+        """The folder of a generation's keyword index, and the change it stands at."""
+        row = self.spark.read.schema(KEYWORDS).parquet(f"{self.state}/index/{generation}/keywords").first()
+        return row.folder, row.version
+
+    def keywords(self) -> SegmentedIndex:
+        """The keyword index of the newest generation."""
+        folder, version = self._keywords(self._generations()[-1])
+        return SegmentedIndex(self.spark, f"{self.state}/bm25/{folder}", version=version)
+
     def clear_index(self) -> DataFrame:
         """Delete all generations of the index; the notes stay."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/index")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        for name in ("index", "bm25"):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         self._remembered.clear()
         LOG.info("index cleared", extra={"root": self.root})
         return self.get_index_stats()
@@ -191,7 +224,7 @@ class Engine:
         return self.get_index_stats()
 
     def index_changed_files(self) -> DataFrame:
-        """Chunk new and newer files again, drop those of deleted ones, rebuild what is derived."""
+        """Chunk new and newer files again, drop those of deleted ones, change the keyword index accordingly."""
         stored, files = self._table("files", STATE), self._files()
         stamped = files.withColumn("mtime", F.col("mtime").cast("double"))
         fresh = incremental.changed(stamped, stored)
@@ -200,7 +233,7 @@ class Engine:
         emptied = fresh.select(F.col("path").alias("source"))
         table = self.chunks().join(gone.union(emptied).distinct(), "source", "left_anti").unionByName(new)
         kept = stored.join(stamped.select("path"), "path", "left_semi").join(fresh.select("path"), "path", "left_anti")
-        self._publish(table, kept.unionByName(self._tracked(fresh.filter("trim(text) <> ''"))))
+        self._publish(table, kept.unionByName(self._tracked(fresh.filter("trim(text) <> ''"))), stored_table(gone.union(emptied).distinct(), "touched"))
         return self.get_index_stats()
 
     def get_index_stats(self) -> DataFrame:
@@ -244,7 +277,7 @@ class Engine:
 
     def _searched(self, at: list[int], queries: list[tuple[int, str]], n: int) -> DataFrame:
         asked = self.spark.createDataFrame(queries, "query_id long, query string")
-        index = retrieval.Bm25Index.load(self.spark, f"{self.state}/index/{at[-1]}/bm25")
+        index = self.keywords()
         chunks = self.chunks()
         if self.encoder is None:
             hits = index.search(asked, n).withColumn("distance", F.lit(None).cast("double"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from tessera.operators.complexity import function_complexity
 from tessera.operators.contain import held_strings
 from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as files_source
-from tessera.sources import manifests
+from tessera.sources import manifests, repository
 from tessera.sources.shared import shared_dir, stored
 
 QUERY = "the and of"
@@ -145,6 +146,41 @@ def _graph(spark, d):
     return stored(_edges(spark, d), "edges")
 
 
+def _repository(spark, d):
+    """The conversations as a repository: a branch for each, a commit for each turn, which writes the speaker's file in a folder of the conversation."""
+
+    def branch(key, rows):
+        out, files, parent = [], {}, []
+        add = lambda kind, content: out.append((repository.object_name(kind, content), kind, content)) or out[-1][0]
+        for r in rows.sort_values(["turn", "role", "text"]).itertuples():
+            files[r.role] = add("blob", r.text.encode())
+            folder = add("tree", repository.tree_content([("100644", f"{name}.txt", blob) for name, blob in files.items()]))
+            tree = add("tree", repository.tree_content([(repository.FOLDER_MODE, str(key[0]), folder)]))
+            parent = [add("commit", repository.commit_content(tree, parent, r.role, 1_700_000_000 + 60 * int(r.turn), f"conversation {key[0]} turn {r.turn}\n"))]
+        return pd.DataFrame(out, columns=["id", "kind", "content"])
+
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    made = rows.groupBy("conv_id").applyInPandas(branch, "id string, kind string, content binary")
+    at = f"{shared_dir(spark)}/repository-{uuid.uuid4().hex}"
+    repository.write_packs(made, at)
+    found = repository.objects(spark, repository.Repository(at, at, None, "unknown"))
+    return stored(repository.all_commits(found), "commits"), repository.all_trees(found)
+
+
+def repository_commits(spark, d):
+    """Packs that tasks wrote, read back by the data source: the log by author and day."""
+    log = _repository(spark, d)[0]
+    rest = F.count_if(F.size("parents") == 1).alias("with_parent")
+    return log.groupBy("message", "author", F.unix_seconds("date").alias("seconds")).agg(F.count("*").alias("n"), rest)
+
+
+def repository_changes(spark, d):
+    """What each commit of these branches changed, by tree joins."""
+    log, trees = _repository(spark, d)
+    files = repository.changed_paths(log, log, stored(trees, "trees"))
+    return log.join(files, "hash").select("message", "path", "status")
+
+
 _EDGES_SQL = """edges AS (
   SELECT DISTINCT src, dst FROM (
     SELECT l_partkey AS src, l_returnflag AS f, lead(l_partkey) OVER w AS dst, lead(l_returnflag) OVER w AS g FROM lineitem
@@ -620,6 +656,11 @@ string_agg(language || ':' || files, ',' ORDER BY language) AS languages FROM e"
     (import_edges, f"WITH {_EDGES_SQL} SELECT 'p' || src || '.py' AS src, 'p' || dst || '.py' AS dst FROM edges"),
     (complexity_python, """WITH p AS (SELECT p_partkey::VARCHAR AS k, CAST(p_size % 9 AS INTEGER) AS n FROM part)
 SELECT k || '.py' AS path, 'python' AS language, 'f' || k AS name, 1::INTEGER AS line_start, (n + 1)::INTEGER AS complexity FROM p UNION ALL SELECT k || '.ts', 'typescript', 'f' || k, 2::INTEGER, (n + 1)::INTEGER FROM p"""),
+    (repository_commits, """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations)
+SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, coalesce(role, '') AS author, CAST(1700000000 + 60 * turn AS BIGINT) AS seconds, count(*) AS n, count(*) FILTER (k > 1) AS with_parent FROM c GROUP BY 1, 2, 3"""),
+    (repository_changes, """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT *, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS before, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS k FROM c)
+SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, conv_id || '/' || role || '.txt' AS path, CASE WHEN k = 1 THEN 'A' ELSE 'M' END AS status FROM l WHERE k = 1 OR before <> text"""),
     (chunk_fixed, None),
 ]
 

@@ -11,12 +11,14 @@ both kinds of deltas, packed and loose refs; SHA-1 names.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
 import zlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from dataclasses import dataclass
+from itertools import accumulate, islice
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ from tessera.sources.shared import cut_lineage, stored
 
 #: Entries of a pack's index in a partition, and folders of loose objects in one.
 ENTRIES, LOOSE_FOLDERS = 1 << 16, 16
+#: Rows of a batch that a partition is read in.
+ROWS = 1 << 14
 #: Bytes of inflated objects that a task keeps for the deltas that follow, and offsets whose kind it remembers.
 KEPT_BYTES, KNOWN_KINDS = 32 << 20, 1 << 20
 
@@ -162,10 +166,7 @@ class EntriesReader(DataSourceReader):
     def read(self, part: Range):
         system, at = _place(part.place)
         rows = _loose(system, at, part) if part.loose else _indexed(system, at, part)
-        while True:
-            some = [r for r, _ in zip(rows, range(1 << 14))]
-            if not some:
-                return
+        while some := list(islice(rows, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64()))], names=["id", "place", "at"])
 
 
@@ -492,3 +493,80 @@ def read_log(spark: SparkSession, repository: Repository, earlier: tuple[DataFra
     if earlier is not None:
         files = files.unionByName(earlier[1].join(commits.select("hash"), "hash", "left_semi"))
     return commits, files
+
+
+def object_name(kind: str, content: bytes) -> str:
+    return hashlib.sha1(b"%s %d\0" % (kind.encode(), len(content)) + content).hexdigest()
+
+
+def tree_content(entries: list[tuple[str, str, str]]) -> bytes:
+    """A tree object of ``mode, name, id``; folders sort as if their names ended in a slash."""
+    order = sorted(entries, key=lambda e: e[1].encode() + (b"/" if e[0] == FOLDER_MODE else b""))
+    return b"".join(mode.encode() + b" " + name.encode() + b"\0" + bytes.fromhex(key) for mode, name, key in order)
+
+
+def commit_content(tree: str, parents: list[str], author: str, seconds: int, message: str) -> bytes:
+    who = f"{author} <{author}> {seconds} +0000"
+    return "\n".join([f"tree {tree}", *(f"parent {p}" for p in parents), f"author {who}", f"committer {who}", "", message]).encode()
+
+
+def packed(rows: list[tuple[str, str, bytes]]) -> tuple[bytes, bytes]:
+    """A pack of ``id, kind, content`` (different ids), without deltas, and its index."""
+    kinds = {v: k for k, v in KINDS.items()}
+    body, places = [struct.pack(">4sII", b"PACK", 2, len(rows))], []
+    at = len(body[0])
+    for key, kind, content in rows:
+        size, head = len(content), []
+        byte, size = kinds[kind] << 4 | size & 15, size >> 4
+        while size:
+            head.append(byte | 0x80)
+            byte, size = size & 0x7F, size >> 7
+        entry = bytes([*head, byte]) + zlib.compress(content)
+        places.append((bytes.fromhex(key), zlib.crc32(entry), at))
+        body.append(entry)
+        at += len(entry)
+    pack = b"".join(body)
+    pack += hashlib.sha1(pack).digest()
+    places.sort()
+    if at >= 1 << 31:
+        raise ValueError("a pack of 2 GiB or more")
+    firsts = Counter(p[0][0] for p in places)
+    index = INDEX_MAGIC + struct.pack(">256I", *accumulate(firsts[k] for k in range(256))) + b"".join(p[0] for p in places)
+    index += struct.pack(f">{len(places)}I", *(p[1] for p in places)) + struct.pack(f">{len(places)}I", *(p[2] for p in places)) + pack[-20:]
+    return pack, index + hashlib.sha1(index).digest()
+
+
+#: Bytes of contents in a pack, about.
+PACK_BYTES = 64 << 20
+
+
+def write_packs(rows: DataFrame, common: str) -> None:
+    """Write objects (``id, kind, content``) into a repository folder; each task writes packs of bounded size.
+
+    Objects that come twice are written once; a pack is named by what it holds, so a task that runs again writes the
+    same file.
+    """
+    once = rows.groupBy("id").agg(F.first(F.struct("kind", "content")).alias("x")).select("id", "x.kind", "x.content")
+
+    def put(held):
+        system, at = _place(f"{common}/objects/pack")
+        system.create_dir(at, recursive=True)
+        name = hashlib.sha1("".join(sorted(k for k, _, _ in held)).encode()).hexdigest()
+        for data, ending in zip(packed(held), ("pack", "idx")):
+            with system.open_output_stream(f"{at}/pack-{name}.{ending}", compression=None) as out:
+                out.write(data)
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["pack", "objects"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                size += len(row[2])
+                if size >= PACK_BYTES:
+                    yield put(held)
+                    held, size = [], 0
+        if held:
+            yield put(held)
+
+    once.mapInArrow(run, "pack string, objects long").count()

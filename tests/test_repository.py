@@ -142,6 +142,7 @@ def test_ranges_of_an_index(spark, packed, monkeypatch):
     spark.dataSource.register(R.RepositoryEntries)
     whole = {(r.id, r.place, r.at) for r in spark.read.format("repository_entries").option("stores", f'["{packed}/.git/objects"]').load().collect()}
     monkeypatch.setattr(R, "ENTRIES", 37)
+    monkeypatch.setattr(R, "ROWS", 5)
     reader = R.EntriesReader([f"{packed}/.git/objects"])
     parts = reader.partitions()
     assert len(parts) > 20
@@ -208,3 +209,18 @@ def test_engine_reads_its_own_repository(spark, packed, tmp_path):
     commit(packed, 1_800_000_200, "more")
     assert engine.get_project_overview().first().commits == len(want) + 1
     assert len(engine.get_file_summary("more.txt").first().commits) == 1
+
+
+def test_packs_that_tasks_write(spark, loose, tmp_path):
+    """Objects of a repository, written again as packs, are what the program itself reads."""
+    names = [n.split(" ")[0] for n in git(loose, "rev-list", "--objects", "--all").decode().split("\n") if n]
+    kinds = {n: git(loose, "cat-file", "-t", n).decode().strip() for n in names}
+    rows = [(n, k, git(loose, "cat-file", k, n)) for n, k in kinds.items()]
+    assert all(R.object_name(k, c) == n for n, k, c in rows)
+    git(tmp_path, "init", "-q", "--bare", "-b", "main", "made.git")
+    R.write_packs(spark.createDataFrame(rows + rows[:5], "id string, kind string, content binary").repartition(4), str(tmp_path / "made.git"))
+    git(tmp_path / "made.git", "update-ref", "refs/heads/main", R.Repository.find(str(loose)).head)
+    git(tmp_path / "made.git", "fsck", "--strict")
+    assert listed(tmp_path / "made.git") == listed(loose) == as_read(spark, tmp_path / "made.git")
+    tree, parents, author, seconds, message = R.parsed_commit(R.commit_content("aa", ["bb"], "me", 5, "x\n"))
+    assert (tree, parents, author, seconds, message) == ("aa", ["bb"], "me", 5, "x")

@@ -13,17 +13,17 @@ never opened.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.operators.retrieval import EPSILON, K1, QUERY_TERMS, B, idf, top
+from tessera.sources.changes import Changes
 from tessera.sources.shared import stored
 
 #: Documents of a block; blocks that a search scores first for each query.
@@ -96,48 +96,14 @@ def _gain(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-class SegmentedIndex:
+class SegmentedIndex(Changes):
     """An index below ``root`` over documents with ids of type ``kind``; ``version`` opens it as it was after that change.
 
     Ids are unique: of rows that share one in a change, one stays; a later change replaces it. Null is an id like any
     other; null and empty texts are documents without terms.
     """
 
-    def __init__(self, spark: SparkSession, root: str, kind: str = "string", version: int | None = None):
-        self.spark, self.root, self.kind, self.version = spark, root.rstrip("/"), kind, version
-
-    # -- folders -------------------------------------------------------------------------------------------------
-
-    def _system(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _folders(self) -> list[tuple[int, str]]:
-        """The newest base and the changes after it, with their numbers."""
-        path, system = self._system()
-        names = [s.getPath().getName() for s in system.listStatus(path(self.root))] if system.exists(path(self.root)) else []
-        names = [n for n in names if re.fullmatch(r"(base-)?\d+", n) and system.exists(path(f"{self.root}/{n}/corpus/_SUCCESS"))]
-        number = lambda n: int(n.removeprefix("base-"))
-        names = [n for n in names if self.version is None or number(n) <= self.version]
-        first = max((number(n) for n in names if n.startswith("base-")), default=-1)
-        out = [(first, f"{self.root}/base-{first}")] if first >= 0 else []
-        return out + sorted((number(n), f"{self.root}/{n}") for n in names if n.isdigit() and number(n) > first)
-
-    def last(self) -> int:
-        """The number of the last change; 0 before the first."""
-        found = self._folders()
-        return found[-1][0] if found else 0
-
-    def size(self) -> int:
-        """How many folders a search reads."""
-        return len(self._folders())
-
-    def _all(self, name: str, schema: str) -> DataFrame:
-        """A table of all folders, with ``segment``, the number of the folder."""
-        out = self.spark.createDataFrame([], f"{schema}, segment long")
-        for number, at in self._folders():
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{at}/{name}").withColumn("segment", F.lit(number).cast("long")))
-        return out
+    LAST = "corpus"
 
     def corpus(self) -> DataFrame:
         """One row: documents, their words, the mean weight of all terms."""
@@ -153,11 +119,6 @@ class SegmentedIndex:
         raw = idf(F.col("df"), F.col("n"))
         return df.crossJoin(F.broadcast(self.corpus())).select("term", "df", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"))  # one row
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (``id, segment`` and more) of documents that no later change names."""
-        gone = self._all("gone", f"id {self.kind}").groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("until"))
-        return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("until") > F.col("segment")), "left_anti")
-
     def documents(self) -> DataFrame:
         """``id, dl, terms, tfs`` of the documents that count."""
         return self._live(self._all("forward", _forward(self.kind))).drop("segment")
@@ -220,10 +181,6 @@ class SegmentedIndex:
         self.corpus().write.mode("overwrite").parquet(f"{at}/corpus")
         return number
 
-    def clear(self) -> None:
-        path, system = self._system()
-        system.delete(path(self.root), True)
-
     # -- searches ------------------------------------------------------------------------------------------------
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

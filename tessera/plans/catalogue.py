@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import advanced_relevance, js_imports, python_imports, readable_size, simple_relevance, tokens
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
+from tessera.operators.cells import CellIndex
 from tessera.operators.chunks import chunk_texts
 from tessera.operators.complexity import function_complexity
 from tessera.operators.contain import held_strings
@@ -108,6 +109,19 @@ def vector_knn_filtered(spark, d):
     return _knn(_t(spark, d, "embeddings").filter("label = 3"), spark, d).select(F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), "distance")
 
 
+def vector_cells(spark, d):
+    """Neighbours of every fiftieth vector by the stored index, which got a third of its rows, and other vectors for some, by changes."""
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    index = CellIndex(spark, f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}", keep="label int")
+    third = F.col("vec_id") % 3 == 0
+    index.build(rows.withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.reverse("embedding")).otherwise(F.col("embedding"))).filter(~third))
+    index.change(rows.filter(F.col("vec_id") % 3 == 1).unionByName(rows.filter(third)))
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = stored(index.search(asked, 5, exact=True), "near").withColumn("side", F.lit("all"))
+    some = stored(index.search(asked, 5, where=F.col("label") == 3, exact=True), "near").withColumn("side", F.lit("label 3"))
+    return near.unionByName(some).select("side", "query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), "distance")
+
+
 def _hits(spark, d, n=TOP):
     return retrieval.hybrid(_index(spark, d), _t(spark, d, "embeddings"), _asked(spark), _vector_query(spark, d), n)
 
@@ -552,6 +566,11 @@ r AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0
 SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END, 6)::DOUBLE AS idf FROM r, m"""),
     (vector_knn, f"WITH {_VECTOR_SQL} SELECT rank, id AS vec_id, distance FROM vranked WHERE rank <= {TOP}"),
     (vector_knn_filtered, f"WITH {_VECTOR_SQL} SELECT row_number() OVER (ORDER BY distance, id) AS rank, id AS vec_id, distance FROM dist WHERE label = 3 ORDER BY 1 LIMIT {TOP}"),
+    (vector_cells, """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+p AS MATERIALIZED (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(1 - list_dot_product(e.v, q.v) / (e.norm * q.norm), 6) AS distance FROM e JOIN e q ON q.vec_id % 50 = 0),
+s AS (SELECT 'all' AS side, query_id, vec_id, distance FROM p UNION ALL SELECT 'label 3', query_id, vec_id, distance FROM p WHERE label = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY side, query_id ORDER BY distance, vec_id) AS rank FROM s)
+SELECT side, query_id, rank, vec_id, distance FROM r WHERE rank <= 5"""),
     (rrf_hybrid, f"WITH {_hybrid_sql(TOP, 30)} SELECT rank, id, score, distance FROM hits"),
     (hybrid_summary, f"""WITH {_hybrid_sql(TOP, 30)}, r AS (SELECT count(*) AS n_results, count(DISTINCT source) AS n_files, round(avg(coalesce(distance, 0)), 6) AS avg_distance FROM hits JOIN documents ON doc_id = id),
 c AS (SELECT *, greatest(0.0, least(1.0, round(1 - avg_distance, 6)))::DOUBLE AS confidence, CASE WHEN (SELECT count(*) FROM documents) > 100 THEN 'full' ELSE 'partial' END AS coverage FROM r)

@@ -222,7 +222,7 @@ class CellIndex(Changes):
                     at = np.flatnonzero(cell == c)
                     for a in range(0, len(at), 4096):
                         some = at[a : a + 4096]
-                        d = np.round(1 - y[some] @ q[of_cell[int(c)]].T, 6)
+                        d = np.round(1 - y[some] @ q[of_cell[int(c)]].T, 6) + 0.0  # no negative zero
                         if skip_self:
                             d[own.iloc[some].to_numpy()[:, None] == names[of_cell[int(c)]]] = np.inf
                         k = min(n, len(some)) - 1

@@ -567,7 +567,7 @@ SELECT term, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE
     (vector_knn, f"WITH {_VECTOR_SQL} SELECT rank, id AS vec_id, distance FROM vranked WHERE rank <= {TOP}"),
     (vector_knn_filtered, f"WITH {_VECTOR_SQL} SELECT row_number() OVER (ORDER BY distance, id) AS rank, id AS vec_id, distance FROM dist WHERE label = 3 ORDER BY 1 LIMIT {TOP}"),
     (vector_cells, """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
-p AS MATERIALIZED (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(1 - list_dot_product(e.v, q.v) / (e.norm * q.norm), 6) AS distance FROM e JOIN e q ON q.vec_id % 50 = 0),
+p AS MATERIALIZED (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(1 - list_dot_product(e.v, q.v) / (e.norm * q.norm), 6) + 0.0::DOUBLE AS distance FROM e JOIN e q ON q.vec_id % 50 = 0),
 s AS (SELECT 'all' AS side, query_id, vec_id, distance FROM p UNION ALL SELECT 'label 3', query_id, vec_id, distance FROM p WHERE label = 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY side, query_id ORDER BY distance, vec_id) AS rank FROM s)
 SELECT side, query_id, rank, vec_id, distance FROM r WHERE rank <= 5"""),

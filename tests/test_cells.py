@@ -45,8 +45,10 @@ def test_recall_and_pruned_partitions(spark, table, index):
     assert len(centres) == cell_count(3000) == 11 and probes < len(centres)
     want = rows(cosine_neighbours(table.filter("size(embedding) = 12"), asked(table), 10))
     assert recall(rows(index.search(asked(table), 10)), want) >= 0.95
-    one = asked(table).filter("query_id = 75")
-    plan = index.search(one, 10, probes=2)._jdf.queryExecution().toString()
+    one = cells.unit(np.array([table.filter("vec_id = 75").first().embedding]))
+    near = np.argsort(-(one @ centres.T)[0])[:2]
+    probed = np.isin(np.arange(len(centres)), near)[None, :]
+    plan = index._scanned([75], one, probed, 10, None, False)._jdf.queryExecution().toString()
     assert "PartitionFilters: [cell" in plan
     read = index.spark.read.parquet(f"{index.root}/1/vectors").select("cell").distinct().count()
     assert read == len(centres) + 1  # with the zero vector's

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, utf8_rows
+from tessera.llm.common import Scratch, heavy_join, utf8_rows
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -106,13 +106,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, shingle), "fingerprints")
-    nodes = scratch.keep(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected_components(close_pairs(nodes, max_bits), scratch)
+    nodes = scratch.keep(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    roots = connected_components(close_pairs(nodes.select("bits"), max_bits), scratch)
     linked = scratch.keep(nodes.join(roots, F.col("bits") == F.col("node")).select("bits", "root", "first_id"), "linked")
     named = scratch.keep(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "named")
     merged = linked.join(named, "root").select("bits", "least_id")
-    classes = nodes.join(merged, "bits", "left").select("bits", F.coalesce("least_id", "first_id").alias("component_id"))
-    return scratch.finish(rows.join(scratch.keep(classes, "classes"), "bits").select("doc_id", "bits", "component_id"), "groups")
+    classes = nodes.join(merged, "bits", "left").select("bits", F.coalesce("least_id", "first_id").alias("component_id"), "n")
+    return scratch.finish(heavy_join(rows, scratch.keep(classes, "classes"), "bits").select("doc_id", "bits", "component_id"), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:

@@ -7,7 +7,11 @@ index of 0.8 share a key with a probability of 1 - (1 - 0.8^5)^20 = 0.9996. Ever
 verified on the whole sets, or already in one component by other verified pairs, or ruled out by sketches: all members
 of a key are first held against its smallest and its largest node; while many pairs are left, members outside the
 commonest component of their key are held against a few members of that; what still is apart is held against each
-other, inside a join that lets only pairs through that their sketches allow.
+other, inside a join that lets only pairs through that their sketches allow. Keys with more than CROWD members are left out
+of that join. Members of these meet on rare shingles: with the shingles of every set in order of how many sets have them,
+rarest first, two sets within the index share one of the first tenth of the smaller (the first n - 8/9 n + 1 of n for an index of
+0.8) and the first fifth of the larger. Sets that agree in a template alone have more shingles of their own than that, so
+they never meet, however many and however long they are.
 
 A sketch has a bit for each of 512 cells, set where an odd number of the set's hashes fall. The bits in which two
 sketches differ are at most as many as the hashes that only one of the sets has, so a pair that is ruled out by them
@@ -16,6 +20,7 @@ is never within the index. Sets of up to some 1,000 shingles are told apart well
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import accumulate
 
@@ -24,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, utf8_rows
+from tessera.llm.common import Scratch, heavy_join, utf8_rows
 from tessera.llm.components import connected_components
-from tessera.llm.packed import pack, unpack
+from tessera.llm.packed import each_group, pack, unpack
 from tessera.llm.simhash import SEED, close_pairs, first_of_groups, majority
 
 BANDS, ROWS = 20, 5
 BLOCK = 1 << 12
 #: Members of the commonest component that a key's other members are held against in a round.
 PIVOTS = 4
+#: Members of a key that are held against each other by their sketches alone.
+CROWD = 50
 #: 64-bit numbers of a sketch.
 SKETCH = 8
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
@@ -143,6 +150,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def _by_rare_shingles(crowd: DataFrame, sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``src, dst``: pairs of ``crowd`` (``drawn, root``) of different roots that may be within the index; none within it is missed."""
+
+    def split(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column(1)]
+                sizes = [len(x) for x in found]
+                nodes = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([*found, np.zeros(0, "<i8")]))], names=["node", "size", "shingle"])
+
+    rows = sets.join(crowd.select("drawn.node"), "node", "left_semi").mapInArrow(split, "node long, size long, shingle long")
+    rows = scratch.keep(rows, "shingles")
+    common = scratch.keep(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    held = heavy_join(rows, common, "shingle", keep_count=True)
+
+    def prefixes(batches):
+        for table in each_group(batches):  # the shared shingles of one set
+            size = int(table.column(1)[0].as_py())
+            alone = size - table.num_rows  # shingles that no other set has come first and meet nothing
+            order = np.lexsort((table.column(2).to_numpy(), table.column(3).to_numpy()))
+            probe = max(0, size - math.ceil(least * size - 1e-9) + 1 - alone)
+            index = max(0, size - math.ceil(2 * least / (1 + least) * size - 1e-9) + 1 - alone)
+            take = order[:probe]
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(take)), table.column(2).combine_chunks().take(pa.array(take)), pa.array(np.arange(len(take)) < index)], names=["node", "shingle", "indexed"])
+
+    first = held.select("node", "size", "shingle", "n").repartition("node").sortWithinPartitions("node").mapInArrow(prefixes, "node long, shingle long, indexed boolean")
+    first = scratch.keep(first.join(crowd.select("drawn.node", "drawn", "root"), "node"), "prefixes")
+    small = first.filter("indexed").select("shingle", F.col("drawn").alias("small"), F.col("root").alias("small_root"))
+    order = F.struct("small.n", "small.node") < F.struct("drawn.n", "drawn.node")
+    met = first.join(small, "shingle").filter(order & (F.col("root") != F.col("small_root")) & _possible(F.col("small"), F.col("drawn"), least))
+    return met.select(F.least("small.node", "drawn.node").alias("src"), F.greatest("small.node", "drawn.node").alias("dst")).distinct()
+
+
 def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs`` (``doc_id, text``): documents whose sets of ``size``-word
     shingles have a Jaccard index of ``least`` or more are linked; ``component_id`` is the smallest doc_id reachable.
@@ -160,7 +202,7 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(starts))), pa.array(keys)], names=["node", "key"])
 
     drawn = F.first(F.struct("node", "n", *_SKETCH)).alias("drawn")
-    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.first("keys").alias("keys"), drawn), "nodes")
+    nodes = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("bits").alias("bits"), F.first("keys").alias("keys"), drawn), "nodes")
     keyed = nodes.select("node", "keys").mapInArrow(split, "node long, key long")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     members = scratch.keep(keyed.join(shared, "key"), "members")
@@ -202,15 +244,21 @@ def near_copy_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> Data
         found = scratch.keep(_verified(asked.select(*pair(F.col("drawn.node"), F.col("pivot.node"))).distinct(), sets, least), "links")
         links = links.unionAll(found)
         labelled = labels(scratch.keep(connected_components(links, scratch), "roots"))
-    other = labelled.select("key", F.col("root").alias("other_root"), F.col("drawn").alias("other"))
-    rest = labelled.join(other, "key").filter((F.col("root") < F.col("other_root")) & _possible(F.col("drawn"), F.col("other"), least))
+    sizes = labelled.groupBy("key").agg(F.count("*").alias("members"))
+    sized = scratch.keep(labelled.join(sizes, "key"), "sized")
+    quiet = sized.filter(F.col("members") <= CROWD)
+    other = quiet.select("key", F.col("root").alias("other_root"), F.col("drawn").alias("other"))
+    rest = quiet.join(other, "key").filter((F.col("root") < F.col("other_root")) & _possible(F.col("drawn"), F.col("other"), least))
     rest = rest.select(*pair(F.col("drawn.node"), F.col("other.node"))).distinct()
+    crowd = sized.filter(F.col("members") > CROWD).groupBy("drawn.node").agg(F.first("drawn").alias("drawn"), F.first("root").alias("root")).drop("node")
+    if not crowd.isEmpty():
+        rest = rest.unionAll(_by_rare_shingles(scratch.keep(crowd, "crowd"), sets, least, scratch)).distinct()
     roots = connected_components(links.unionAll(_verified(rest, sets, least)), scratch)
     linked = scratch.keep(nodes.select("node", "first_id").join(roots, "node").select("node", "root", "first_id"), "linked")
     named = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     merged = linked.join(named, "root").select("node", "least_id")
-    classes = nodes.select("node", "first_id").join(merged, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    return scratch.finish(rows.select("doc_id", "node").join(scratch.keep(classes, "classes"), "node").select("doc_id", "component_id"), "groups")
+    classes = nodes.select("node", "first_id", "n").join(merged, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"), "n")
+    return scratch.finish(heavy_join(rows.select("doc_id", "node"), scratch.keep(classes, "classes"), "node").select("doc_id", "component_id"), "groups")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

@@ -1,64 +1,152 @@
-"""Which strings of a set stand inside which texts: a multi-pattern scan of the texts, a block of strings at a time."""
+"""Which strings of a set stand inside which texts, by their rarest grams.
 
-from __future__ import annotations
+Of each string one gram is chosen, the rarest by a sample of the texts. Tasks hash the grams of their texts and keep those
+that a bitmap of the chosen ones lets through; these meet the strings by equality, and only the strings that share a
+gram with a text are looked for in it. So there is one pass over the texts whatever the number of strings, and no string
+or text is gathered anywhere.
+"""
 
-import uuid
-from collections import OrderedDict
+from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut_lineage
+from tessera.sources.shared import stored
+
+#: Lengths of grams: a string has grams of the greatest that it is as long as.
+GRAMS = (1, 2, 3, 4, 8)
+#: Texts that frequencies of grams are taken from: they decide what is compared, not what is found.
+SAMPLED = 200
+#: Bits of the bitmap for each string, and the most it may have; beyond, more grams are shuffled.
+BITS, MOST_BITS = 16, 1 << 27
+#: Parts that the strings of a gram are dealt to, as a gram may stand in very many texts.
+SALT = 16
+#: Characters that are hashed at a time.
+SLAB = 1 << 18
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(text: str, q: int) -> np.ndarray:
+    """A 64-bit hash of each gram of ``q`` characters, marked with its length."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - q + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    out = np.full(n, q, np.uint64)
+    for k in range(q):
+        out = (out ^ codes[k : n + k]) * _FACTOR
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
 
-#: Characters of strings that are looked for in one pass over the texts; each pass sends one such block to the tasks.
-BLOCK_CHARS = 2 << 20
-_BUILT: OrderedDict = OrderedDict()
 
+def _size(length: int) -> int:
+    return max(q for q in GRAMS if q <= length)
 
-def _automaton(name: str, words: list[str]):
-    """The automaton of a block, by its name; a worker keeps the last two."""
-    import ahocorasick
 
-    if name not in _BUILT:
-        made = ahocorasick.Automaton()
-        for word in words:
-            made.add_word(word, word)
-        made.make_automaton()
-        _BUILT[name] = made
-        while len(_BUILT) > 2:
-            _BUILT.popitem(last=False)
-    return _BUILT[name]
+def _all_grams(batches):
+    """``s, gram, at``: the grams of each string and where they stand first."""
+    for batch in batches:
+        names, grams, places = [], [], []
+        for s in batch.column(0).to_pylist():
+            own, first = np.unique(gram_hashes(s, _size(len(s))), return_index=True)
+            names += [s] * len(own)
+            grams.append(own)
+            places.append(first)
+        both = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (grams, places)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, both)], names=["s", "gram", "at"])
 
 
-def held_strings(texts: DataFrame, key: str, text: Column, strings: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _slabs(text: str, q: int):
+    """The grams of a text, part by part."""
+    for at in range(0, max(1, len(text) - q + 1), SLAB):
+        yield at, gram_hashes(text[at : at + SLAB + q - 1], q)
+
+
+def _met(bitmap, lengths: list[int]):
+    """``text_hash, gram`` of the grams of texts that the bitmap lets through."""
+
+    def run(batches):
+        words = bitmap.value
+        mask = np.uint64(len(words) * 64 - 1)
+        for batch in batches:
+            hashes, grams = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for q in lengths:
+                    for _, own in _slabs(text, q):
+                        bit = own.view(np.uint64) & mask
+                        own = np.unique(own[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)])
+                        hashes.append(np.full(len(own), key, np.int64))
+                        grams.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (hashes, grams)], names=["text_hash", "gram"])
+
+    return run
+
+
+def _found(text: str, candidates: list[dict]) -> list[str]:
+    """The candidates (``s, gram, at``) that the text holds, looked for where their grams stand."""
+    by_size: dict[int, dict[int, list]] = {}
+    for c in candidates:
+        by_size.setdefault(_size(len(c["s"])), {}).setdefault(c["gram"], []).append((c["s"], c["at"]))
+    out = []
+    for q, by_gram in by_size.items():
+        wanted = np.array(sorted(by_gram), np.int64)
+        left = {g: dict(x) for g, x in by_gram.items()}
+        for first, own in _slabs(text, q):
+            for place in np.flatnonzero(np.isin(own, wanted)).tolist():
+                strings = left[int(own[place])]
+                hit = [s for s, at in strings.items() if first + place >= at and text.startswith(s, first + place - at)]
+                for s in hit:
+                    del strings[s]
+                out += hit
+    return out
+
+
+def held_strings(texts: DataFrame, key: str, text: Column, strings: DataFrame) -> DataFrame:
     """``key, string``: for each row of ``texts`` the different strings (first column of ``strings``) that its text holds.
 
     Null keys stay; null texts hold nothing; null and empty strings are not looked for; equal rows give equal results.
-    The strings go to the tasks in blocks of about ``block_chars`` characters, so memory is bounded however many there
-    are; every block is one pass over the texts, and nothing is shuffled.
+    Characters are compared as they are, whatever their case.
     """
-    wanted = cut_lineage(strings.select(F.col(strings.columns[0]).cast("string").alias("s")).filter("s <> ''").distinct())
-    blocks = -(-(wanted.agg(F.sum(F.length("s"))).first()[0] or 0) // block_chars)
-    rows = texts.select(F.col(key).alias("key"), text.cast("string").alias("text")).filter("text is not null")
+    rows = texts.select(F.col(key).alias("key"), text.cast("string").alias("text")).filter("text is not null").withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = None
-    for k in range(blocks):
-        words = [r.s for r in wanted.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == k).collect()]  # about block_chars characters
-        if not words:
-            continue
-        one = rows.mapInArrow(_scan(texts.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex), f"key {kind}, string string")
-        out = one if out is None else out.unionAll(one)
-    if out is None:
-        out = rows.select("key", F.lit("").alias("string")).limit(0)
-    return out.withColumnRenamed("key", key)
+    wanted = stored(strings.select(F.col(strings.columns[0]).cast("string").alias("s")).filter("s <> ''").distinct(), "strings")
+    bounds = [F.count_if((F.char_length("s") >= q) & (F.char_length("s") < after)).alias(str(q)) for q, after in zip(GRAMS, (*GRAMS[1:], 1 << 31))]
+    counts = wanted.agg(F.count("*").alias("total"), *bounds).first()
+    lengths = [q for q in GRAMS if counts[str(q)]]
+    if not lengths:
+        return rows.select("key", F.lit("").alias("string")).limit(0).withColumnRenamed("key", key)
 
+    # The rarest gram of each string, in a sample of the texts.
+    every = np.full(1, 2**64 - 1, np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(every)
+    seen = rows.limit(SAMPLED).select("text_hash", "text").mapInArrow(_met(sent, lengths), "text_hash long, gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    grams = wanted.mapInArrow(_all_grams, "s string, gram long, at long").join(seen, "gram", "left")
+    best = F.min_by(F.struct("gram", "at"), F.struct(F.coalesce("n", F.lit(0)), F.col("gram")))
+    chosen = stored(grams.groupBy("s").agg(best.alias("x")).select("s", "x.gram", "x.at"), "grams")
 
-def _scan(block, name: str):
-    def run(batches):
+    # A bitmap of the chosen grams, of bounded size.
+    bits = min(MOST_BITS, 1 << max(6, (BITS * counts.total - 1).bit_length()))
+    bit = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast((gram & {bits - 1}L) & 63L as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    bitmap = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():  # MOST_BITS / 64 rows at most
+        bitmap[r.word] = r.mask
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    met = rows.select("text_hash", "text").mapInArrow(_met(sent, lengths), "text_hash long, gram long").distinct()
+
+    # Strings that share a gram with a text, and the text again.
+    salted = met.withColumn("salt", F.pmod("text_hash", F.lit(SALT)))
+    spread = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    asked = salted.join(spread, ["gram", "salt"]).groupBy("text_hash").agg(F.collect_list(F.struct("s", "gram", "at")).alias("candidates"))
+
+    def look(batches):
         for batch in batches:
-            found = [list({s for _, s in _automaton(name, block.value).iter(t)}) for t in batch.column(1).to_pylist()]
+            found = [_found(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s for x in found for s in x], pa.string())], names=["key", "string"])
 
-    return run
+    out = rows.join(asked, "text_hash").select("key", "text", "candidates").mapInArrow(look, f"key {kind}, string string")
+    return out.withColumnRenamed("key", key)

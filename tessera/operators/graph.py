@@ -109,7 +109,7 @@ def change_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def related_tests(names: DataFrame, files: DataFrame) -> DataFrame:
     """``name, path``: files whose base name holds the name (``names(name)``, whatever the case) and test or spec.
 
-    The names may be many (all that depend on a file); they are looked for in the names of tests in blocks.
+    The names may be many (all that depend on a file); one pass over the names of tests looks for all of them.
     """
     low = F.lower(F.element_at(F.split("path", "/"), -1))
     tests = files.select("path", low.alias("low")).filter(low.contains("test") | low.contains("spec"))

@@ -129,7 +129,7 @@ def test_unmentioned_against_brute_force(spark):
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     assert sorted(r.string for r in notes.unmentioned(entries, table, "token").filter("string < 999").collect()) == want
     assert notes.unmentioned(entries, table.limit(0), "token").count() == entries.count()
-    found = held_strings(table.withColumn("id", F.monotonically_increasing_id()), "id", F.col("text"), entries, block_chars=50)
+    found = held_strings(table.withColumn("id", F.monotonically_increasing_id()), "id", F.col("text"), entries)
     assert {r.string for r in found.collect()} == {t for t in tokens if t and any(t in x for x in texts if x is not None)}
 
 
@@ -144,3 +144,25 @@ def test_long_names_and_headers(spark):
     long = "a" * 1500
     assert stats.naming_style(spark.createDataFrame([(f"{long}B.py",)], "path string")).first().camel == 1
     assert notes.parse(spark.createDataFrame([(1, "## " + long)], "doc int, text string")).first().header == long
+
+
+@pytest.mark.parametrize("slab,bits", [(1 << 18, 1 << 27), (7, 64)])
+def test_held_strings_against_brute_force(spark, monkeypatch, slab, bits):
+    """Strings of 1 to 100 characters, cut from texts or not; texts with characters of all planes, repeated rows and nulls."""
+    from tessera.operators import contain
+
+    monkeypatch.setattr(contain, "SLAB", slab)
+    monkeypatch.setattr(contain, "MOST_BITS", bits)
+    rng = random.Random(slab)
+    letters = "abAé\n \U0001f600\u0301"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 40, 400]))) for _ in range(60)] + [None, "", "the end"]
+    strings = {rng.choice(letters) for _ in range(5)} | {None, "", "never", "x" * 100, "the end"}
+    for t in texts[:40]:
+        for _ in range(4):
+            a, n = rng.randrange(0, len(t or "") + 1), rng.randrange(1, 101)
+            strings |= {(t or "")[a : a + n], (t or "")[a : a + n][::-1]}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[2]), (3, texts[3])]
+    asked = spark.createDataFrame([(s,) for s in sorted(strings, key=repr)] * 2, "s string")
+    got = contain.held_strings(spark.createDataFrame(rows, "k int, t string"), "k", F.col("t"), asked)
+    want = sorted(((k, s) for k, t in rows if t is not None for s in strings if s and s in t), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) > 500

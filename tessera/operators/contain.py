@@ -3,7 +3,7 @@
 Of each string one gram is chosen, the rarest by a sample of the texts. Tasks hash the grams of their texts and keep those
 that a bitmap of the chosen ones lets through; these meet the strings by equality, and only the strings that share a
 gram with a text are looked for in it. So there is one pass over the texts whatever the number of strings, and no string
-or text is gathered anywhere.
+or text is gathered anywhere. A few strings need no grams: an expression looks for each.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from tessera.sources.shared import stored
 
 #: Lengths of grams: a string has grams of the greatest that it is as long as.
 GRAMS = (1, 2, 3, 4, 8)
+#: Strings that are looked for one by one, by an expression.
+FEW = 64
 #: Texts that frequencies of grams are taken from: they decide what is compared, not what is found.
 SAMPLED = 200
 #: Bits of the bitmap for each string, and the most it may have; beyond, more grams are shuffled.
@@ -29,34 +31,43 @@ SLAB = 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(text: str, q: int) -> np.ndarray:
-    """A 64-bit hash of each gram of ``q`` characters, marked with its length."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = len(codes) - q + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    out = np.full(n, q, np.uint64)
-    for k in range(q):
-        out = (out ^ codes[k : n + k]) * _FACTOR
-        out ^= out >> np.uint64(31)
+def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of each ``q`` characters in a row (along the last axis), marked with their number."""
+    n = codes.shape[-1] - q + 1
+    out = np.full((*codes.shape[:-1], max(0, n)), q, np.uint64)
+    if n > 0:
+        for k in range(q):
+            out = (out ^ codes[..., k : n + k]) * _FACTOR
+            out ^= out >> np.uint64(31)
     return out.view(np.int64)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def gram_hashes(text: str, q: int) -> np.ndarray:
+    return _hashes(_codes(text), q)
+
+
 def _size(length: int) -> int:
     return max(q for q in GRAMS if q <= length)
 
 
 def _all_grams(batches):
-    """``s, gram, at``: the grams of each string and where they stand first."""
+    """``s, gram, at``: the grams of each string and where they stand; strings of one length are hashed together."""
     for batch in batches:
-        names, grams, places = [], [], []
+        by_length: dict[int, list[str]] = {}
         for s in batch.column(0).to_pylist():
-            own, first = np.unique(gram_hashes(s, _size(len(s))), return_index=True)
-            names += [s] * len(own)
-            grams.append(own)
-            places.append(first)
+            by_length.setdefault(len(s), []).append(s)
+        names, grams, places = [], [], []
+        for length, some in by_length.items():
+            own = _hashes(_codes("".join(some)).reshape(len(some), length), _size(length))
+            names.append(pa.array(some, pa.string()).take(pa.array(np.repeat(np.arange(len(some)), own.shape[1]))))
+            grams.append(own.ravel())
+            places.append(np.tile(np.arange(own.shape[1]), len(some)))
         both = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (grams, places)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, both)], names=["s", "gram", "at"])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([*names, pa.array([], pa.string())]), *map(pa.array, both)], names=["s", "gram", "at"])
 
 
 def _slabs(text: str, q: int):
@@ -113,6 +124,10 @@ def held_strings(texts: DataFrame, key: str, text: Column, strings: DataFrame) -
     rows = texts.select(F.col(key).alias("key"), text.cast("string").alias("text")).filter("text is not null").withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["key"].dataType.simpleString()
     wanted = stored(strings.select(F.col(strings.columns[0]).cast("string").alias("s")).filter("s <> ''").distinct(), "strings")
+    few = [r.s for r in wanted.limit(FEW + 1).collect()]
+    if 0 < len(few) <= FEW:
+        held = F.filter(F.array(*map(F.lit, few)), lambda s: F.contains(F.col("text"), s))
+        return rows.select(F.col("key"), F.explode(held).alias("string")).withColumnRenamed("key", key)
     bounds = [F.count_if((F.char_length("s") >= q) & (F.char_length("s") < after)).alias(str(q)) for q, after in zip(GRAMS, (*GRAMS[1:], 1 << 31))]
     counts = wanted.agg(F.count("*").alias("total"), *bounds).first()
     lengths = [q for q in GRAMS if counts[str(q)]]

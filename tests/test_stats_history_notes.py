@@ -146,13 +146,14 @@ def test_long_names_and_headers(spark):
     assert notes.parse(spark.createDataFrame([(1, "## " + long)], "doc int, text string")).first().header == long
 
 
-@pytest.mark.parametrize("slab,bits", [(1 << 18, 1 << 27), (7, 64)])
-def test_held_strings_against_brute_force(spark, monkeypatch, slab, bits):
+@pytest.mark.parametrize("slab,bits,few", [(1 << 18, 1 << 27, 64), (7, 64, 0), (1 << 18, 1 << 27, 10_000)])
+def test_held_strings_against_brute_force(spark, monkeypatch, slab, bits, few):
     """Strings of 1 to 100 characters, cut from texts or not; texts with characters of all planes, repeated rows and nulls."""
     from tessera.operators import contain
 
     monkeypatch.setattr(contain, "SLAB", slab)
     monkeypatch.setattr(contain, "MOST_BITS", bits)
+    monkeypatch.setattr(contain, "FEW", few)
     rng = random.Random(slab)
     letters = "abAé\n \U0001f600\u0301"
     texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 40, 400]))) for _ in range(60)] + [None, "", "the end"]

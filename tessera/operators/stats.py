@@ -9,14 +9,14 @@ from tessera.functions.text import base_name, lines, stem, tag_of
 
 # Idioms by what must all be in a file's text.
 ERROR_IDIOMS = {
-    "custom exceptions (raise)": [["raise ", "Exception"]],
-    "try/catch blocks": [["try:"], ["try {"]],
-    "Result type": [["Result<"], ["Result::"]],
+    "raised exceptions": [["raise ", "Exception"]],
+    "try blocks": [["try:"], ["try {"]],
+    "result values": [["Result<"], ["Result::"]],
 }
 LOGGING_IDIOMS = {
-    "stdlib logging": [["import logging"], ["from logging"]],
-    "getLogger pattern": [["getLogger"], ["get_logger"]],
-    "console.log": [["console.log"], ["console.error"]],
+    "logging module": [["import logging"], ["from logging"]],
+    "named loggers": [["getLogger"], ["get_logger"]],
+    "console": [["console.log"], ["console.error"]],
     "winston": [["winston"]],
     "pino": [["pino"]],
     "structlog": [["structlog"]],

@@ -30,7 +30,7 @@ from tessera.sources.shared import stored as stored_table
 LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript (React)", ".jsx": "JavaScript (React)", ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".cs": "C#", ".cpp": "C++", ".c": "C"}
 JS_FRAMEWORKS = {'"next"': "Next.js", '"react"': "React", '"vue"': "Vue", '"svelte"': "Svelte", '"express"': "Express", '"fastify"': "Fastify", '"nestjs"': "NestJS", '"@nestjs/core"': "NestJS", '"nuxt"': "Nuxt", '"angular"': "Angular", '"@angular/core"': "Angular"}
 PY_FRAMEWORKS = {"fastapi": "FastAPI", "django": "Django", "flask": "Flask", "starlette": "Starlette", "celery": "Celery", "sqlalchemy": "SQLAlchemy", "alembic": "Alembic"}
-FOLDERS = {"src": "src/ directory", "lib": "lib/ directory", "app": "app/ directory", "packages": "monorepo (packages/)", "apps": "monorepo (apps/)", "services": "microservices (services/)"}
+FOLDERS = {"src": "sources in src", "lib": "sources in lib", "app": "sources in app", "packages": "several packages", "apps": "several apps", "services": "several services"}
 TOOLS = {"[tool.ruff": ("linting", "ruff"), "[tool.black": ("formatting", "black"), "[tool.mypy": ("types", "mypy"), "[tool.pylint": ("linting", "pylint"), "[tool.isort": ("formatting", "isort")}
 TOOL_FILES = {".eslintrc.js": ("linting", "eslint"), ".eslintrc.json": ("linting", "eslint"), ".prettierrc": ("formatting", "prettier"), ".prettierrc.json": ("formatting", "prettier"), "tsconfig.json": ("types", "TypeScript"), "biome.json": ("linting", "biome"), ".pre-commit-config.yaml": ("linting", "pre-commit")}
 
@@ -351,10 +351,10 @@ class Engine:
         return self.spark.createDataFrame([(self._path(path),)], "node string")
 
     def get_dependencies_with_depth(self, file_path: str, depth: int = 2, direction: str = "downstream") -> DataFrame:
-        """``depth, paths`` for each level."""
+        """``depth, path``: a row for each file within ``depth`` imports, by level and name."""
         _check(1 <= depth <= 5, "depth must be from 1 to 5")
         found = graph.reach(self.edges(), self._start(file_path), depth, direction)
-        return found.groupBy("depth").agg(F.array_sort(F.collect_list("node")).alias("paths")).orderBy("depth")
+        return found.select("depth", F.col("node").alias("path")).orderBy("depth", "path")
 
     def find_dependency_path(self, from_file: str, to_file: str, max_depth: int = 10) -> DataFrame:
         _check(1 <= max_depth <= 20, "max_depth must be from 1 to 20")
@@ -370,20 +370,27 @@ class Engine:
         return graph.related_tests(nodes.select(stem(F.col("node")).alias("name")).distinct(), self._all()).select("path").distinct()
 
     def analyze_change_impact(self, path: str) -> DataFrame:
-        """One row: dependents, level and tests to run."""
-        start, edges = self._start(path), self.edges()
-        reached = graph.reach(edges, start, None, "upstream").select("node")
-        tests = self._tests_of(start.union(reached)).agg(F.array_sort(F.collect_set("path")).alias("tests"))
-        listed = reached.agg(F.array_sort(F.collect_set("node")).alias("dependents"))
-        return graph.change_impact(edges, start).crossJoin(listed).crossJoin(tests)
+        """``node, direct, total, level, role, path, depth``: a row for each dependent and each test to run.
+
+        The first four, the start and its counts, are the same in every row; without dependents and tests there is one
+        row, with nulls behind them.
+        """
+        start = self._start(path)
+        reached = stored_table(graph.reach(self.edges(), start, None, "upstream").select("node", "depth"), "reached")
+        counts = reached.agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"))
+        head = start.crossJoin(F.broadcast(counts)).withColumn("level", graph.impact_level(F.col("total")))  # one row each
+        tests = self._tests_of(start.union(reached.select("node"))).select(F.lit("test").alias("role"), "path", F.lit(None).cast("int").alias("depth"))
+        rows = reached.select(F.lit("dependent").alias("role"), F.col("node").alias("path"), "depth").unionByName(tests)
+        return head.join(rows, F.lit(True), "left").orderBy("role", "depth", "path")
 
     def get_file_relations(self, path: str) -> DataFrame:
-        """One row: ``path, imports_from, imported_by, related_tests, level``."""
+        """``path, level, role, other``: a row for each import, importer and related test; one with nulls where there is none."""
         node, edges = self._path(path), self.edges()
-        out = edges.filter(F.col("src") == node).agg(F.array_sort(F.collect_set("dst")).alias("imports_from"))
-        back = edges.filter((F.col("dst") == node) & (F.col("src") != node)).agg(F.array_sort(F.collect_set("src")).alias("imported_by"))
-        tests = self._tests_of(self._start(path)).agg(F.array_sort(F.collect_set("path")).alias("related_tests"))
-        return out.crossJoin(back).crossJoin(tests).select(F.lit(node).alias("path"), "imports_from", "imported_by", "related_tests", graph.relation_level(F.size("imported_by")).alias("level"))
+        out = edges.filter(F.col("src") == node).select(F.lit("imports").alias("role"), F.col("dst").alias("other"))
+        back = edges.filter((F.col("dst") == node) & (F.col("src") != node)).select(F.lit("imported by").alias("role"), F.col("src").alias("other"))
+        tests = self._tests_of(self._start(path)).select(F.lit("test").alias("role"), F.col("path").alias("other"))
+        level = back.agg(graph.relation_level(F.countDistinct("other")).alias("level")).select(F.lit(node).alias("path"), "level")
+        return level.join(out.unionByName(back).unionByName(tests).distinct(), F.lit(True), "left").orderBy("role", "other")
 
     # -- statistics ----------------------------------------------------------------------------------------------
 

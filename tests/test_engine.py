@@ -108,8 +108,16 @@ def test_reports(engine):
     assert totals.functions == 5 and totals.languages == {"python": 3}
     assert engine.analyze_code_complexity().count() == 0 and engine.analyze_code_quality().count() >= 1
     assert engine.get_test_coverage_info().first().percent == 87
-    assert engine.get_file_relations("src/util.py").first().imported_by == ["src/app.py", "src/helper.py"]
-    assert engine.analyze_change_impact("src/util.py").first().total == 2
+    rows = engine.get_file_relations("src/util.py").collect()
+    assert [r.other for r in rows if r.role == "imported by"] == ["src/app.py", "src/helper.py"] and {r.level for r in rows} == {"MEDIUM"}
+    alone = engine.get_file_relations("src/__init__.py").collect()
+    assert {r.role for r in alone} <= {"imported by", None}
+    rows = engine.analyze_change_impact("src/util.py").collect()
+    assert {(r.node, r.direct, r.total, r.level) for r in rows} == {("src/util.py", 2, 2, "MEDIUM")}
+    assert [(r.path, r.depth) for r in rows if r.role == "dependent"] == [("src/app.py", 1), ("src/helper.py", 1)]
+    assert [r.path for r in rows if r.role == "test"] == ["tests/test_app.py"]
+    nothing = engine.analyze_change_impact("web/main.ts").collect()
+    assert len(nothing) == 1 and (nothing[0].total, nothing[0].level, nothing[0].role) == (0, "MINIMAL", None)
     listing = engine.explore_directory("src").collect()
     assert [r.name for r in listing if r.short_hash] == ["app.py"]
     summary = engine.get_file_summary("src/app.py").first()
@@ -119,7 +127,7 @@ def test_reports(engine):
     assert engine.get_project_overview().first().commits == 1 and engine.generate_project_summary().first().python_files == 5
     assert engine.dependency_classes().first().total == 4
     assert set(engine.project_onboarding()) == {"overview", "conventions", "todos", "dependencies"}
-    assert engine.get_dependencies_with_depth("src/app.py").first().paths == ["src/__init__.py", "src/util.py"]
+    assert [(r.depth, r.path) for r in engine.get_dependencies_with_depth("src/app.py").collect()][:2] == [(1, "src/__init__.py"), (1, "src/util.py")]
     assert engine.find_dependency_path("src/helper.py", "src/util.py").first().length == 1
     assert [r.path for r in engine.get_module_cluster("src/app.py").collect()] == ["src/helper.py"]
     overview = engine.get_project_overview().first()

@@ -71,7 +71,8 @@ def blocked(forward: DataFrame) -> DataFrame:
 
     dealt = forward.repartitionByRange("dl", "id").sortWithinPartitions("dl", "id")
     made = dealt.mapInArrow(run, _blocks(kind))
-    return made.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    # A frequent term's blocks go to several tasks, a thousand of them to one.
+    return made.repartition("term", F.shiftright("block", 10)).sortWithinPartitions("term", "block")
 
 
 def _one_block(part: pa.RecordBatch, block: int) -> pa.RecordBatch:
@@ -134,7 +135,7 @@ class SegmentedIndex(Changes):
         at = f"{self.root}/{number}"
         none = self.spark.createDataFrame([], f"id {self.kind}, text string")
         new = counted(none, "id", "text") if added is None else counted(added.withColumn(id_col, F.col(id_col).cast(self.kind)), id_col, text_col)
-        new.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
+        new.sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
         new = self.spark.read.schema(_forward(self.kind)).parquet(f"{at}/forward")
         ids = new.select("id")
         if removed is not None:

@@ -18,11 +18,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 2, direction:
 
     One join a level with what was new, minus what is known; each level is a table of its own in the shared folder, so
     what is known is a union of as many small scans as there were levels. ``depth`` None goes on until nothing is new.
+    An edge with a null end leads nowhere.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    step = cut_lineage(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    step = cut_lineage(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).dropna().distinct())
     front = cut_lineage(starts.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0)))
     known, level = front, 0
     while depth is None or level < depth:
@@ -106,6 +107,95 @@ def change_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return out.select(F.col("origin").alias("node"), count("direct"), count("total")).withColumn("level", impact_level(F.col("total")))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` between nodes that are both reached and left by others, again and again while that takes a tenth or more."""
+    left = edges.count()
+    while left:
+        ends = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut_lineage(edges.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+        before, left = left, edges.count()
+        if left > 0.9 * before:
+            break
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component``: nodes that reach each other share the greatest node among them; all others are their own.
+
+    Every node takes the greatest node that reaches it as its colour, round by round; what the node of a colour's own
+    name is reached from within the colour is a component, and the search goes on in the rest. Nodes without edges in
+    or out are taken off first. The rounds follow the longest shortest path within what cycles hold, not the table.
+    """
+    edges = cut_lineage(distinct_edges(edges))
+    left, found = _trimmed(edges), edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while not left.isEmpty():
+        colour = front = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
+        while not front.isEmpty():
+            sent = front.join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+            merged = cut_lineage(colour.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("new")))
+            colour, front = merged.select("node", "colour"), merged.filter("new").select("node", "colour")
+        a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
+        within = left.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
+        roots = colour.filter("node = colour").select("node")
+        own = cut_lineage(reach(within, roots, None, "upstream").select("node", F.col("origin").alias("component")).union(roots.select("node", "node")))
+        found = found.union(own)
+        gone = own.select(F.col("node").alias("src"))
+        left = _trimmed(cut_lineage(left.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Registers of a sketch as a power of two: a standard error of some 1.6 %.
+SKETCH_BITS = 12
+
+
+def _sketched(between: DataFrame, member: DataFrame) -> DataFrame:
+    """``component, reached``: about how many nodes depend on each component, its own among them.
+
+    One sketch of node names for each component, made when all those that point at it have theirs: as many rounds as
+    the longest chain. Each edge carries a sketch once; what waits is a row with a counter and a sketch.
+    """
+    merge = lambda c: F.hll_union_agg(c).alias(c)
+    waits = between.groupBy(F.col("dst").alias("component")).agg(F.count("*").alias("missing"))
+    start = member.groupBy("component").agg(F.hll_sketch_agg(F.col("node").cast("string"), SKETCH_BITS).alias("sketch"))
+    waiting = cut_lineage(start.join(waits, "component", "left").select("component", F.coalesce("missing", F.lit(0)).alias("missing"), "sketch"))
+    done = None
+    while not waiting.isEmpty():
+        ready = waiting.filter("missing = 0")
+        counted = cut_lineage(ready.select("component", F.hll_sketch_estimate("sketch").alias("reached")))
+        done = counted if done is None else done.union(counted)
+        sent = ready.join(between, F.col("component") == F.col("src")).groupBy(F.col("dst").alias("component")).agg(F.count("*").alias("came"), merge("sketch"))
+        rest = waiting.filter("missing > 0").select("component", "missing", "sketch")
+        rest = rest.unionByName(sent.select("component", (-F.col("came")).alias("missing"), "sketch"))
+        waiting = cut_lineage(rest.groupBy("component").agg(F.sum("missing").alias("missing"), merge("sketch")))
+    return member.select("component").distinct().withColumn("reached", F.lit(1)) if done is None else done
+
+
+def impact_of_all(edges: DataFrame, exact: bool = True) -> DataFrame:
+    """``node, direct, total, level`` of every node of ``edges``: ``change_impact`` of them all at once.
+
+    Nodes of a cycle have the same dependents, so strong components are found first, and only the pairs of components
+    between which there is a way are gathered; a cycle of any size is one row of them. These pairs can still grow with
+    the square of what is in no cycle; with ``exact`` False a sketch for each component takes their place, and totals
+    are off by some 1.6 % (standard error). Null ends and edges of a node to itself don't count; no edges, no rows.
+    """
+    edges = cut_lineage(distinct_edges(edges))
+    member = cut_lineage(strong_components(edges))
+    a, b = member.toDF("src", "a"), member.toDF("dst", "b")
+    between = cut_lineage(edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    size = member.groupBy("component").agg(F.count("*").alias("size"))
+    if exact:
+        above = reach(between, size.select(F.col("component").alias("node")), None, "upstream")
+        above = above.join(size, F.col("node") == F.col("component")).groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("above"))
+        reached = size.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.col("size")).alias("reached"))
+    else:
+        reached = _sketched(between, member)
+    direct = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("direct"))
+    out = member.join(reached, "component").join(direct, "node", "left")
+    out = out.select("node", F.coalesce("direct", F.lit(0)).cast("long").alias("direct"), F.greatest(F.col("reached") - 1, F.coalesce("direct", F.lit(0))).cast("long").alias("total"))
+    return out.withColumn("level", impact_level(F.col("total")))
+
+
 def related_tests(names: DataFrame, files: DataFrame) -> DataFrame:
     """``name, path``: files whose base name holds the name (``names(name)``, whatever the case) and test or spec.
 

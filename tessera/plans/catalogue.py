@@ -252,6 +252,16 @@ def graph_closure_impact(spark, d):
     return graph.change_impact(edges, starts)
 
 
+def graph_impact_of_all(spark, d):
+    """Impact of every part over the whole graph, by strong components and what lies between them."""
+    return graph.impact_of_all(_graph(spark, d))
+
+
+def graph_strong_components(spark, d):
+    """How many parts each cycle of the graph holds."""
+    return graph.strong_components(_graph(spark, d)).groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("smallest"))
+
+
 def graph_cluster_jaccard(spark, d):
     return graph.clusters(_edges(spark, d), 0.3)
 
@@ -592,6 +602,15 @@ r AS (SELECT node AS origin, node FROM s UNION SELECT r.origin, e.src FROM r JOI
 c AS (SELECT origin, count(*) AS total FROM r WHERE node <> origin GROUP BY origin)
 SELECT s.node, coalesce(direct, 0) AS direct, coalesce(total, 0) AS total, CASE WHEN coalesce(total, 0) >= 10 THEN 'CRITICAL' WHEN total >= 5 THEN 'HIGH' WHEN total >= 2 THEN 'MEDIUM' WHEN total >= 1 THEN 'LOW' ELSE 'MINIMAL' END AS level
 FROM s LEFT JOIN c ON origin = s.node LEFT JOIN d ON d.dst = s.node"""),
+    (graph_impact_of_all, f"""WITH RECURSIVE {_EDGES_SQL}, d AS (SELECT dst, count(*) AS direct FROM edges GROUP BY dst), s AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+r AS (SELECT node AS origin, node FROM s UNION SELECT r.origin, e.src FROM r JOIN edges e ON e.dst = r.node),
+c AS (SELECT origin, count(*) - 1 AS total FROM r GROUP BY origin)
+SELECT s.node, coalesce(direct, 0) AS direct, total, CASE WHEN total >= 10 THEN 'CRITICAL' WHEN total >= 5 THEN 'HIGH' WHEN total >= 2 THEN 'MEDIUM' WHEN total >= 1 THEN 'LOW' ELSE 'MINIMAL' END AS level
+FROM s JOIN c ON origin = s.node LEFT JOIN d ON d.dst = s.node"""),
+    (graph_strong_components, f"""WITH RECURSIVE {_EDGES_SQL}, s AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+r AS (SELECT node AS origin, node FROM s UNION SELECT r.origin, e.src FROM r JOIN edges e ON e.dst = r.node),
+m AS (SELECT x.origin AS node, max(x.node) AS component FROM r x JOIN r y ON x.origin = y.node AND x.node = y.origin GROUP BY x.origin)
+SELECT component, count(*) AS size, min(node) AS smallest FROM m GROUP BY component"""),
     (graph_cluster_jaccard, f"""WITH {_EDGES_SQL}, b AS (SELECT src AS node, dst AS via FROM edges UNION SELECT dst, src FROM edges), z AS (SELECT node, count(*) AS n FROM b GROUP BY node),
 p AS (SELECT x.node, y.node AS other, count(*) AS i FROM b x JOIN b y USING (via) WHERE x.node <> y.node GROUP BY 1, 2)
 SELECT p.node, other, round(i / (a.n + c.n - i), 6) AS similarity FROM p JOIN z a ON a.node = p.node JOIN z c ON c.node = other WHERE round(i / (a.n + c.n - i), 6) >= 0.3"""),

@@ -383,6 +383,10 @@ class Engine:
         rows = reached.select(F.lit("dependent").alias("role"), F.col("node").alias("path"), "depth").unionByName(tests)
         return head.join(rows, F.lit(True), "left").orderBy("role", "depth", "path")
 
+    def impact_of_all_files(self, exact: bool = True) -> DataFrame:
+        """``node, direct, total, level`` of every file that imports or is imported, the widest impact first."""
+        return graph.impact_of_all(self.edges(), exact).orderBy(F.desc("total"), F.desc("direct"), "node")
+
     def get_file_relations(self, path: str) -> DataFrame:
         """``path, level, role, other``: a row for each import, importer and related test; one with nulls where there is none."""
         node, edges = self._path(path), self.edges()

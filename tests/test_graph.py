@@ -65,3 +65,56 @@ def test_related_tests_on_odd_rows(spark):
     files = spark.createDataFrame([("a/test_x.py", 1), ("a/test_x.py", 2), (None, 3), ("test", 4)], "path string, name int")
     names = spark.createDataFrame([("X",), ("x",), (None,), ("",), ("_x.",)], "name string")
     assert sorted(map(tuple, graph.related_tests(names, files).collect())) == [("_x.", "a/test_x.py"), ("_x.", "a/test_x.py"), ("x", "a/test_x.py"), ("x", "a/test_x.py")]
+
+
+def _plain_impact(pairs):
+    pairs = {(a, b) for a, b in pairs if a is not None and b is not None and a != b}
+    into = {}
+    for a, b in pairs:
+        into.setdefault(b, set()).add(a)
+    out = {}
+    for n in {x for p in pairs for x in p}:
+        seen, front = {n}, [n]
+        while front:
+            new = {m for f in front for m in into.get(f, ())} - seen
+            seen |= new
+            front = list(new)
+        out[n] = (len(into.get(n, ())), len(seen) - 1, seen)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_impact_of_all_against_single_searches(spark, seed):
+    rng = random.Random(seed)
+    cycles = [(10 * c + i, 10 * c + (i + 1) % 5) for c in range(12) for i in range(5)]
+    down = [(rng.randrange(0, 60), rng.randrange(60, 120)) for _ in range(60)] + [(rng.randrange(0, 120), rng.randrange(0, 120)) for _ in range(12)]
+    pairs = cycles + down + [(200 + i, 201 + i) for i in range(8)] + [(None, 1), (1, None), (3, 3), (0, 1), (0, 1)]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    want = _plain_impact(pairs)
+    got = {r.node: (r.direct, r.total) for r in graph.impact_of_all(df).collect()}
+    assert got == {n: (d, t) for n, (d, t, _) in want.items()}
+    single = {r.node: (r.direct, r.total, r.level) for r in graph.change_impact(df, starts(spark, "7", "62", "205").selectExpr("cast(node as long) node")).collect()}
+    assert all(got.get(n, (0, 0)) == v[:2] for n, v in single.items())
+    component = {r.node: r.component for r in graph.strong_components(df).collect()}
+    assert component.keys() == want.keys()
+    for x in want:
+        both = {y for y in want[x][2] if x in want[y][2]}
+        assert component[x] == max(both)
+
+
+def test_impact_of_all_by_sketches(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(0, 1500), 1500 + rng.randrange(0, 40)) for _ in range(4000)] + [(1500 + i, 1600 + i % 4) for i in range(40)] + [(1600, 1601), (1601, 1600)]
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    want = _plain_impact(pairs)
+    got = {r.node: (r.direct, r.total) for r in graph.impact_of_all(df, exact=False).collect()}
+    assert got.keys() == want.keys()
+    for n, (direct, total, _) in want.items():
+        assert got[n][0] == direct and abs(got[n][1] - total) <= 0.07 * total
+
+
+def test_impact_of_all_without_edges(spark):
+    none = spark.createDataFrame([(None, 1), (2, 2)], "src long, dst long")
+    for exact in (True, False):
+        assert graph.impact_of_all(none, exact).count() == 0
+    assert graph.strong_components(none).count() == 0

@@ -19,6 +19,7 @@ from tessera.operators.cells import CellIndex
 from tessera.operators.chunks import chunk_texts
 from tessera.operators.complexity import function_complexity
 from tessera.operators.contain import held_strings
+from tessera.operators.latent import LatentModel
 from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as files_source
 from tessera.sources import manifests, repository
@@ -148,6 +149,15 @@ def multi_query_retrieval(spark, d):
     return _index(spark, d).search(_asked(spark, QUERIES), 5).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
+def latent_topics(spark, d):
+    """Vectors without an outside encoder: each document's strongest direction, counted by language."""
+    docs = _t(spark, d, "documents")
+    vectors = docs.select("lang", LatentModel.fit(docs, directions=16).vectors(F.col("text")).alias("v"))
+    size = F.transform("v", lambda x: F.abs(x))
+    strongest = F.when(F.array_max(size) > 0, F.array_position(size, F.array_max(size)))
+    return vectors.select("lang", strongest.alias("direction")).groupBy("lang", "direction").agg(F.count("*").alias("n"))
+
+
 def _edges(spark, d):
     line = _t(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -700,6 +710,7 @@ SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, coalesce(role,
 l AS (SELECT *, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS before, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS k FROM c)
 SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, conv_id || '/' || role || '.txt' AS path, CASE WHEN k = 1 THEN 'A' ELSE 'M' END AS status FROM l WHERE k = 1 OR before <> text"""),
     (chunk_fixed, None),
+    (latent_topics, None),
 ]
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_config_path, is_test_path, stem
@@ -20,6 +20,7 @@ from tessera.log import setup_logger
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import CHUNK, chunk_texts
 from tessera.operators.complexity import function_complexity
+from tessera.operators.latent import LatentModel
 from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as fs
 from tessera.sources import manifests
@@ -47,6 +48,8 @@ LOG_COMMITS = "hash string, short_hash string, message string, author string, da
 LOG_FILES = "hash string, path string, status string"
 STATE = "path string, mtime double, indexed_at timestamp"
 Encoder = Callable[[pd.Series], pd.Series]
+#: The name of the built-in encoder (``operators.latent``).
+LATENT = "latent"
 
 
 def _check(ok: bool, what: str) -> None:
@@ -59,7 +62,8 @@ class Engine:
     """Reports on one file tree, its index and its log.
 
     ``root``: the tree; ``state``: a folder for the index and the notes; ``commits`` and ``commit_files``: the log as
-    tables, by default that of the git repository the tree is in; ``encoder``: text to vector, without it searches rank by keywords alone; ``ignore_patterns``: parts of
+    tables, by default that of the git repository the tree is in; ``encoder``: text to vector, without it searches rank by keywords alone; ``LATENT`` stands for
+    the built-in one, which a full index fits on the chunks and later changes use as it is; ``ignore_patterns``: parts of
     paths that are not indexed, by default those of the tree's ignore file; ``now``: the time that windows end at, by
     default that of the newest commit; ``branch``: what the log is of.
     """
@@ -69,11 +73,12 @@ class Engine:
     state: str
     commits: DataFrame | None = None
     commit_files: DataFrame | None = None
-    encoder: Encoder | None = None
+    encoder: Encoder | str | None = None
     ignore_patterns: list[str] | None = None
     now: str | None = None
     branch: str | None = None
     _remembered: OrderedDict = field(default_factory=OrderedDict, init=False, repr=False)
+    _model: tuple[str, LatentModel] | None = field(default=None, init=False, repr=False)
     _counts: dict[str, int] = field(default_factory=lambda: {"hits": 0, "misses": 0, "expirations": 0}, init=False, repr=False)
 
     # -- sources -------------------------------------------------------------------------------------------------
@@ -163,10 +168,29 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self._table("chunks", CHUNK + (", vector array<double>" if self.encoder else ""))
 
-    def _encoded(self, chunks: DataFrame) -> DataFrame:
+    def _encoded(self, chunks: DataFrame, fit: bool = False) -> DataFrame:
         if self.encoder is None:
             return chunks
-        return chunks.withColumn("vector", F.pandas_udf(self.encoder, "array<double>")("text"))
+        folder = None
+        if fit and self.encoder == LATENT:
+            chunks, folder = stored_table(chunks, "chunks"), str((self._generations() or [0])[-1] + 1)
+            LatentModel.fit(chunks).save(self.spark, f"{self.state}/latent/{folder}")
+            self._model = None
+        return chunks.withColumn("vector", self._vector("text", folder))
+
+    def _vector(self, text: str, folder: str | None = None) -> Column:
+        """The vector of a text; the built-in encoder's model is that of the newest full index (named as its keyword folder)."""
+        if self.encoder != LATENT:
+            return F.pandas_udf(self.encoder, "array<double>")(text)
+        if folder is None:
+            found = self._generations()
+            folder = self._keywords(found[-1])[0] if found else ""
+        at = f"{self.state}/latent/{folder}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        _check(done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done), "the built-in encoder is fitted by index_codebase(force=True)")
+        if self._model is None or self._model[0] != at:
+            self._model = (at, LatentModel.load(self.spark, at))
+        return self._model[1].vectors(F.col(text))
 
     def _publish(self, chunks: DataFrame, files: DataFrame, touched: DataFrame | None = None) -> None:
         """Write a new generation; readers see it once its last table is complete.
@@ -205,7 +229,8 @@ class Engine:
 
     def clear_index(self) -> DataFrame:
         """Delete all generations of the index; the notes stay."""
-        for name in ("index", "bm25"):
+        self._model = None
+        for name in ("index", "bm25", "latent"):
             at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{name}")
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         self._remembered.clear()
@@ -220,7 +245,7 @@ class Engine:
         if self._generations() and not force:
             return self.index_changed_files()
         files = self._files()
-        self._publish(self._encoded(chunk_texts(files.select("path", F.col("text").alias("content")))), self._tracked(files.filter("trim(text) <> ''")))
+        self._publish(self._encoded(chunk_texts(files.select("path", F.col("text").alias("content"))), fit=True), self._tracked(files.filter("trim(text) <> ''")))
         return self.get_index_stats()
 
     def index_changed_files(self) -> DataFrame:
@@ -283,7 +308,7 @@ class Engine:
             hits = index.search(asked, n).withColumn("distance", F.lit(None).cast("double"))
         else:
             numbered = chunks.select(F.xxhash64("chunk_id").alias("vec_id"), F.col("vector").alias("embedding"), "chunk_id")
-            vectors = asked.withColumn("vector", F.pandas_udf(self.encoder, "array<double>")("query"))
+            vectors = asked.withColumn("vector", self._vector("query"))
             many = retrieval.fetch_count(n)
             near = retrieval.cosine_neighbours(numbered, vectors, many).join(numbered.select(F.col("vec_id").alias("id"), "chunk_id"), "id").select("query_id", "rank", F.col("chunk_id").alias("id"), "distance")
             hits = retrieval.fuse(near, index.search(asked, many), n)

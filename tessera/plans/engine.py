@@ -20,7 +20,7 @@ from tessera.log import setup_logger
 from tessera.operators import graph, history, incremental, notes, retrieval, stats
 from tessera.operators.chunks import CHUNK, chunk_texts
 from tessera.operators.complexity import function_complexity
-from tessera.operators.latent import LatentModel
+from tessera.operators.latent import DIRECTIONS, LatentModel
 from tessera.operators.segments import SegmentedIndex
 from tessera.sources import files as fs
 from tessera.sources import manifests
@@ -174,7 +174,8 @@ class Engine:
         folder = None
         if fit and self.encoder == LATENT:
             chunks, folder = stored_table(chunks, "chunks"), str((self._generations() or [0])[-1] + 1)
-            LatentModel.fit(chunks).save(self.spark, f"{self.state}/latent/{folder}")
+            # As many directions as texts would only repeat the words; a direction for four texts at most makes them general.
+            LatentModel.fit(chunks, directions=min(DIRECTIONS, max(1, chunks.count() // 4))).save(self.spark, f"{self.state}/latent/{folder}")
             self._model = None
         return chunks.withColumn("vector", self._vector("text", folder))
 

@@ -249,6 +249,16 @@ def _encoder(file: str, id_bytes: int) -> TextEncoder:
     return TextEncoder(file, id_bytes)
 
 
+#: Bytes of text that a shard is made of, on average, however many partitions shuffles have.
+SHARD_BYTES = 1 << 30
+
+
+def shard_count(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """As many shards as shuffles have partitions, more where ``text`` would be over ``shard_bytes`` in one."""
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_bytes: int = 2, shards: int | None = None) -> DataFrame:
     """Encode ``docs`` (``doc_id, text``) and write shards below ``folder`` in ascending order of doc_id.
 
@@ -258,7 +268,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shard_count(rows)
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", "tie", F.spark_partition_id().alias("shard"))
     end = np.array([end_id], f"<u{id_bytes}").tobytes()
 

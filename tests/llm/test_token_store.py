@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.token_store import EliasFano, Shard, TextEncoder, token_store, write_bounds
+from tessera.llm.token_store import EliasFano, Shard, TextEncoder, read_tokens, shard_count, token_store, write_bounds, write_tokens
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -78,3 +78,21 @@ def test_round_trip_of_a_table(spark):
     got = sorted((r.start, r.n_tokens) for r in token_store(twice, FILE, 2).collect())
     sizes = [n for _, n in got]
     assert sorted(sizes) == [2, 3, 3] and [s for s, _ in got] == [0, sizes[0], sizes[0] + sizes[1]]
+
+
+def test_shards_are_bounded_whatever_the_partitions(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t) for _, t in rows)
+    assert shard_count(docs) == 8 and shard_count(docs.limit(0)) == 8
+    n = shard_count(docs, 1000)
+    assert n == -(-size // 1000) > 20
+    manifest = write_tokens(docs, f"file://{tmp_path}/shards", FILE, 2, shards=n).collect()
+    assert len(manifest) > 20 and sum(r.n_docs for r in manifest) == 300
+    plain, start, want = Tokenizer.from_file(FILE), 0, []
+    for i, text in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r)[:4] for r in read_tokens(spark, manifest).collect()) == want

@@ -1,13 +1,12 @@
-"""Index maintenance by snapshots: changed and deleted rows, replace by key, batch numbers under a memory bound."""
+"""Index maintenance by snapshots: changed and deleted rows, replace by key, totals of batches."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.names import spare
+from tessera.operators.batching import batch_numbers  # noqa: F401
 
 
 def changed(current: DataFrame, stored: DataFrame, key: str = "path", stamp: str = "mtime") -> DataFrame:
@@ -46,35 +45,6 @@ def metadata_stats(stored: DataFrame) -> DataFrame:
     return stored.agg(F.count("*").alias("total"), F.max("indexed_at").alias("last_indexed"))
 
 
-def batch_numbers(rows: DataFrame, size: str, limit: int, key: str = "part", order: str = "seq") -> DataFrame:
-    """``rows`` with ``batch_no``: within a part, in order, a new batch starts where the next row would pass ``limit`` bytes.
-
-    The sum starts anew with each batch, so the rows of a part, which is what one writer handles, stream through one
-    task in order, sorted and never gathered; ties go by size. Every row stays, with a null key (one part), a null size
-    (no bytes) or equal rows; a column ``batch_no`` that is there already is replaced.
-    """
-    rows = rows.drop("batch_no")
-    ordered = rows.repartition(key).sortWithinPartitions(key, order, size)
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch_no", T.IntegerType())])
-    at_key, at_size = rows.columns.index(key), rows.columns.index(size)
-
-    def run(batches):
-        part, used, batch_no, begun = None, 0, 0, False
-        for batch in batches:
-            numbers = []
-            for own, bytes_ in zip(batch.column(at_key).to_pylist(), batch.column(at_size).to_pylist()):
-                bytes_ = bytes_ or 0
-                if not begun or own != part:
-                    begun, part, used, batch_no = True, own, 0, 0
-                elif used > 0 and used + bytes_ > limit:
-                    used, batch_no = 0, batch_no + 1
-                used += bytes_
-                numbers.append(batch_no)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "batch_no"])
-
-    return ordered.mapInArrow(run, schema)
-
-
 def chunk_totals(batches: DataFrame) -> DataFrame:
     return batches.agg(F.count("*").alias("chunks"), F.coalesce(F.max("batch_no") + 1, F.lit(0)).alias("batches"))
 

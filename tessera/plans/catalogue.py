@@ -428,6 +428,12 @@ def memory_batches(spark, d):
     return incremental.batch_numbers(docs, "size", 20_000).select("part", "seq", F.col("batch_no").cast("long").alias("batch_no"))
 
 
+def memory_batches_one_part(spark, d):
+    """Batches of 50,000 characters of all documents as one part, in order of doc_id, numbered in 32 slabs."""
+    docs = _t(spark, d, "documents").select(F.lit("all").alias("part"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("size"))
+    return incremental.batch_numbers(docs, "size", 50_000, slabs=32).select("seq", F.col("batch_no").cast("long").alias("batch_no"))
+
+
 def log_take_while(spark, d):
     """The log by event_id up to the first event of the last two days."""
     log = _t(spark, d, "events")
@@ -661,6 +667,10 @@ SELECT *, CASE WHEN snake + camel + kebab = 0 THEN 'unknown' WHEN snake > camel
 r AS (SELECT part, seq, k, size AS used, 0::BIGINT AS batch_no FROM o WHERE k = 1
 UNION ALL SELECT o.part, o.seq, o.k, CASE WHEN r.used > 0 AND r.used + o.size > 20000 THEN o.size ELSE r.used + o.size END, r.batch_no + CASE WHEN r.used > 0 AND r.used + o.size > 20000 THEN 1 ELSE 0 END FROM r JOIN o ON o.part = r.part AND o.k = r.k + 1)
 SELECT part, seq, batch_no FROM r"""),
+    (memory_batches_one_part, """WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id AS seq, n_chars AS size, row_number() OVER (ORDER BY doc_id, n_chars) AS k FROM documents),
+r AS (SELECT seq, k, size AS used, 0::BIGINT AS batch_no FROM o WHERE k = 1
+UNION ALL SELECT o.seq, o.k, CASE WHEN r.used > 0 AND r.used + o.size > 50000 THEN o.size ELSE r.used + o.size END, r.batch_no + CASE WHEN r.used > 0 AND r.used + o.size > 50000 THEN 1 ELSE 0 END FROM r JOIN o ON o.k = r.k + 1)
+SELECT seq, batch_no FROM r"""),
     (log_take_while, """WITH c AS (SELECT max(ts) - INTERVAL 2 DAY AS cut FROM events), s AS (SELECT min(event_id) AS stop FROM events, c WHERE ts > cut)
 SELECT event_id FROM events, s WHERE stop IS NULL OR event_id < stop"""),
     (directory_tree, """WITH f AS (SELECT source, lang, n_chars FROM documents), e AS (

@@ -1,28 +1,21 @@
 """Definitions and branches of source texts in languages with braces, and of Ruby, without a parser.
 
-Comments and strings are blanked, brackets matched, and headers of definitions looked for where no bracket is open.
-This finds what a parser finds in texts that are formatted the usual way; a text in which nothing is found is split by
-characters, as one that does not parse.
+Comments and literals are blanked by a lexer, brackets matched, and headers of definitions looked for where no bracket is
+open; parameters of types and braces that belong to types are passed over. This finds what a parser finds in texts that
+are formatted the usual way; a text in which nothing is found is split by characters, as one that does not parse.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+from tessera.functions import lexer
+
 # Languages by extension; definitions at the top of a file, and of those the ones that are split into methods.
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust", ".rb": "ruby"}
 
-_COMMON = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?"
-_BLANKED = {
-    "javascript": _COMMON + r"|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?",
-    "java": r'"""(?:\\.|.)*?(?:"""|\Z)|' + _COMMON + r"|'(?:\\.|[^'\\\n])+'",
-    "go": _COMMON + r"|`[^`]*`?|'(?:\\.|[^'\\\n])+'",
-    "rust": r'\bb?r(?P<h>#*)".*?"(?P=h)|' + _COMMON + r"|'(?:\\[^\n']+|[^'\\\n])'",
-    "ruby": r"^=begin\b.*?^=end\b[^\n]*|#[^\n{][^\n]*|#$|\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?",
-}
-_BLANKED = {k: re.compile(v, re.S | re.M) for k, v in _BLANKED.items()}
-
 _MARKS = r"(?:@[\w.]+(?:\([^()]*\))?\s+)*"
 _JS_HEAD = _MARKS + r"(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:(?:async\s+)?(?P<function>function)\b\s*\*?\s*|(?:abstract\s+)?(?P<class>class)\s+|{more}(?(export)|(?!)))(?P<name>[\w$]*)"
 _HEADS = {
@@ -30,16 +23,18 @@ _HEADS = {
     "typescript": _JS_HEAD.replace("{more}", r"(?P<block>interface\s+)(?P<bare>)|(?P<line>type\s+(?=[\w$]))(?P<bare2>)|(?P<other>(?:(?:const\s+)?enum\s+|namespace\s+|(?:const|let|var)\s+)?)").replace(r"(?(export)|(?!))", r"(?:(?(bare)|(?(bare2)|(?(export)|(?!)))))"),
     "java": _MARKS + r"(?:(?:public|protected|private|abstract|final|static|sealed|non-sealed|strictfp)\s+)*(?:(?P<class>class)|(?P<block>interface|enum))\s+(?P<name>\w+)",
     "go": r"(?:(?P<function>func)\s*(?:\([^)]*\)\s*)?(?P<name>\w+)|(?P<line>type)\s+(?P<name2>\w*))",
-    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*(?P<function>fn)\s+(?P<name>\w+)|(?:unsafe\s+)?(?P<block>impl\b(?:\s*<[^{;]*?>)?\s*|(?:struct|enum|trait)\s+)(?P<name2>[\w:]*))",
+    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*(?P<function>fn)\s+(?P<name>\w+)|(?:unsafe\s+)?(?P<block>(?P<impl>impl\b)|(?:struct|enum|trait)\s+)(?P<name2>[\w:]*))",
 }
 _HEADS["tsx"] = _HEADS["typescript"]
 _HEADS = {k: re.compile(v) for k, v in _HEADS.items()}
 _METHODS = {
-    "javascript": re.compile(_MARKS + r"(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set|declare)\s+(?=[\w$#*\[]))*\*?\s*(?P<name>[\w$#]+)\s*\??\s*(?:<[^(){}]*>)?\s*(?=\()"),
+    "javascript": re.compile(_MARKS + r"(?:(?:public|private|protected|static|async|readonly|abstract|override|get|set|declare)\s+(?=[\w$#*\[]))*\*?\s*(?P<name>[\w$#]+)\s*\??\s*(?=[(<])"),
     "java": re.compile(_MARKS + r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>(){}]*>\s*)?(?:[\w.<>,\[\]?&]+(?:\s+[\w.<>,\[\]?&]+)*\s+)?(?P<name>\w+)\s*(?=\()"),
 }
-_OPENERS = re.compile(r"(?:^|[=(;])[ \t]*(class|module|def|if|unless|while|until|for|case|begin)\b|\bdo\b(?=[ \t]*(?:\|[^|\n]*\|)?[ \t]*$)", re.M)
-_CLOSERS = re.compile(r"(?:^|;)[ \t]*end\b", re.M)
+_RUBY_WORDS = re.compile(r"(?<![.\w@$:?!])(class|module|def|if|unless|while|until|for|case|begin|do|end)\b(?![?!]|:(?!:))")
+_ENDLESS = re.compile(r"def\s+(?:self\.)?\w+[?!]?\s*(?:\((?:[^()]|\([^()]*\))*\))?\s+=\s")
+# Words behind which a condition opens a block of its own; behind any other word it closes a statement.
+_RUBY_BEFORE = frozenset("then do else and or not when in begin ensure".split())
 
 
 def family(language: str) -> str:
@@ -47,8 +42,8 @@ def family(language: str) -> str:
 
 
 def blank(text: str, language: str) -> str:
-    """The text with comments and strings as spaces; line breaks and all positions stay."""
-    return _BLANKED[family(language)].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    """The text with comments and literals as spaces; line breaks and all positions stay."""
+    return lexer.blank(text, family(language))
 
 
 def matched(code: str) -> dict[int, int]:
@@ -86,6 +81,50 @@ def _until(code: str, pairs: dict[int, int], at: int, stops: str, upto: int) ->
     return upto
 
 
+def _past_types(code: str, pairs: dict[int, int], at: int, upto: int) -> int:
+    """Behind the angle brackets that open at ``at`` (blanks before them allowed); ``at`` if there are none or they stay open."""
+    start = at
+    while at < upto and code[at].isspace():
+        at += 1
+    if at >= upto or code[at] != "<":
+        return start
+    depth = 0
+    while at < upto:
+        if code[at] == "<":
+            depth += 1
+        elif code[at] == ">" and code[at - 1] not in "=-":
+            depth -= 1
+            if not depth:
+                return at + 1
+        elif code[at] == ";" or code[at] in ")]}":
+            return start
+        at = pairs[at] + 1 if at in pairs else at + 1
+    return start
+
+
+def _block(code: str, pairs: dict[int, int], at: int, stops: str) -> int:
+    """As ``_until``, with parameters of types passed over: for what a class extends."""
+    while True:
+        at = _until(code, pairs, at, stops + "<", len(code))
+        if at >= len(code) or code[at] != "<":
+            return at
+        at = max(_past_types(code, pairs, at, len(code)), at + 1)
+
+
+# Signs and words behind which a brace belongs to a type.
+_TYPE_BRACE = {"javascript": re.compile(r"(?:(?<![=!<>]):|[|&]|\bextends|\bis)\s*\Z"), "go": re.compile(r"\b(?:interface|struct)\s*\Z")}
+
+
+def _body(code: str, pairs: dict[int, int], at: int, stops: str, upto: int, language: str) -> int:
+    """As ``_until``, with braces of types passed over."""
+    of_type = _TYPE_BRACE.get(family(language))
+    while True:
+        stop = _until(code, pairs, at, stops, upto)
+        if stop >= upto or code[stop] != "{" or not of_type or not of_type.search(code, max(at, stop - 40), stop):
+            return stop
+        at = pairs[stop] + 1
+
+
 def _line_end(code: str, pairs: dict[int, int], at: int, upto: int) -> int:
     """Where a statement that needs no semicolon ends."""
     while True:
@@ -102,7 +141,7 @@ def definitions(text: str, language: str) -> list[Definition]:
     """Definitions at the top of a text in order; a body is given for classes that can be split into methods."""
     code = blank(text, language)
     if language == "ruby":
-        return _ruby(code)
+        return _ruby(code, text)
     pairs, out, at = matched(code), [], 0
     while at < len(code):
         if code[at].isspace():
@@ -117,7 +156,10 @@ def definitions(text: str, language: str) -> list[Definition]:
         name = found.get("name") or found.get("name2") or ""
         kind = "class" if found.get("class") else "function"
         if found.get("function") or found.get("class") or found.get("block"):
-            stop = _until(code, pairs, head.end(), "{;", len(code))
+            after = _past_types(code, pairs, head.end(), len(code))
+            if found.get("impl"):
+                name = re.compile(r"\s*([\w:]*)").match(code, after)[1]
+            stop = _block(code, pairs, after, "{;") if found.get("class") or found.get("block") else _body(code, pairs, after, "{;", len(code), language)
             body = (stop + 1, pairs[stop]) if stop < len(code) and code[stop] == "{" else None
             end = min(len(code), pairs[stop] + 1 if body else stop + 1)
         else:
@@ -136,10 +178,13 @@ def methods(text: str, language: str, body: tuple[int, int]) -> list[Definition]
             at += 1
             continue
         head = _METHODS[family(language)].match(code, at, upto)
+        opened = _past_types(code, pairs, head.end(), upto) if head else upto
         end = None
-        if head:
-            after = pairs.get(head.end(), upto) + 1
-            stop = _until(code, pairs, after, "{;=\n" if family(language) == "javascript" else "{;=", upto)
+        while opened < upto and code[opened].isspace():
+            opened += 1
+        if head and opened < upto and code[opened] == "(":
+            after = pairs.get(opened, upto) + 1
+            stop = _body(code, pairs, after, "{;=\n" if family(language) == "javascript" else "{;=", upto, language)
             if stop < upto and code[stop] == "\n" and code[stop:upto].lstrip()[:1] == "{":
                 stop += len(code[stop:upto]) - len(code[stop:upto].lstrip())
             if stop < upto and code[stop] == "{":
@@ -155,22 +200,43 @@ def methods(text: str, language: str, body: tuple[int, int]) -> list[Definition]
     return out
 
 
-def _ruby_ends(code: str) -> list[tuple[str, int, int, int]]:
-    """(keyword, start, end, depth) of blocks that end closes."""
-    marks = [(m.start(m.lastindex or 0), m[1] or "do", m.end()) for m in _OPENERS.finditer(code)] + [(m.start(), "end", m.end()) for m in _CLOSERS.finditer(code)]
-    open_, out = [], []
-    for at, word, end in sorted(marks):
-        if word != "end":
+def _ruby_trailing(code: str, text: str, at: int) -> bool:
+    """Whether a condition at ``at`` follows a statement on its line, and so has no end of its own."""
+    before = text[text.rfind("\n", 0, at) + 1 : at].rstrip()
+    if not before:
+        return False
+    last = code[at - len(text[text.rfind("\n", 0, at) + 1 : at]) + len(before) - 1]
+    if last.isspace():  # a literal
+        return True
+    word = re.search(r"[\w?!]+\Z", before)
+    return word[0] not in _RUBY_BEFORE if word else last in ")]}"
+
+
+def _ruby_ends(code: str, text: str) -> list[tuple[str, int, int, int]]:
+    """(keyword, start, end, depth) of blocks that end closes, and of methods without one."""
+    open_, out, loop = [], [], -1
+    for m in _RUBY_WORDS.finditer(code):
+        word, at = m[1], m.start()
+        if re.search(r"\bdef\s\Z", code[max(0, at - 5) : at]):
+            continue
+        if word == "end":
+            if open_:
+                opened, start = open_.pop()
+                out.append((opened, start, m.end(), len(open_)))
+        elif word == "def" and _ENDLESS.match(code, at):
+            nl = code.find("\n", at)
+            out.append((word, at, nl if nl >= 0 else len(code), len(open_)))
+        elif word == "do" and loop >= 0 and code.find("\n", loop, at) < 0:
+            loop = -1
+        elif word not in ("if", "unless", "while", "until") or not _ruby_trailing(code, text, at):
             open_.append((word, at))
-        elif open_:
-            word, start = open_.pop()
-            out.append((word, start, end, len(open_)))
+            loop = at if word in ("while", "until", "for") else loop
     return sorted(out, key=lambda x: x[1])
 
 
-def _ruby(code: str) -> list[Definition]:
+def _ruby(code: str, text: str) -> list[Definition]:
     out = []
-    for word, start, end, depth in _ruby_ends(code):
+    for word, start, end, depth in _ruby_ends(code, text):
         if depth == 0 and word in ("def", "class", "module"):
             name = re.compile(r"\w+\s+(?:self\.)?([\w:]+[?!=]?)").match(code, start)
             out.append(Definition("function", name[1] if name else "", start, end))
@@ -188,12 +254,12 @@ _BRANCH = {
     "java": re.compile(r"\b(?:if|for|while|case|default(?=\s*(?:->|:))|catch)\b"),
     "go": re.compile(r"\b(?:if|for|select|case)\b|\.\(\s*type\s*\)"),
     "rust": re.compile(r"\b(?:if(?![^{};]*=>)|for(?!\s*<)|while|loop)\b|=>"),
-    "ruby": re.compile(r"(?:^|[=(;])[ \t]*(?:if|unless|while|until|for)\b|^[ \t]*(?:elsif|rescue|when)\b", re.M),
+    "ruby": re.compile(r"^[ \t]*(?:elsif|rescue|when)\b", re.M),
 }
 
 
 def branches(code: str, language: str) -> int:
-    """Branches in blanked code."""
+    """Branches in blanked code (of Ruby those that open no block)."""
     n = len(_BRANCH[family(language)].findall(code))
     if language == "go":  # what a select waits for is no case of its own
         pairs = matched(code)
@@ -205,38 +271,47 @@ def branches(code: str, language: str) -> int:
 def functions(text: str, language: str) -> list[tuple[str, int, int]]:
     """(name, line, 1 + branches) of the outermost functions and methods, most complex first."""
     code = blank(text, language)
-    pairs, spans = matched(code), []
+    pairs, spans, forks = matched(code), [], []
+    opens = {b: a for a, b in pairs.items()}
     if language == "ruby":
-        spans = [(s, e, re.compile(r"def\s+(?:self\.)?([\w]+[?!=]?)").match(code, s)) for w, s, e, _ in _ruby_ends(code) if w == "def"]
+        blocks = _ruby_ends(code, text)
+        forks = [s for w, s, _, _ in blocks if w in ("if", "unless", "while", "until", "for")]
+        spans = [(s, e, re.compile(r"def\s+(?:self\.)?([\w]+[?!=]?)").match(code, s)) for w, s, e, _ in blocks if w == "def"]
         spans = [(s, e, m[1] if m else "") for s, e, m in spans]
     else:
         for m in _FUNCTION[family(language)].finditer(code):
             found = m.groupdict()
             if found.get("class"):
-                stop = _until(code, pairs, m.end(), "{;)", len(code))
+                named = re.compile(r"\s*[\w$]*").match(code, m.end())
+                stop = _block(code, pairs, named.end(), "{;)")
                 if stop < len(code) and code[stop] == "{" and family(language) in _METHODS:
                     spans += [(d.start, d.end, d.name) for d in methods(text, language, (stop + 1, pairs[stop]))]
             elif found.get("arrow"):
-                start = _arrow_start(code, pairs, m.start())
+                start = _arrow_start(code, opens, m.start())
                 after = m.end() + len(code[m.end() :]) - len(code[m.end() :].lstrip())
                 end = pairs[after] + 1 if after < len(code) and code[after] == "{" and after in pairs else _until(code, pairs, after, ",;)]}\n", len(code))
-                named = re.search(r"([\w$]+)\s*(?::[^=]*)?=\s*(?:async\s*)?$", code[max(0, start - 120) : start])
+                named = re.search(r"([\w$]+)\s*(?::[^=;{}]*)?=\s*(?:async\s*)?$", code[max(0, start - 120) : start])
                 spans.append((start, end, named[1] if named else text[start : start + 40].split("\n")[0].strip()))
             else:
-                stop = _until(code, pairs, m.end(), "{;", len(code))
+                stop = _body(code, pairs, _past_types(code, pairs, m.end(), len(code)), "{;", len(code), language)
                 if stop < len(code) and code[stop] == "{":
                     spans.append((m.start(), pairs[stop] + 1, found.get("name") or ""))
     out, upto = [], -1
     for start, end, name in sorted(spans, key=lambda x: (x[0], -x[1])):
         if start >= upto:
-            out.append((name, text.count("\n", 0, start) + 1, 1 + branches(code[start:end], language)))
+            out.append((name, text.count("\n", 0, start) + 1, 1 + branches(code[start:end], language) + bisect_left(forks, end) - bisect_left(forks, start)))
             upto = end
     return sorted(out, key=lambda x: -x[2])
 
 
-def _arrow_start(code: str, pairs: dict[int, int], arrow: int) -> int:
-    head = code[:arrow].rstrip()
-    if head.endswith(")"):
-        return next((a for a, b in pairs.items() if b == len(head) - 1), arrow)
-    name = re.search(r"[\w$]+$", head)
-    return name.start() if name else arrow
+def _arrow_start(code: str, opens: dict[int, int], arrow: int) -> int:
+    """Where the parameters before an arrow begin; ``opens`` leads from closing brackets back."""
+    at = arrow
+    while at > 0 and code[at - 1].isspace():
+        at -= 1
+    if code[at - 1 : at] == ")":
+        return opens.get(at - 1, arrow)
+    start = at
+    while start > 0 and (code[start - 1].isalnum() or code[start - 1] in "_$"):
+        start -= 1
+    return start if start < at else arrow

@@ -417,6 +417,20 @@ def complexity_python(spark, d):
     return function_complexity(files[0].unionByName(files[1]))
 
 
+def definition_chunks(spark, d):
+    """Chunks of files made for each part in four languages, with braces, keywords and quotes in nested literals."""
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_size") % 9 + 1).cast("int")
+    methods = F.concat_ws("", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("  m"), i.cast("string"), F.lit('() { return /[}"]/.test(`${ { a: "}" } }{`); }\n'))))
+    texts = {
+        "js": F.concat(F.lit("const t"), k, F.lit(" = `a ${ [1].map((x) => { return `}{`; }) } {`;\nclass C"), k, F.lit(" {\n"), methods, F.lit("}\n")),
+        "go": F.concat(F.lit("package p\nfunc F"), k, F.lit("(a interface{}) map[string]struct{} { s := `}{`; return nil }\n")),
+        "rb": F.concat(F.lit("class C"), k, F.lit("\n  X = <<~A\n    def no\n  A\nend\ndef f"), k, F.lit('(a) = "#{a ? "end" : "}"}"\n')),
+        "py": F.concat(F.lit("import os\n@a\ndef f"), k, F.lit('():\n    return "def no():"\n')),
+    }
+    files = F.explode(F.array(*[F.struct(F.concat(k, F.lit("." + e)).alias("path"), t.alias("content")) for e, t in texts.items()])).alias("f")
+    return chunk_texts(_t(spark, d, "part").select(files).select("f.*")).select("source", "symbol_type", "symbol_name", "class_name", "line_start", "line_end", "text")
+
+
 def naming_styles(spark, d):
     """Style of part names with blanks as underscores: one row of counts."""
     return stats.naming_style(_t(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("path")))
@@ -719,6 +733,17 @@ SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, coalesce(role,
     (repository_changes, """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 l AS (SELECT *, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS before, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS k FROM c)
 SELECT 'conversation ' || conv_id || ' turn ' || turn AS message, conv_id || '/' || role || '.txt' AS path, CASE WHEN k = 1 THEN 'A' ELSE 'M' END AS status FROM l WHERE k = 1 OR before <> text"""),
+    (definition_chunks, """WITH p AS (SELECT p_partkey::VARCHAR AS k, CAST(p_size % 9 + 1 AS INTEGER) AS n FROM part), m AS (SELECT k, unnest(range(1, n + 1))::INTEGER AS i FROM p),
+c(source, symbol_type, symbol_name, class_name, line_start, line_end, text) AS (
+SELECT k || '.js', 'function', 't' || k, '', 1, 1, 'const t' || k || ' = `a ${ [1].map((x) => { return `}{`; }) } {`;' FROM p
+UNION ALL SELECT k || '.js', 'method', 'm' || i, 'C' || k, 2 + i, 2 + i, '# Class: C' || k || chr(10) || 'm' || i || '() { return /[}"]/.test(`${ { a: "}" } }{`); }' FROM m
+UNION ALL SELECT k || '.go', 'function', 'F' || k, '', 2, 2, 'func F' || k || '(a interface{}) map[string]struct{} { s := `}{`; return nil }' FROM p
+UNION ALL SELECT k || '.go', 'module', 'module_level', '', 1, 3, 'package p' FROM p
+UNION ALL SELECT k || '.rb', 'function', 'C' || k, '', 1, 5, 'class C' || k || chr(10) || '  X = <<~A' || chr(10) || '    def no' || chr(10) || '  A' || chr(10) || 'end' FROM p
+UNION ALL SELECT k || '.rb', 'function', 'f' || k, '', 6, 6, 'def f' || k || '(a) = "#{a ? "end" : "}"}"' FROM p
+UNION ALL SELECT k || '.py', 'function', 'f' || k, '', 2, 4, '@a' || chr(10) || 'def f' || k || '():' || chr(10) || '    return "def no():"' FROM p
+UNION ALL SELECT k || '.py', 'module', 'module_level', '', 1, 5, 'import os' FROM p)
+SELECT source, symbol_type, symbol_name, class_name, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, text FROM c"""),
     (chunk_fixed, None),
     (latent_topics, None),
 ]

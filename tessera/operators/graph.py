@@ -13,6 +13,11 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src is not null and dst is not null and src <> dst").distinct()
 
 
+def _dealt(edges: DataFrame, by: str) -> DataFrame:
+    """A table of ``edges`` that is dealt by ``by`` once: the joins of all rounds on that column don't move it again."""
+    return cut_lineage(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), by))
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 2, direction: str = "downstream") -> DataFrame:
     """``origin, node, depth``: least number of steps from each origin (``starts(node)``), origins left out.
 
@@ -23,7 +28,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 2, direction:
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction must be downstream or upstream")
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    step = cut_lineage(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).dropna().distinct())
+    step = _dealt(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).dropna().distinct(), "node")
     front = cut_lineage(starts.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0)))
     known, level = front, 0
     while depth is None or level < depth:
@@ -119,6 +124,18 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _greatest(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """``node, colour`` of all nodes that a colour reaches along ``edges(src, dst)``: the greatest of these, its own among them."""
+    step = _dealt(edges.select("src", "dst"), "src")
+    colour = front = cut_lineage(colours)
+    while not front.isEmpty():
+        sent = front.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        merged = colour.join(sent, "node", "full").select("node", F.greatest("colour", "sent").alias("colour"), F.coalesce(F.col("sent") > F.col("colour"), F.col("colour").isNull()).alias("new"))
+        merged = cut_lineage(merged.select("node", "colour", F.coalesce("new", F.lit(False)).alias("new")))
+        colour, front = merged.select("node", "colour"), merged.filter("new").select("node", "colour")
+    return colour
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component``: nodes that reach each other share the greatest node among them; all others are their own.
 
@@ -129,11 +146,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(distinct_edges(edges))
     left, found = _trimmed(edges), edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     while not left.isEmpty():
-        colour = front = cut_lineage(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
-        while not front.isEmpty():
-            sent = front.join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
-            merged = cut_lineage(colour.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("new")))
-            colour, front = merged.select("node", "colour"), merged.filter("new").select("node", "colour")
+        colour = _greatest(left, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
         a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
         within = left.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
         roots = colour.filter("node = colour").select("node")
@@ -171,23 +184,60 @@ def _sketched(between: DataFrame, member: DataFrame) -> DataFrame:
     return member.select("component").distinct().withColumn("reached", F.lit(1)) if done is None else done
 
 
+def _above(between: DataFrame, size: DataFrame) -> DataFrame:
+    """``component, above``: nodes in all components that reach each one along ``between(src, dst)``, which has no cycles.
+
+    In every weakly connected part the greatest cycle is its hub, if there is one. What the hub reaches has all that
+    reaches the hub above it, which is counted once, as a number; its other ancestors are gathered where the hub and
+    what is above it are taken out. What the hub doesn't reach has no ancestors among what it reaches, and those are taken out.
+    So no pair is gathered of one component above a hub and another below it.
+    """
+    rank = F.struct("size", "component")
+    seeds = size.filter("size > 1").select(F.col("component").alias("node"), rank.alias("colour"))
+    ways = between.select("src", "dst")
+    part = _greatest(ways.union(ways.select("dst", "src")), seeds)
+    hubs = cut_lineage(part.filter("node = colour.component").select("node"))
+    tagged = lambda tag, c: F.struct(F.lit(tag).alias("side"), F.col(c).alias("node"))
+    side = lambda df, tag: df.select(tagged(tag, "src").alias("src"), tagged(tag, "dst").alias("dst"))
+    both = side(ways, 0).union(side(ways.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 1))
+    starts = hubs.select(tagged(0, "node").alias("node")).union(hubs.select(tagged(1, "node").alias("node")))
+    around = cut_lineage(reach(both, starts, None, "upstream").select("node.side", F.col("origin.node").alias("hub"), F.col("node.node").alias("component")))
+    up, down = around.filter("side = 0").select("hub", "component"), around.filter("side = 1").select("hub", "component")
+    over = cut_lineage(up.join(size, "component").groupBy("hub").agg(F.sum("size").alias("over")))
+
+    names = lambda df, c: df.select(F.col("component").alias(c))
+    without = lambda df, gone: df.join(names(gone, "src"), "src", "left_anti").join(names(gone, "dst"), "dst", "left_anti")
+    hub = hubs.select(F.col("node").alias("component"))
+    rest = side(without(ways, names(down, "component").union(hub)), 0).union(side(without(ways, names(up, "component").union(hub)), 1))
+    rest = cut_lineage(rest)
+    origins = rest.select(F.col("dst").alias("node")).distinct()
+    below = names(down, "component").withColumn("below", F.lit(1))
+    origins = origins.join(below, F.col("node.node") == F.col("component"), "left").filter("node.side = coalesce(below, 0)").select("node")
+    near = reach(rest, origins, None, "upstream").select(F.col("origin.node").alias("component"), F.col("node.node").alias("other"))
+    near = near.join(size.select(F.col("component").alias("other"), "size"), "other").groupBy("component").agg(F.sum("size").alias("near"))
+    whole = size.select(F.col("component").alias("hub"), "size").join(hubs.select(F.col("node").alias("hub")), "hub").join(over, "hub", "left")
+    whole = whole.select("hub", F.coalesce("over", F.lit(0)).alias("over"), (F.coalesce("over", F.lit(0)) + F.col("size")).alias("with_hub"))
+    far = down.join(whole, "hub").select("component", F.col("with_hub").alias("far")).union(whole.select("hub", "over"))
+    out = size.select("component").join(near, "component", "left").join(far, "component", "left")
+    return out.select("component", (F.coalesce("near", F.lit(0)) + F.coalesce("far", F.lit(0))).alias("above"))
+
+
 def impact_of_all(edges: DataFrame, exact: bool = True) -> DataFrame:
     """``node, direct, total, level`` of every node of ``edges``: ``change_impact`` of them all at once.
 
-    Nodes of a cycle have the same dependents, so strong components are found first, and only the pairs of components
-    between which there is a way are gathered; a cycle of any size is one row of them. These pairs can still grow with
-    the square of what is in no cycle; with ``exact`` False a sketch for each component takes their place, and totals
-    are off by some 1.6 % (standard error). Null ends and edges of a node to itself don't count; no edges, no rows.
+    Nodes of a cycle have the same dependents, so strong components are found first; what lies above the greatest cycle
+    of a part counts once for all that lies below it, and only the other pairs of components between which there is a
+    way are gathered. These can still grow with the square of what no such cycle divides; with ``exact`` False a sketch
+    for each component takes their place, and totals are off by some 1.6 % (standard error). Null ends and edges of a
+    node to itself don't count; no edges, no rows.
     """
     edges = cut_lineage(distinct_edges(edges))
     member = cut_lineage(strong_components(edges))
     a, b = member.toDF("src", "a"), member.toDF("dst", "b")
     between = cut_lineage(edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-    size = member.groupBy("component").agg(F.count("*").alias("size"))
+    size = cut_lineage(member.groupBy("component").agg(F.count("*").alias("size")))
     if exact:
-        above = reach(between, size.select(F.col("component").alias("node")), None, "upstream")
-        above = above.join(size, F.col("node") == F.col("component")).groupBy(F.col("origin").alias("component")).agg(F.sum("size").alias("above"))
-        reached = size.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.col("size")).alias("reached"))
+        reached = size.join(_above(between, size), "component").select("component", (F.col("above") + F.col("size")).alias("reached"))
     else:
         reached = _sketched(between, member)
     direct = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("direct"))

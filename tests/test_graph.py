@@ -118,3 +118,26 @@ def test_impact_of_all_without_edges(spark):
     for exact in (True, False):
         assert graph.impact_of_all(none, exact).count() == 0
     assert graph.strong_components(none).count() == 0
+
+
+def test_impact_of_all_gathers_no_pairs_across_a_cycle(spark, monkeypatch):
+    """150 nodes above a cycle and 150 below it, twice, with ways past the cycles: pairs from above to below stay a number."""
+    rng = random.Random(7)
+    pairs = []
+    for at in (0, 1000):
+        pairs += [(at + 500 + i, at + 500 + (i + 1) % 5) for i in range(5)]
+        pairs += [(at + i, at + 500) for i in range(150)] + [(at + 501, at + 600 + i) for i in range(150)]
+        pairs += [(at + rng.randrange(0, 150), at + 600 + rng.randrange(0, 150)) for _ in range(20)]
+        pairs += [(at + 800 + i, at + 600 + 3 * i) for i in range(20)] + [(at + 3 * i, at + 850 + i) for i in range(20)] + [(at + 850, at + 801), (at + 900, at + 850)]
+    want = _plain_impact(pairs)
+    gathered, plain = [], graph.reach
+
+    def counted(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        gathered.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "reach", counted)
+    got = {r.node: (r.direct, r.total) for r in graph.impact_of_all(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {n: (d, t) for n, (d, t, _) in want.items()}
+    assert sum(gathered) < 2000  # of 2 x 150 x 150

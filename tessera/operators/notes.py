@@ -48,7 +48,7 @@ def unmentioned(entries: DataFrame, texts: DataFrame, token: str, text: str = "t
 
     A null token is in no text, and an empty one in every text that is not null.
     """
-    found = held_strings(texts.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", F.col("t"), entries.select(F.col(token).cast("string"))).select("string").distinct()
+    found = held_strings(texts.select(F.lit(0).alias("k"), F.col(text).alias("t")), "k", F.col("t"), entries.select(F.col(token).cast("string")), once=True).select("string")
     if not texts.filter(F.col(text).isNotNull()).isEmpty():
         found = found.unionAll(entries.sparkSession.range(1).select(F.lit("").alias("string")))
     return entries.join(found, entries[token].cast("string") == found["string"], "left_anti")

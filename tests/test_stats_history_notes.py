@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,22 @@ def test_held_strings_against_brute_force(spark, monkeypatch, slab, bits, few):
     got = contain.held_strings(spark.createDataFrame(rows, "k int, t string"), "k", F.col("t"), asked)
     want = sorted(((k, s) for k, t in rows if t is not None for s in strings if s and s in t), key=repr)
     assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) > 500
+
+
+def test_strings_that_share_their_grams_are_not_candidates_of_each_other(spark):
+    """30,000 numbers of seven digits that begin alike: a text meets those that it holds, not all that share a gram with it."""
+    from tessera.operators import contain
+
+    numbers = [str(1_200_000 + i) for i in range(0, 60_000, 2)]
+    text = " ".join(f"12{i:05d}" for i in range(0, 3000, 3))
+    words = np.zeros(1 << 14, np.uint64)
+    for batch in contain._whole_bits((1 << 20) - 1)([pa.RecordBatch.from_arrays([pa.array(numbers)], names=["s"])]):
+        np.bitwise_or.at(words, batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64))
+    held = {n for n in numbers if n in text}
+    handed = [s for found in contain._pieces(text, words, [7]) for s in found]
+    assert held <= set(handed) and len(handed) == len(set(handed)) < 1.2 * len(held)
+    rows = spark.createDataFrame([(1, text), (1, text), (2, "12")], "k int, t string")
+    asked = spark.createDataFrame([(n,) for n in numbers], "s string")
+    for once in (False, True):
+        got = [r.string for r in contain.held_strings(rows, "k", F.col("t"), asked, once=once).collect()]
+        assert sorted(got) == sorted([*held] * (1 if once else 2))

@@ -29,6 +29,8 @@ QUERY = "the and of"
 QUERIES = [(1, "the and of"), (2, "exception error handling that"), (3, "test with das der")]
 SELF = 7
 TOP = 10
+#: Tasks a core that small rows are dealt to before large texts are made of them.
+SPREAD = 4
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -420,6 +422,8 @@ def complexity_python(spark, d):
 def definition_chunks(spark, d):
     """Chunks of files made for each part in four languages, with braces, keywords and quotes in nested literals."""
     k, n = F.col("p_partkey").cast("string"), (F.col("p_size") % 9 + 1).cast("int")
+    # A few row groups hold all parts; the texts made of them are worth many tasks.
+    parts = _t(spark, d, "part").select("p_partkey", "p_size").repartition(SPREAD * spark.sparkContext.defaultParallelism)
     methods = F.concat_ws("", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("  m"), i.cast("string"), F.lit('() { return /[}"]/.test(`${ { a: "}" } }{`); }\n'))))
     texts = {
         "js": F.concat(F.lit("const t"), k, F.lit(" = `a ${ [1].map((x) => { return `}{`; }) } {`;\nclass C"), k, F.lit(" {\n"), methods, F.lit("}\n")),
@@ -428,7 +432,7 @@ def definition_chunks(spark, d):
         "py": F.concat(F.lit("import os\n@a\ndef f"), k, F.lit('():\n    return "def no():"\n')),
     }
     files = F.explode(F.array(*[F.struct(F.concat(k, F.lit("." + e)).alias("path"), t.alias("content")) for e, t in texts.items()])).alias("f")
-    return chunk_texts(_t(spark, d, "part").select(files).select("f.*")).select("source", "symbol_type", "symbol_name", "class_name", "line_start", "line_end", "text")
+    return chunk_texts(parts.select(files).select("f.*")).select("source", "symbol_type", "symbol_name", "class_name", "line_start", "line_end", "text")
 
 
 def naming_styles(spark, d):

@@ -152,3 +152,22 @@ def test_any_text_has_a_result(language):
 def test_deep_nesting_and_long_texts():
     assert len(blank('"#{' * 3000, "ruby")) == 9000 and len(blank("`${" * 20000 + "}`" * 20000, "javascript")) == 100000
     assert [d.name for d in definitions("var x = `${`${`{`}`}`;\n" * 2000 + "function f() { }\n", "javascript")] == ["f"]
+
+
+def test_a_text_with_classes_is_read_once(monkeypatch):
+    from tessera.functions import lexer, outline
+    from tessera.operators.chunks import chunk_file
+
+    read, plain = [], lexer.blank
+    monkeypatch.setattr(lexer, "blank", lambda *a: read.append(a) or plain(*a))
+    code = "class A {\n  m() { return `}{`; }\n}\nclass B {\n  n() { return 1; }\n}\n"
+    outline._read.cache_clear()
+    assert [r[4] for r in chunk_file("a.js", code)] == ["m", "n"] and len(read) == 1
+
+
+def test_parts_in_few_row_groups_are_many_tasks(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.range(200).selectExpr("id p_partkey", "cast(id % 50 as int) p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = catalogue.definition_chunks(spark, str(tmp_path))
+    assert made.select("source").distinct().count() == 800 and made.rdd.getNumPartitions() > 1

@@ -108,3 +108,16 @@ def test_damaged_texts(language):
             if d.body:
                 assert all(m.start <= m.end for m in methods(text, language, d.body))
         assert all(n >= 1 for _, _, n in functions(text, language))
+
+
+def test_chunks_are_handed_on_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import chunks
+
+    texts = ["word " * n for n in (0, 10, 4000, 1, 9000)] * 60 + [None, " "]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["path", "content"])
+    monkeypatch.setattr(chunks, "HELD", 20_000)
+    made = list(chunks._rows(batch, 1500, 150))
+    assert max(sum(len(r[1]) + 100 for r in rows) for rows in made) <= 20_000 + 1600 and len(made) > 100
+    assert [r for rows in made for r in rows] == [r for i, t in enumerate(texts) if t and t.strip() for r in chunks.chunk_file(str(i), t)]

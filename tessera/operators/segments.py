@@ -36,8 +36,14 @@ _TERMS = "term string, df long"
 
 
 def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, dl, terms, tfs`` of each document."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).dropDuplicates(["id"])
+    """``id, dl, terms, tfs`` of each document; of rows that share an id one stays, and only these are moved for that."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    more = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("again"))
+    if not more.isEmpty():
+        again = stored(more, "again")
+        same = docs["id"].eqNullSafe(again["again"])
+        docs = docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["id"]))
+    rows = docs.select("id", tokens(F.col("text")).alias("words"))
 
     def run(batches):
         for batch in batches:
@@ -69,8 +75,8 @@ def blocked(forward: DataFrame) -> DataFrame:
                 yield _one_block(part, first + number)
                 number += 1
 
-    dealt = forward.repartitionByRange("dl", "id").sortWithinPartitions("dl", "id")
-    made = dealt.mapInArrow(run, _blocks(kind))
+    # Lengths are similar within a task's part of the table: rows of terms are larger than what blocks hold, and stay.
+    made = forward.sortWithinPartitions("dl", "id").mapInArrow(run, _blocks(kind))
     # A frequent term's blocks go to several tasks, a thousand of them to one.
     return made.repartition("term", F.shiftright("block", 10)).sortWithinPartitions("term", "block")
 
@@ -174,7 +180,7 @@ class SegmentedIndex(Changes):
         at = f"{self.root}/base-{number}"
         if not number or self._folders()[0][1] == at:
             return number
-        self.documents().repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
+        self.documents().sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
         docs = self.spark.read.schema(_forward(self.kind)).parquet(f"{at}/forward")
         blocked(docs).write.mode("overwrite").parquet(f"{at}/blocks")
         self._all("terms", _TERMS).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").write.mode("overwrite").parquet(f"{at}/terms")

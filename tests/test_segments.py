@@ -108,3 +108,13 @@ def test_small_changes_write_little_and_searches_skip_blocks(spark, tmp_path, mo
     assert rows(index.search(queries, 5)) == rows(Bm25Index.build(table(spark, state)).search(queries, 5))
     plan = index.search(queries, 5)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term" in plan
+
+
+def test_words_of_documents_are_not_moved_where_no_id_repeats(spark):
+    from tessera.operators import segments
+
+    docs = spark.createDataFrame([(i, f"a b{i} a") for i in range(50)] + [(None, "c")], "id long, text string")
+    plain = segments.counted(docs, "id", "text")
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString() and plain.count() == 51
+    twice = segments.counted(docs.union(docs.filter("id < 5 or id is null")), "id", "text")
+    assert sorted(map(repr, twice.select("id", "dl").collect())) == sorted(map(repr, plain.select("id", "dl").collect()))

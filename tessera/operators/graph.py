@@ -41,6 +41,14 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 2, direction:
     return known.filter("depth > 0")
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``: what is one step up or down from any of ``nodes(node)``, these left out, by one pass over ``edges``."""
+    ways = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("node"))
+    both = edges.select(F.explode(F.array(ways("src", "dst"), ways("dst", "src"))).alias("way")).select("way.at", "way.node").dropna()
+    own = nodes.select(F.col("node").alias("at"))
+    return both.join(own, "at", "left_semi").select("node").distinct().join(nodes, "node", "left_anti")
+
+
 def shortest_path(edges: DataFrame, start, end, max_depth: int = 10) -> DataFrame:
     """One row ``path, length``: a shortest path of at most ``max_depth`` edges; of equal ones the smallest by nodes; no row if there is none."""
     spark = edges.sparkSession

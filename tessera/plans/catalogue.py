@@ -160,11 +160,15 @@ def latent_topics(spark, d):
     return vectors.select("lang", strongest.alias("direction")).groupBy("lang", "direction").agg(F.count("*").alias("n"))
 
 
-def _edges(spark, d):
-    line = _t(spark, d, "lineitem")
+def _steps(line):
+    """Edges that the lines of whole orders make, repeated ones among them."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     both = line.select("l_returnflag", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.lead("l_returnflag").over(w).alias("next"))
-    return graph.distinct_edges(both.filter("l_returnflag = 'R' and next = 'R'"))
+    return both.filter("l_returnflag = 'R' and next = 'R'").select("src", "dst")
+
+
+def _edges(spark, d):
+    return graph.distinct_edges(_steps(_t(spark, d, "lineitem")))
 
 
 def _graph(spark, d):
@@ -242,11 +246,14 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node HAVING min
 
 
 def search_with_neighbours(spark, d):
-    """The five best documents as nodes of the graph, and what is one step up or down from them, the first 20 by id."""
-    edges = _graph(spark, d)
-    best = _hits(spark, d, 5).select(F.col("id").alias("node"))
-    around = graph.reach(edges, best, 1, "downstream").select("node").union(graph.reach(edges, best, 1, "upstream").select("node")).distinct()
-    return around.join(best, "node", "left_anti").orderBy("node").limit(20)
+    """The five best documents as nodes of the graph, and what is one step up or down from them, the first 20 by id.
+
+    The search runs once. An edge at a hit comes from an order with a line of it, so only the lines of such orders are sorted.
+    """
+    best = stored(_hits(spark, d, 5).select(F.col("id").alias("node")), "best")
+    line = _t(spark, d, "lineitem")
+    orders = stored(line.join(best, F.col("l_partkey") == F.col("node"), "left_semi").select("l_orderkey").distinct(), "orders")
+    return graph.neighbours(_steps(line.join(orders, "l_orderkey", "left_semi")), best).orderBy("node").limit(20)
 
 
 def graph_shortest_path(spark, d):

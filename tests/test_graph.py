@@ -141,3 +141,29 @@ def test_impact_of_all_gathers_no_pairs_across_a_cycle(spark, monkeypatch):
     got = {r.node: (r.direct, r.total) for r in graph.impact_of_all(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {n: (d, t) for n, (d, t, _) in want.items()}
     assert sum(gathered) < 2000  # of 2 x 150 x 150
+
+
+def test_neighbours(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (4, 4), (4, 5), (5, 1), (6, 7), (None, 1), (1, None)], "src long, dst long")
+    at = lambda *n: spark.createDataFrame([(x,) for x in n], "node long")
+    found = lambda *n: sorted(r.node for r in graph.neighbours(df, at(*n)).collect())
+    assert found(1) == [2, 3, 5] and found(1, 4) == [2, 3, 5] and found(4, 4, None) == [5] and found(9) == []
+
+
+def test_search_with_neighbours_searches_once(spark, monkeypatch):
+    """The hits are a table of their own, and no table of all edges is made."""
+    from tessera.plans import catalogue
+
+    kept, plain = [], catalogue.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(catalogue, "stored", counted)
+    line = spark.createDataFrame([(o, n, p, 1, "1995-01-01", "R") for o in range(200) for n, p in enumerate((o % 50, o % 50 + 100, o % 50 + 200))], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_shipdate string, l_returnflag string")
+    monkeypatch.setattr(catalogue, "_t", lambda s, d, name: line)
+    monkeypatch.setattr(catalogue, "_hits", lambda s, d, n: s.createDataFrame([(7,), (120,)], "id long"))
+    assert [r.node for r in catalogue.search_with_neighbours(spark, "").collect()] == [20, 107, 220]
+    assert kept == [("best", 2), ("orders", 8)]

@@ -111,13 +111,42 @@ def impact_level(count: Column) -> Column:
     return F.when(count >= 10, "CRITICAL").when(count >= 5, "HIGH").when(count >= 2, "MEDIUM").when(count >= 1, "LOW").otherwise("MINIMAL")
 
 
+#: Origins that share a row for each node they are reached from, a bit each.
+ORIGINS = 63
+
+
+def _counted_above(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``origin, total``: how many other nodes reach each of ``starts(node)``.
+
+    Origins are dealt to parts by hash and have a bit each there. What is known is a row for each part and node, with the
+    bits of the origins it reaches, and only bits that are new go on, so nodes that reach many origins cost little more.
+    """
+    parts = -(-max(1, starts.count()) // (ORIGINS // 2))
+    dealt = starts.select("node", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("bucket"))
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1)
+    bit = F.expr(f"shiftleft(1L, r % {ORIGINS})").alias("mask")
+    origins = cut_lineage(ranked.select("node", F.struct("bucket", F.floor(F.col("r") / ORIGINS).alias("more")).alias("part"), bit))
+    step = cut_lineage(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")))
+    known = front = origins.select("part", "node", "mask")
+    mask, sent = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("mask", "sent"))
+    while not front.isEmpty():
+        came = front.join(step, "node").groupBy("part", F.col("next").alias("node")).agg(F.bit_or("mask").alias("sent"))
+        merged = known.join(came, ["part", "node"], "full").select("part", "node", mask.bitwiseOR(sent).alias("mask"), sent.bitwiseAND(F.bitwise_not(mask)).alias("new"))
+        merged = cut_lineage(merged)
+        known, front = merged.select("part", "node", "mask"), merged.filter("new <> 0").select("part", "node", F.col("new").alias("mask"))
+    alike = known.groupBy("part", "mask").agg(F.count("*").alias("n"))
+    own = origins.select("part", F.col("node").alias("origin"), F.col("mask").alias("own"))
+    return alike.join(own, "part").filter("mask & own <> 0").groupBy("origin").agg((F.sum("n") - 1).alias("total"))
+
+
 def change_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``node, direct, total, level``: direct and transitive dependents of each start, itself left out."""
-    up = reach(edges, starts, None, "upstream")
-    counts = up.groupBy("origin").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"))
-    out = starts.select(F.col("node").alias("origin")).distinct().join(counts, "origin", "left")
+    edges, starts = cut_lineage(distinct_edges(edges)), cut_lineage(starts.select("node").distinct())
+    total = _counted_above(edges, starts.dropna())
+    direct = edges.join(starts, F.col("dst") == F.col("node"), "left_semi").groupBy("dst").agg(F.count("*").alias("direct"))
+    out = starts.join(total, F.col("node") == F.col("origin"), "left").join(direct, F.col("node") == F.col("dst"), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("origin").alias("node"), count("direct"), count("total")).withColumn("level", impact_level(F.col("total")))
+    return out.select("node", count("direct"), count("total")).withColumn("level", impact_level(F.col("total")))
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:

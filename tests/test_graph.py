@@ -167,3 +167,24 @@ def test_search_with_neighbours_searches_once(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_hits", lambda s, d, n: s.createDataFrame([(7,), (120,)], "id long"))
     assert [r.node for r in catalogue.search_with_neighbours(spark, "").collect()] == [20, 107, 220]
     assert kept == [("best", 2), ("orders", 8)]
+
+
+def test_impact_of_many_starts_keeps_a_row_for_each_node(spark, monkeypatch):
+    """150 starts, more than one row has bits for: a node that reaches them all is a row for each part, not for each start."""
+    monkeypatch.setattr(graph, "ORIGINS", 60)
+    rng = random.Random(9)
+    pairs = [(i, (i + 1) % 200) for i in range(200)] + [(rng.randrange(0, 300), rng.randrange(0, 300)) for _ in range(400)] + [(None, 1), (1, None), (5, 5)]
+    want = _plain_impact(pairs)
+    largest, plain = [0], graph.cut_lineage
+
+    def counted(df):
+        out = plain(df)
+        largest[0] = max(largest[0], out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    asked = [*range(150), 5, 999, None]
+    got = graph.change_impact(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(x,) for x in asked], "node long")).collect()
+    assert sorted((r.node is None, r.node, r.direct, r.total) for r in got if r.node is not None) == sorted((False, n, *want.get(n, (0, 0))[:2]) for n in set(asked) - {None})
+    assert [(r.direct, r.total) for r in got if r.node is None] == [(0, 0)]
+    assert largest[0] <= 300 * 7  # not 150 x 300

@@ -60,6 +60,20 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat, column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _counted(texts: DataFrame, text: Column, slots: int) -> DataFrame:
+    """``slots, counts``: the slots of each text in order and how often each is there, found once for all passes."""
+
+    def run(batches):
+        for batch in batches:
+            flat, sizes = _lists(batch.column(0))
+            row, slot, count = _entries(flat, sizes, slots)
+            cuts = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+            both = (pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (slot, count))
+            yield pa.RecordBatch.from_arrays([*both], names=["slots", "counts"])
+
+    return texts.select(slots_of(text, slots)).mapInArrow(run, "slots array<int>, counts array<int>")
+
+
 def _summed(rows: DataFrame, per_batch, shape: tuple[int, int]) -> np.ndarray:
     """The sum over all batches of a matrix of a row for each slot; tasks add theirs up, blocks of slots are summed by key."""
 
@@ -67,7 +81,8 @@ def _summed(rows: DataFrame, per_batch, shape: tuple[int, int]) -> np.ndarray:
         total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                per_batch(*_lists(batch.column(0)), total)
+                slot, sizes = _lists(batch.column(0))
+                per_batch(np.repeat(np.arange(len(sizes)), sizes), slot, _lists(batch.column(1))[0], len(sizes), total)
         found = [k for k in range(0, shape[0], BLOCK) if total[k : k + BLOCK].any()]
         for k in found:
             yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "part": [total[k : k + BLOCK].tobytes()]})
@@ -105,10 +120,9 @@ class LatentModel:
         """
         if slots < 1 or not 1 <= directions <= slots or rounds < 1:
             raise ValueError("slots, directions and rounds must be positive, and directions no more than slots")
-        hashed = stored(texts.select(slots_of(F.col(text_col), slots).alias("slots")), "slots")
+        hashed = stored(_counted(texts, F.col(text_col), slots), "slots")
 
-        def frequencies(flat, sizes, total):
-            _, slot, _ = _entries(flat, sizes, slots)
+        def frequencies(row, slot, count, n, total):
             total[:, 0] += np.bincount(slot, minlength=slots)
 
         n = hashed.count()
@@ -120,11 +134,10 @@ class LatentModel:
         for k in range(rounds + 1):
             sent = context.broadcast((idf, basis))
 
-            def gram(flat, sizes, total, sent=sent):
+            def gram(row, slot, count, n, total, sent=sent):
                 idf, basis = sent.value
-                row, slot, count = _entries(flat, sizes, slots)
-                weight = _weighted(row, slot, count, idf, len(sizes))
-                across = _projected(row, slot, weight, basis, len(sizes))
+                weight = _weighted(row, slot, count, idf, n)
+                across = _projected(row, slot, weight, basis, n)
                 order = np.argsort(slot, kind="stable")
                 total += _projected(slot[order], row[order], weight[order], across, slots)
 

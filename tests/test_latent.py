@@ -91,3 +91,21 @@ def test_hybrid_search_without_an_outside_encoder(spark, tmp_path):
     assert Engine(spark, str(root), str(tmp_path / "s"), encoder=LATENT).search_codebase("pixel crop", 3).first().source.startswith("img")
     with pytest.raises(ValueError):
         Engine(spark, str(root), str(tmp_path / "other"), encoder=LATENT).index_changed_files()
+
+
+def test_words_are_counted_once_for_all_passes(spark, monkeypatch):
+    """What is stored is a slot a text and its count, not every word again."""
+    from tessera.operators import latent
+
+    kept, plain = [], latent.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        kept.extend((list(r.slots), list(r.counts)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(latent, "stored", counted)
+    df = spark.createDataFrame([("a b a a",), ("",), (None,), ("b",)], "text string").coalesce(1)
+    LatentModel.fit(df, directions=2, slots=50)
+    own = sorted((sum(c), len(s)) for s, c in kept)
+    assert own == [(0, 0), (0, 0), (1, 1), (4, 2)] and all(s == sorted(set(s)) for s, _ in kept)

@@ -173,15 +173,56 @@ def _greatest(edges: DataFrame, colours: DataFrame) -> DataFrame:
     return colour
 
 
+#: One node in so many, of those with edges in and out, is a hub from which great cycles are searched.
+HUBS = 256
+
+
+def _great_cycles(edges: DataFrame) -> DataFrame:
+    """``node, component`` of the strong components in which one hub outranks all hubs that reach them or are reached.
+
+    Each node takes the greatest hub above it and the greatest below it, both in the same rounds; where they are the same
+    hub, the node lies on a cycle with it, and so do all of its component. Hubs rank by edges in times edges out. The
+    edges and the nodes stay where they are dealt, so a round moves only what the nodes that changed send.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, by: df.repartition(parts, by).sortWithinPartitions(by)
+    way = lambda at, to, down: F.struct(F.col(at).alias("at"), F.col(to).alias("to"), F.lit(down).alias("down"))
+    step = dealt(edges.select(F.explode(F.array(way("src", "dst", True), way("dst", "src", False))).alias("way")).select("way.*"), "at").persist()
+    rank = step.groupBy(F.col("at").alias("node")).agg((F.count_if("down") * F.count_if(~F.col("down"))).alias("rank"))
+    hash_of = F.xxhash64("node")
+    colour = F.shiftleft(F.least("rank", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.shiftrightunsigned(hash_of, 21))
+    nodes = cut_lineage(rank.select("node", F.when((F.col("rank") > 0) & (F.pmod(hash_of, F.lit(HUBS)) == 0), colour).alias("hub")))
+    alone = nodes.dropna().groupBy("hub").agg(F.count("*").alias("n")).filter("n = 1").select("hub")
+    hubs = nodes.dropna().join(alone, "hub").select("node", "hub")
+    state = dealt(nodes.select("node"), "node").join(hubs, "node", "left").select("node", F.col("hub").alias("above"), F.col("hub").alias("below"), F.col("hub").alias("new_above"), F.col("hub").alias("new_below"))
+    state = cut_lineage(state)
+    newer = lambda c, old: F.when(F.col(c) > F.coalesce(old, F.lit(-1)), F.col(c))
+    while not (front := state.filter("new_above is not null or new_below is not null")).isEmpty():
+        sent = front.join(step, F.col("node") == F.col("at")).select(F.col("to").alias("node"), F.expr("if(down, new_above, null)").alias("a"), F.expr("if(down, null, new_below)").alias("b"))
+        sent = sent.filter("a is not null or b is not null").groupBy("node").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+        state = cut_lineage(state.join(sent, "node", "left").select("node", F.greatest("above", "a").alias("above"), F.greatest("below", "b").alias("below"), newer("a", "above").alias("new_above"), newer("b", "below").alias("new_below")))
+    step.unpersist()
+    met = state.filter("above = below").select("node", "above")
+    return met.join(met.groupBy("above").agg(F.max("node").alias("component")), "above").select("node", "component")
+
+
+def _without(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """``edges`` between nodes that are not among ``found(node)``, trimmed."""
+    src, dst = found.select(F.col("node").alias("src")), found.select(F.col("node").alias("dst"))
+    return _trimmed(cut_lineage(edges.join(src, "src", "left_anti").join(dst, "dst", "left_anti").select("src", "dst")))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, component``: nodes that reach each other share the greatest node among them; all others are their own.
 
-    Every node takes the greatest node that reaches it as its colour, round by round; what the node of a colour's own
-    name is reached from within the colour is a component, and the search goes on in the rest. Nodes without edges in
-    or out are taken off first. The rounds follow the longest shortest path within what cycles hold, not the table.
+    Great cycles are found from hubs first. In the rest, every node takes the greatest node that reaches it as its colour,
+    round by round; what the node of a colour's own name is reached from within the colour is a component, and the search
+    goes on in the rest. Nodes without edges in or out are taken off first. The rounds follow the longest shortest path
+    from or to a hub and within what cycles hold, not the table.
     """
     edges = cut_lineage(distinct_edges(edges))
-    left, found = _trimmed(edges), edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    found = cut_lineage(_great_cycles(edges))
+    left = _without(edges, found)
     while not left.isEmpty():
         colour = _greatest(left, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
         a, b = colour.toDF("src", "a"), colour.toDF("dst", "b")
@@ -189,8 +230,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         roots = colour.filter("node = colour").select("node")
         own = cut_lineage(reach(within, roots, None, "upstream").select("node", F.col("origin").alias("component")).union(roots.select("node", "node")))
         found = found.union(own)
-        gone = own.select(F.col("node").alias("src"))
-        left = _trimmed(cut_lineage(left.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")))
+        left = _without(left, own)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -188,3 +188,31 @@ def test_impact_of_many_starts_keeps_a_row_for_each_node(spark, monkeypatch):
     assert sorted((r.node is None, r.node, r.direct, r.total) for r in got if r.node is not None) == sorted((False, n, *want.get(n, (0, 0))[:2]) for n in set(asked) - {None})
     assert [(r.direct, r.total) for r in got if r.node is None] == [(0, 0)]
     assert largest[0] <= 300 * 7  # not 150 x 300
+
+
+def _plain_components(pairs):
+    reached = _plain_impact(pairs)
+    return {x: max(y for y in reached[x][2] if x in reached[y][2]) for x in reached}
+
+
+@pytest.mark.parametrize("hubs,kind", [(1, "long"), (3, "string")])
+def test_strong_components_by_any_hubs(spark, monkeypatch, hubs, kind):
+    """Cycles above and below one another, with more edges or fewer, whichever nodes are hubs."""
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    rng = random.Random(11)
+    pairs = [(10 * c + i, 10 * c + (i + 1) % n) for c, n in enumerate([2, 3, 9, 5, 2, 7]) for i in range(n)]
+    pairs += [(10 * c + rng.randrange(2), 10 * (c + 1) + rng.randrange(2)) for c in range(5) for _ in range(3)] + [(100 + i, 10 * rng.randrange(6)) for i in range(6)]
+    pairs += [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(90)] + [(None, 200), (200, None), (200, 200), (0, 1), (0, 1)]
+    typed = [tuple(None if x is None else str(x) if kind == "string" else x for x in p) for p in pairs]
+    got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(typed, f"src {kind}, dst {kind}")).collect()}
+    assert got == _plain_components(typed)
+
+
+def test_great_cycles_are_not_coloured_node_by_node(spark, monkeypatch):
+    """Two graphs that cycles hold for the most part, as copies do: what is left for colours is a small part of the edges."""
+    rng = random.Random(12)
+    pairs = [(at + rng.randrange(900), at + rng.randrange(900)) for at in (0, 5000) for _ in range(2700)]
+    coloured, plain = [0], graph._greatest
+    monkeypatch.setattr(graph, "_greatest", lambda edges, colours: coloured.append(edges.count()) or plain(edges, colours))
+    got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == _plain_components(pairs) and sum(coloured) < len(pairs) / 10

@@ -1,22 +1,28 @@
 """A BM25 index in segments: a change writes what it brings, searches leave out blocks of documents that can't matter.
 
-Each change is a folder with the terms of the documents that came (``forward``), the same by blocks of documents
-(``blocks``), the ids that went or were replaced (``gone``), what this adds to the document frequencies (``terms``) and, last,
+Each change is a folder with the terms of the documents that came (``docs``), the same by terms and blocks of documents
+(``postings``), the ids that went or were replaced (``gone``), what this adds to the document frequencies (``terms``) and, last,
 one row of totals (``corpus``); it counts once that is complete. A document counts if no later change names its id. ``compact``
-writes a folder ``base-n`` that stands for all changes up to n.
+writes a folder ``base-n`` that stands for all changes up to n; ``vacuum`` deletes the folders that it stands for.
 
-A block holds up to BLOCK documents of similar length. Of each of its terms it knows the largest frequency and the
+A block holds up to BLOCK documents of similar length. Of each of its terms it knows the largest frequency, and of itself the
 shortest document, which bound what the term can add to a score whatever the averages are by then. A search first scores the
 blocks of the largest bounds; the n-th best score found there is a threshold, and a block whose bound is below it is
 never opened.
+
+Disk is what an index of a large table runs out of. A posting names its document by the place in the block, so ids and lengths
+are there once. A task that has read documents writes the terms of its blocks by itself, sorted, with no shuffle; a table
+that has to be joined whole is joined in up to PASSES passes, each of which deletes its shuffle files.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +30,14 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.operators.retrieval import EPSILON, K1, QUERY_TERMS, B, idf, top
 from tessera.sources.changes import Changes
-from tessera.sources.shared import stored
+from tessera.sources.shared import dropped, shared_dir, stored, write_only
 
 #: Documents of a block; blocks that a search scores first for each query.
 BLOCK, FIRST = 256, 8
+#: Postings of the blocks that a task sorts together; words that a task counts together.
+GROUP, COUNTED = 2_000_000, 1_000_000
+#: Words of an index that one pass of a join takes, and passes at most: as many times are its documents read.
+PASS, PASSES = 16_000_000, 8
 #: Ids and terms that are looked up by a filter that reaches the scan; more are joined.
 NAMED = 1000
 
@@ -47,55 +57,122 @@ def counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [Counter(w) for w in batch.column(1).to_pylist()]
-            dl = pa.array([c.total() for c in found], pa.int64())
-            terms, tfs = pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), dl, terms, tfs], names=["id", "dl", "terms", "tfs"])
+            for at, size in _pieces(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False), COUNTED):
+                yield _one_count(batch.slice(at, size))
+
+    return rows.mapInArrow(run, _docs(rows.schema["id"].dataType.simpleString()))
+
+
+def _pieces(sizes: np.ndarray, most: int):
+    """Ranges of rows with at most ``most`` items together, one row at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, upto - at
+        at = upto
 
-    return rows.mapInArrow(run, _forward(rows.schema["id"].dataType.simpleString()))
 
+def _one_count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The different words of each row, in the order in which they come, and how often."""
+    dl, words = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).flatten()
+    coded = words.dictionary_encode()
+    key = np.repeat(np.arange(len(dl)), dl) * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    starts = _starts(key[order])
+    first, tfs = order[starts], np.diff(np.append(starts, len(key)))
+    again = np.argsort(first)
+    first, tfs = first[again], tfs[again].astype(np.int32)
+    offsets = pa.array(np.searchsorted(first, np.append(0, np.cumsum(dl))).astype(np.int32))
+    terms = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(first))), " ")
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl), terms, pa.ListArray.from_arrays(offsets, pa.array(tfs))], names=["id", "dl", "terms", "tfs"])
 
-def _forward(kind: str) -> str:
-    return f"id {kind}, dl long, terms array<string>, tfs array<int>"
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where one of these sorted columns changes."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    changes = np.zeros(len(keys[0]), bool)
+    changes[0] = True
+    for k in keys:
+        changes[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(changes)
 
-def _blocks(kind: str) -> str:
-    return f"term string, block long, max_tf int, min_dl long, ids array<{kind}>, tfs array<int>, dls array<long>"
 
+def _docs(kind: str) -> str:
+    """Terms are joined by spaces, which no term holds: a list of strings takes more room."""
+    return f"id {kind}, dl long, terms string, tfs array<int>"
 
-def blocked(forward: DataFrame) -> DataFrame:
-    """The terms of each block of documents (``_blocks``), sorted by term so that a scan can pass over the others."""
-    kind = forward.schema["id"].dataType.simpleString()
+
+def _postings(kind: str) -> str:
+    """Two kinds of rows. Of a block: its number, the ids and the lengths of its documents. Of a term: the number that its
+    ``blocks`` count from, the largest frequency in each (``tops``), where its postings end (``ends``), and these: places of
+    documents in their block (``at``) and frequencies."""
+    return f"term string, block long, blocks array<int>, tops array<int>, ends array<int>, at array<smallint>, tfs array<int>, ids array<{kind}>, dls array<long>"
+
+
+def blocked(docs: DataFrame) -> DataFrame:
+    """The blocks of documents and their terms (``_postings``); terms are sorted in each stretch of rows, so that a scan can
+    pass over the others."""
+    kind, size, most = docs.schema["id"].dataType.simpleString(), BLOCK, GROUP
 
     def run(batches):
-        first, number = TaskContext.get().partitionId() << 32, 0
+        number = TaskContext.get().partitionId() << 32
+        held, count = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                yield _one_block(part, first + number)
-                number += 1
-
-    # Lengths are similar within a task's part of the table: rows of terms are larger than what blocks hold, and stay.
-    made = forward.sortWithinPartitions("dl", "id").mapInArrow(run, _blocks(kind))
-    # A frequent term's blocks go to several tasks, a thousand of them to one.
-    return made.repartition("term", F.shiftright("block", 10)).sortWithinPartitions("term", "block")
-
-
-def _one_block(part: pa.RecordBatch, block: int) -> pa.RecordBatch:
-    sizes = [len(t) for t in part.column(2).to_pylist()]
-    row = np.repeat(np.arange(part.num_rows), sizes)
-    terms = np.array(part.column(2).flatten().to_pylist(), dtype=object)
-    tfs, dls = part.column(3).flatten().to_numpy(), part.column(1).to_numpy()[row]
-    order = np.argsort(terms, kind="stable") if len(terms) else np.zeros(0, np.int64)
-    terms, row, tfs, dls = terms[order], row[order], tfs[order], dls[order]
-    starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(starts, len(terms)).astype(np.int32))
-    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
-    most = np.maximum.reduceat(tfs, starts) if len(terms) else tfs
-    least = np.minimum.reduceat(dls, starts) if len(terms) else dls
-    columns = [pa.array(terms[starts].tolist(), pa.string()), pa.array(np.full(len(starts), block)), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int64))]
-    columns += [listed(part.column(0).take(pa.array(row))), listed(pa.array(tfs.astype(np.int32))), listed(pa.array(dls.astype(np.int64)))]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "max_tf", "min_dl", "ids", "tfs", "dls"])
+            terms = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, size):
+                held.append(batch.slice(at, size))
+                count += int(terms[at : at + size].sum())
+                if count >= most:
+                    table = pa.Table.from_batches(held)
+                    yield from _blocks_of(table, number, size)
+                    number, held, count = number + -(-table.num_rows // size), [], 0
+        if held:
+            yield from _blocks_of(pa.Table.from_batches(held), number, size)
+
+    return docs.mapInArrow(run, _postings(kind))
+
+
+#: Rows of terms that a task hands on at a time.
+HANDED = 20_000
+
+
+def _blocks_of(table: pa.Table, number: int, size: int):
+    """Batches of ``_postings``: blocks of ``size`` documents, numbered from ``number``, and their terms."""
+    table = table.take(pa.array(np.argsort(table.column("dl").to_numpy(), kind="stable"))).combine_chunks()
+    whole = lambda name: pa.concat_arrays(table.column(name).chunks)
+    cuts = pa.array(np.append(np.arange(0, table.num_rows, size), table.num_rows).astype(np.int32))
+    n = len(cuts) - 1
+    names = ["term", "block", "blocks", "tops", "ends", "at", "tfs", "ids", "dls"]
+    ints, shorts = pa.list_(pa.int32()), pa.list_(pa.int16())
+    none = [pa.nulls(n, k) for k in (ints, ints, ints, shorts, ints)]
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.array(number + np.arange(n)), *none, pa.ListArray.from_arrays(cuts, whole("id")), pa.ListArray.from_arrays(cuts, whole("dl"))], names=names)
+
+    lists = whole("tfs")
+    row, tfs = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+    words = pc.split_pattern(pc.filter(whole("terms"), pc.not_equal(whole("terms"), "")), " ").flatten()
+    coded = words.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    sort = pc.sort_indices(coded.dictionary)
+    rank[sort.to_numpy()] = np.arange(len(rank))
+    code = rank[coded.indices.to_numpy()]
+    order = np.argsort(code, kind="stable")
+    code, row, tfs = code[order], row[order], tfs[order]
+    terms, block = _starts(code), row // size
+    entries = _starts(code, block)
+    tops = np.maximum.reduceat(tfs, entries).astype(np.int32) if len(entries) else tfs
+    ends = np.append(entries[1:], len(code)) if len(entries) else entries
+    ends = ends - terms[code[entries]]  # codes count up from 0, one for each term
+    by_entry, by_posting = np.append(np.searchsorted(entries, terms), len(entries)), np.append(terms, len(code))
+    sorted_terms = coded.dictionary.take(sort)
+    for a in range(0, len(terms), HANDED):
+        b = min(a + HANDED, len(terms))
+        e, p = slice(by_entry[a], by_entry[b]), slice(by_posting[a], by_posting[b])
+        e_cuts, p_cuts = pa.array((by_entry[a : b + 1] - by_entry[a]).astype(np.int32)), pa.array((by_posting[a : b + 1] - by_posting[a]).astype(np.int32))
+        listed = lambda cuts, values, kind: pa.ListArray.from_arrays(cuts, pa.array(values.astype(kind)))  # noqa: E731, B023
+        columns = [sorted_terms.slice(a, b - a), pa.array(np.full(b - a, number)), listed(e_cuts, block[entries[e]], np.int32), listed(e_cuts, tops[e], np.int32), listed(e_cuts, ends[e], np.int32)]
+        columns += [listed(p_cuts, row[p] % size, np.int16), listed(p_cuts, tfs[p], np.int32), pa.nulls(b - a, pa.list_(table.schema.field("id").type)), pa.nulls(b - a, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _gain(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -128,7 +205,7 @@ class SegmentedIndex(Changes):
 
     def documents(self) -> DataFrame:
         """``id, dl, terms, tfs`` of the documents that count."""
-        return self._live(self._all("forward", _forward(self.kind))).drop("segment")
+        return self._live(self._all("docs", _docs(self.kind))).drop("segment").withColumn("terms", F.filter(F.split("terms", " "), lambda x: x != ""))
 
     # -- changes -------------------------------------------------------------------------------------------------
 
@@ -141,29 +218,41 @@ class SegmentedIndex(Changes):
         at = f"{self.root}/{number}"
         none = self.spark.createDataFrame([], f"id {self.kind}, text string")
         new = counted(none, "id", "text") if added is None else counted(added.withColumn(id_col, F.col(id_col).cast(self.kind)), id_col, text_col)
-        new.sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
-        new = self.spark.read.schema(_forward(self.kind)).parquet(f"{at}/forward")
+        new = self._write(new.sortWithinPartitions("id"), f"{at}/docs")
         ids = new.select("id")
         if removed is not None:
             ids = ids.union(removed.select(F.col(removed.columns[0]).cast(self.kind))).distinct()
-        ids.write.mode("overwrite").parquet(f"{at}/gone")
-        ids = self.spark.read.schema(f"id {self.kind}").parquet(f"{at}/gone")
-        old = stored(self._named(ids), "replaced")
-        _terms_of(new, 1).unionByName(_terms_of(old, -1)).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").write.mode("overwrite").parquet(f"{at}/terms")
-        blocked(new).write.mode("overwrite").parquet(f"{at}/blocks")
+        ids = self._write(ids, f"{at}/gone")
+        postings = self._write(blocked(new), f"{at}/postings")
+        old = self._named(ids)
+        self._write(_less(_frequencies(postings), old).sortWithinPartitions("term"), f"{at}/terms")
         self._finish(at, new, old)
+        dropped(old)
         return number
 
+    def _write(self, rows: DataFrame, at: str, mode: str = "overwrite") -> DataFrame:
+        """Write a table in the most compact form that Spark's readers take, and open it; the job's shuffle files go."""
+        write_only(rows.write.mode(mode).option("compression", "zstd").option("parquet.writer.version", "v2"), self.spark, at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _by_passes(self, rows, at: str) -> DataFrame:
+        """The table of ``rows(condition)`` for conditions on ``id`` that divide all documents: a join of these in parts."""
+        passes = min(PASSES, max(1, math.ceil((self.corpus().first().length or 0) / PASS)))
+        for k in range(passes):
+            out = self._write(rows(F.pmod(F.xxhash64("id"), F.lit(passes)) == k), at, "append" if k else "overwrite")
+        return out
+
     def _named(self, ids: DataFrame) -> DataFrame:
-        """The documents that count of those ids; a few are looked up by a filter that reaches the scan."""
+        """The documents that count of those ids, stored; a few are looked up by a filter that reaches the scan."""
         few = [r.id for r in ids.limit(NAMED + 1).collect()]
-        docs = self._all("forward", _forward(self.kind))
+        docs, at = self._all("docs", _docs(self.kind)), f"{shared_dir(self.spark)}/replaced-{uuid.uuid4().hex}"
         if len(few) <= NAMED:
             docs = docs.filter(F.col("id").isin([x for x in few if x is not None]) | (F.col("id").isNull() if None in few else F.lit(False)))
-        else:
-            named = ids.select(F.col("id").alias("named"))
-            docs = docs.join(named, docs["id"].eqNullSafe(named["named"]), "left_semi")
-        return self._live(docs).drop("segment")
+            return self._write(self._live(docs).drop("segment"), at)
+        if not self._folders():
+            return self._write(docs.drop("segment"), at)
+        named = lambda part: ids.filter(part).select(F.col("id").alias("named"))
+        return self._by_passes(lambda part: self._live(docs.filter(part).join(named(part), F.col("id").eqNullSafe(F.col("named")), "left_semi"), part).drop("segment"), at)
 
     def _finish(self, at: str, new: DataFrame, old: DataFrame) -> None:
         """The totals after a change: the deltas of documents and words, and the mean weight over the whole vocabulary."""
@@ -172,7 +261,7 @@ class SegmentedIndex(Changes):
         terms = self._all("terms", _TERMS).select("term", "df").unionAll(self.spark.read.schema(_TERMS).parquet(f"{at}/terms"))
         df = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         mean = df.crossJoin(F.broadcast(totals)).agg(F.avg(idf(F.col("df"), F.col("n"))).alias("mean_idf"))  # one row of totals
-        totals.crossJoin(mean).write.mode("overwrite").parquet(f"{at}/corpus")
+        self._write(totals.crossJoin(mean), f"{at}/corpus")
 
     def compact(self) -> int:
         """Write one folder for all there is, with new blocks; older folders are left for searches of older versions."""
@@ -180,14 +269,24 @@ class SegmentedIndex(Changes):
         at = f"{self.root}/base-{number}"
         if not number or self._folders()[0][1] == at:
             return number
-        self.documents().sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/forward")
-        docs = self.spark.read.schema(_forward(self.kind)).parquet(f"{at}/forward")
-        blocked(docs).write.mode("overwrite").parquet(f"{at}/blocks")
-        self._all("terms", _TERMS).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").write.mode("overwrite").parquet(f"{at}/terms")
-        docs.select("id").limit(0).write.mode("overwrite").parquet(f"{at}/gone")
-        self.corpus().write.mode("overwrite").parquet(f"{at}/corpus")
+        every = self._all("docs", _docs(self.kind))
+        docs = self._by_passes(lambda part: self._live(every.filter(part), part).drop("segment").sortWithinPartitions("id"), f"{at}/docs")
+        self._write(blocked(docs), f"{at}/postings")
+        self._write(self._all("terms", _TERMS).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").sortWithinPartitions("term"), f"{at}/terms")
+        self._write(docs.select("id").limit(0), f"{at}/gone")
+        self._write(self.corpus(), f"{at}/corpus")
         return number
 
+    def vacuum(self) -> None:
+        """Delete the folders that the newest base stands for; versions before it can't be opened any more."""
+        found = self._folders()
+        if self.version is None and found and found[0][1].endswith(f"/base-{found[0][0]}"):
+            path, system = self._system()
+            names = [s.getPath().getName() for s in system.listStatus(path(self.root))]
+            for name in names:
+                if name.removeprefix("base-").isdigit() and int(name.removeprefix("base-")) <= found[0][0] and name != f"base-{found[0][0]}":
+                    system.delete(path(f"{self.root}/{name}"), True)
+
     # -- searches ------------------------------------------------------------------------------------------------
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,18 +301,33 @@ class SegmentedIndex(Changes):
             only = lambda df: df.join(sent, "term", "left_semi")
         stats = self._weighed(only(self._all("terms", _TERMS)))
         asked = stored(wanted.join(stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
-        return asked, only(self._all("blocks", _blocks(self.kind)))
+        return asked, only(self._all("postings", _postings(self.kind)))
+
+    def _places(self) -> DataFrame:
+        """``segment, block, ids, dls`` of the documents of each block, shortest first."""
+        return self._all("postings", _postings(self.kind)).filter("term is null").select("segment", "block", "ids", "dls")
 
     def _bounds(self, asked: DataFrame, blocks: DataFrame, average: Column) -> DataFrame:
         """``query_id, segment, block, bound``: no document of the block scores more; lists of documents are not read."""
         gain = F.greatest(F.col("weight") * _gain(F.col("max_tf"), F.col("min_dl"), average), F.lit(0.0))
-        part = blocks.select("segment", "block", "term", "max_tf", "min_dl").join(asked, "term")
+        listed = F.explode(F.transform("blocks", lambda b, i: F.struct((F.col("block") + b).alias("block"), F.get("tops", i).alias("max_tf"))))
+        part = blocks.select("segment", "term", listed.alias("e")).select("segment", "term", "e.*").join(asked, "term")
+        shortest = self._places().select("segment", "block", F.get("dls", F.lit(0)).alias("min_dl"))
+        part = part.join(shortest, ["segment", "block"])
         return part.groupBy("query_id", "segment", "block").agg((F.sum(gain) + 1e-6).alias("bound")).filter("bound > 2e-6")
 
     def _scores(self, asked: DataFrame, blocks: DataFrame, which: DataFrame, average: Column) -> DataFrame:
         """``query_id, id, score`` of the documents of the blocks ``which`` (``query_id, segment, block``)."""
-        entries = blocks.join(asked, "term").join(which, ["query_id", "segment", "block"])
-        flat = entries.select("query_id", "segment", "weight", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("e")).select("query_id", "segment", "weight", "e.ids", "e.tfs", "e.dls")
+        def entry(b, i):
+            start = F.coalesce(F.get("ends", i - 1), F.lit(0))
+            size = F.get("ends", i) - start
+            return F.struct((F.col("block") + b).alias("block"), F.slice("at", start + 1, size).alias("at"), F.slice("tfs", start + 1, size).alias("tfs"))
+
+        listed = blocks.select("segment", "term", F.explode(F.transform("blocks", entry)).alias("e")).select("segment", "term", "e.*")
+        entries = listed.join(asked, "term").join(which, ["query_id", "segment", "block"])
+        opened = entries.join(self._places(), ["segment", "block"])
+        posting = F.explode(F.transform("at", lambda a, i: F.struct(F.get("ids", a.cast("int")).alias("ids"), F.get("tfs", i).alias("tfs"), F.get("dls", a.cast("int")).alias("dls"))))
+        flat = opened.select("query_id", "segment", "weight", posting.alias("e")).select("query_id", "segment", "weight", "e.ids", "e.tfs", "e.dls")
         live = self._live(flat.withColumnRenamed("ids", "id"))
         return live.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * _gain(F.col("tfs"), F.col("dls"), average)), 6).alias("score"))
 
@@ -246,5 +360,13 @@ class SegmentedIndex(Changes):
         return chosen.groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if("taken").alias("opened"))
 
 
-def _terms_of(docs: DataFrame, sign: int) -> DataFrame:
-    return docs.select(F.explode("terms").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"))
+def _frequencies(postings: DataFrame) -> DataFrame:
+    """``term, df``, a row for each stretch of blocks."""
+    return postings.filter("term is not null").select("term", F.element_at("ends", -1).cast("long").alias("df"))
+
+
+def _less(frequencies: DataFrame, old: DataFrame) -> DataFrame:
+    """``term, df``: the frequencies without those of the documents ``old``."""
+    words = old.select(F.explode(F.split("terms", " ")).alias("term")).filter("term <> ''")
+    gone = words.groupBy("term").agg((-F.count("*")).alias("df"))
+    return frequencies.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")

@@ -92,8 +92,11 @@ def bm25_segments(spark, d):
     index.change(other, id_col="doc_id")
     index.change(docs.filter(odd).unionByName(extra), id_col="doc_id")
     index.compact()
+    index.vacuum()
     index.change(removed=extra.select("doc_id"))
-    return stored(index.search(_asked(spark, QUERIES), 5), "found").select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
+    found = stored(index.search(_asked(spark, QUERIES), 5), "found")
+    index.clear()
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), "score")
 
 
 def bm25_term_stats(spark, d):

@@ -52,9 +52,10 @@ class Changes:
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{at}/{name}").withColumn("segment", F.lit(number).cast("long")))
         return out
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        """Rows (``id, segment`` and more) of ids that no later change names."""
-        gone = self._all("gone", f"id {self.kind}").groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("until"))
+    def _live(self, rows: DataFrame, part=None) -> DataFrame:
+        """Rows (``id, segment`` and more) of ids that no later change names; ``part`` is a condition on ``id`` that all rows meet."""
+        gone = self._all("gone", f"id {self.kind}")
+        gone = (gone if part is None else gone.filter(part)).groupBy(F.col("id").alias("gone_id")).agg(F.max("segment").alias("until"))
         return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("until") > F.col("segment")), "left_anti")
 
     def clear(self) -> None:

@@ -118,3 +118,25 @@ def test_words_of_documents_are_not_moved_where_no_id_repeats(spark):
     assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString() and plain.count() == 51
     twice = segments.counted(docs.union(docs.filter("id < 5 or id is null")), "id", "text")
     assert sorted(map(repr, twice.select("id", "dl").collect())) == sorted(map(repr, plain.select("id", "dl").collect()))
+
+
+def test_an_index_takes_little_disk(spark, tmp_path, monkeypatch):
+    """Ids and lengths are there once for each block, no table of postings is shuffled, and joins in passes lose nothing."""
+    monkeypatch.setattr(segments, "NAMED", 2)
+    monkeypatch.setattr(segments, "PASS", 1500)
+    rng = random.Random(9)
+    state = {f"d{i}": text(rng) for i in range(300)}
+    index = SegmentedIndex(spark, str(tmp_path / "index"))
+    index.change(table(spark, state))
+    docs = spark.read.parquet(f"{index.root}/1/docs")
+    assert "Exchange" not in segments.blocked(docs)._jdf.queryExecution().executedPlan().toString()
+    postings = spark.read.parquet(f"{index.root}/1/postings")
+    assert sum(len(r.ids) for r in postings.filter("term is null").collect()) == 300 and postings.filter("term is not null and ids is not null").isEmpty()
+    new = {f"d{i}": text(rng) for i in range(0, 200, 2)}
+    index.change(table(spark, new), spark.createDataFrame([(f"d{i}",) for i in range(1, 60, 2)], "id string"))
+    state = {i: t for i, t in state.items() if i not in {f"d{k}" for k in range(1, 60, 2)}} | new
+    before = rows(index.search(asked(spark), 7))
+    index.compact()
+    index.vacuum()
+    assert [n for n in os.listdir(index.root) if not n.startswith(".")] == ["base-2"] and rows(index.search(asked(spark), 7)) == before
+    same(spark, index, state)
